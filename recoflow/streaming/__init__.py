@@ -1,0 +1,5 @@
+"""Streaming.
+
+The reproduced pipeline is a bounded batch job: it has no stream source,
+no watermark, no windowed or stateful operator. Nothing is built here.
+"""
