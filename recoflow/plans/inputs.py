@@ -11,6 +11,7 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from recoflow.config import DEFAULT_K
 from recoflow.operators import history as hist
@@ -83,7 +84,7 @@ class Inputs:
 
     @property
     def user_segments(self) -> DataFrame:
-        return self.users.select("user_id", self.users[self.segment_col].alias("segment"))
+        return self.users.select("user_id", F.col(self.segment_col).alias("segment"))
 
     def segment_top(self) -> DataFrame:
         popularity = pop.group_popularity(self.train_freqs, self.user_segments, "segment")

@@ -256,11 +256,12 @@ SELECT count(*) AS n_scored, round(avg(ndcg), 6) AS mean_ndcg, round(min(ndcg),
        round(max(ndcg), 6) AS max_ndcg
 FROM nd""",
     "ndcg_histogram": BASE + "," + _REL + f""",
-rg AS (SELECT min(ndcg) AS lo, max(ndcg) AS hi FROM nd),
+nd12 AS (SELECT user_id, round(ndcg, 12) AS ndcg FROM nd),
+rg AS (SELECT min(ndcg) AS lo, max(ndcg) AS hi FROM nd12),
 b AS (
   SELECT CASE WHEN hi = lo THEN 0
               ELSE least(CAST(floor((ndcg - lo) / ((hi - lo) / {BINS})) AS BIGINT), {BINS - 1}) END AS bin
-  FROM nd, rg
+  FROM nd12, rg
 ),
 cnt AS (SELECT bin, count(*) AS n FROM b GROUP BY bin)
 SELECT CAST(gr.range AS INTEGER) AS bin,
