@@ -40,7 +40,10 @@ def split_label(df: DataFrame, weights: Sequence[float], seed: int = SEED, name:
     """One labelled frame instead of several: row -> index of its weight
     interval, drawn from ``rand(seed)`` (a per-row uniform)."""
     total = float(sum(weights))
-    u = F.rand(seed)
+    # Draw the uniform once into a column: repeated rand() calls inside a
+    # short-circuiting CASE would each advance their own generator.
+    df = df.withColumn("_u", F.rand(seed))
+    u = F.col("_u")
     expr = F.lit(len(weights) - 1)
     acc = 0.0
     bounds = []
@@ -49,4 +52,4 @@ def split_label(df: DataFrame, weights: Sequence[float], seed: int = SEED, name:
         bounds.append(acc)
     for i in range(len(bounds) - 1, -1, -1):
         expr = F.when(u < F.lit(bounds[i]), F.lit(i)).otherwise(expr)
-    return df.withColumn(name, expr.cast("int"))
+    return df.withColumn(name, expr.cast("int")).drop("_u")

@@ -1,0 +1,86 @@
+"""Round trips for sources, sinks and persisted models."""
+
+import os
+import tempfile
+
+import pytest
+
+from recoflow.operators import evaluation as ev
+from recoflow.plans.inputs import Inputs
+from recoflow.plans.recommender import HybridRecommender
+from recoflow.sinks import writers
+from recoflow.sources import tsv
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture()
+def scratch():
+    return tempfile.mkdtemp(prefix="recoflow-io-", dir="/tmp")
+
+
+def test_item_history_tsv_round_trip_and_rejects(spark, scratch):
+    path = os.path.join(scratch, "item_history.tsv")
+    with open(path, "w") as fh:
+        fh.write("user_id\titem_id\tlatest_timestamp\tfrequency\n1\tI5\t10\t2\n2\tI7\t11\tx\n")
+    df = tsv.read_item_history(spark, path)
+    assert df.count() == 2
+    assert tsv.count_rejects(df, ["user_id", "frequency"]) == 1
+
+
+def test_lists_round_trip(spark, scratch):
+    lists = spark.createDataFrame([(1, list(range(72))), (2, list(range(5)))], "user_id int, items array<int>")
+    path = os.path.join(scratch, "lists")
+    writers.write_lists(lists, path)
+    back = ev.string_lists_to_arrays(tsv.read_lists(spark, path))
+    got = {r.user_id: r["items"] for r in back.collect()}
+    assert got == {1: list(range(72)), 2: list(range(5))}
+
+
+def test_lists_with_header_line_read_positionally(spark, scratch):
+    lists = spark.createDataFrame([(1, [3, 4])], "user_id int, items array<int>")
+    path = os.path.join(scratch, "lists_h")
+    writers.write_lists(lists, path, header=True)
+    assert [r.user_id for r in tsv.read_lists(spark, path).collect()] == [1]
+
+
+def test_als_struct_lists_written_as_ids(spark, scratch):
+    recs = spark.createDataFrame([(1, [(5, 0.9), (7, 0.5)])], "user_id int, items array<struct<item_id:int, rating:float>>")
+    path = os.path.join(scratch, "als")
+    writers.write_lists(recs, path)
+    assert tsv.read_lists(spark, path).first().recommended_items == "5,7"
+
+
+def test_submission_is_one_file_with_prefix(spark, scratch):
+    lists = spark.createDataFrame([(i, [i, i + 1]) for i in range(20)], "user_id int, items array<int>").repartition(4)
+    path = os.path.join(scratch, "submission")
+    writers.write_submission(lists, path)
+    parts = [f for f in os.listdir(path) if f.startswith("part-")]
+    assert len(parts) == 1
+    back = spark.read.option("sep", "\t").option("header", True).csv(path)
+    assert back.columns == ["user_id", "recommend_items"]
+    assert back.count() == 20 and back.where("user_id = '3'").first().recommend_items == "I3,I4"
+
+
+def test_truth_tsv_round_trip(spark, scratch):
+    truth = spark.createDataFrame([(1, "5,5,7")], "user_id int, items_actioned_on string")
+    path = os.path.join(scratch, "truth")
+    writers.write_truth(truth, path)
+    assert tsv.read_truth(spark, path).first().items_actioned_on == "5,5,7"
+
+
+def test_recommender_save_load_and_cluster_history_cache(spark, scratch):
+    inp = Inputs(spark, SF)
+    ch_path = os.path.join(scratch, "cluster_history")
+    rec = HybridRecommender(k_clusters=4, rank=3, max_iter=3).fit(inp.train_freqs, inp.users, ch_path)
+    assert os.path.isdir(ch_path)
+    before = rec.recommend(inp.targets)
+    model_path = os.path.join(scratch, "model")
+    rec.save(model_path)
+    loaded = HybridRecommender.load(spark, model_path)
+    after = loaded.recommend(inp.targets)
+    assert loaded.global_items == rec.global_items
+    assert before.exceptAll(after).count() == 0 and after.exceptAll(before).count() == 0
+    # A second fit with the same path reuses the saved table.
+    again = HybridRecommender(k_clusters=4, rank=3, max_iter=3).fit(inp.train_freqs, inp.users, ch_path)
+    assert again.cluster_hist.count() == rec.cluster_hist.count()

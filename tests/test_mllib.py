@@ -1,0 +1,131 @@
+"""Property tests for the MLlib-backed steps (no SQL oracle exists for fits)."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from recoflow.operators import als as als_ops
+from recoflow.operators import clustering as cl
+from recoflow.operators import features as feat
+from recoflow.operators import folds
+from recoflow.operators import popularity as pop
+from recoflow.plans.inputs import Inputs
+from recoflow.plans.recommender import HybridRecommender
+
+SF = "/root/testdata/sf0.001"
+K = 72
+
+
+@pytest.fixture(scope="module")
+def inp(spark):
+    return Inputs(spark, SF)
+
+
+@pytest.fixture(scope="module")
+def als_model(inp):
+    return als_ops.fit_als(inp.train_freqs, rank=5, max_iter=5, reg_param=0.1)
+
+
+def test_als_lists_equal_brute_force_top_k(spark, inp, als_model):
+    users = inp.targets
+    recs = als_ops.recommendations_with_scores(als_model, users, 10).toPandas()
+    uf = {r.id: np.array(r.features) for r in als_model.userFactors.collect()}
+    items = als_model.itemFactors.collect()
+    ids = np.array([r.id for r in items])
+    mat = np.array([r.features for r in items])
+    for uid, grp in recs.groupby("user_id"):
+        grp = grp.sort_values("pos")
+        scores = mat @ uf[uid]
+        assert grp.rating.is_monotonic_decreasing
+        assert grp.item_id.nunique() == len(grp) == min(10, len(ids))
+        expected = np.sort(scores)[::-1][:10]
+        assert np.allclose(grp.rating.to_numpy(), expected, atol=1e-4)
+
+
+def test_als_unknown_users_vanish(spark, inp, als_model):
+    users = spark.createDataFrame([(10**8,)], "user_id int")
+    assert als_ops.recommend_subset(als_model, users, K).count() == 0
+
+
+def test_kmeans_assignment_is_nearest_centre(spark, inp):
+    users = inp.users
+    f = feat.make_features(users, feat.fit_features(users))
+    model = cl.fit_kmeans(f, 5)
+    centres = np.array(model.clusterCenters())
+    rows = model.transform(f).select("features", "prediction").collect()
+    for r in rows:
+        d = ((centres - r.features.toArray()) ** 2).sum(axis=1)
+        assert d[r.prediction] == pytest.approx(d.min())
+
+
+def test_one_hot_drop_last(spark):
+    df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "c")], "user_id int, f string")
+    m = feat.fit_features(df, cols=("f",))
+    assert list(m.stages[0].labelsArray[0]) == ["a", "b", "c"]
+    vecs = {r.user_id: r.features.toArray().tolist() for r in feat.make_features(df, m, cols=("f",)).collect()}
+    assert vecs[1] == [1.0, 0.0] and vecs[2] == [0.0, 1.0] and vecs[4] == [0.0, 0.0]
+
+
+def test_folds_partition_the_data(spark, inp):
+    data = folds.assign_folds(inp.train_freqs, 4)
+    n = inp.train_freqs.count()
+    sizes = [folds.fold_test(data, i).count() for i in range(4)]
+    assert sum(sizes) == n and min(sizes) > 0
+    assert folds.fold_train(data, 0).count() == n - sizes[0]
+    again = folds.assign_folds(inp.train_freqs.repartition(3), 4)
+    assert data.exceptAll(again).count() == 0
+
+
+def test_split_label_weights(spark):
+    df = spark.range(20000)
+    got = folds.split_label(df, [0.1, 0.5, 0.2, 0.1]).groupBy("split").count().collect()
+    frac = {r.split: r["count"] / 20000 for r in got}
+    assert frac[1] == pytest.approx(0.5 / 0.9, abs=0.03)
+
+
+def test_silhouette_sweep_shape(spark, inp):
+    users = inp.users
+    f = feat.make_features(users, feat.fit_features(users))
+    out = cl.silhouette_sweep(spark, f, [3, 6]).collect()
+    assert [r.clusters for r in out] == [3, 6]
+    assert all(-1.0 <= r.silhouette <= 1.0 for r in out)
+
+
+def test_hybrid_returns_k_distinct_items(spark, inp):
+    rec = HybridRecommender(k_clusters=5, rank=5, max_iter=5).fit(inp.train_freqs, inp.users)
+    out = rec.recommend_arrays(inp.hybrid_users).collect()
+    assert len(out) == inp.hybrid_users.count()
+    for r in out:
+        assert len(r["items"]) == K and len(set(r["items"])) == K
+
+
+def test_segment_lists_unchanged_under_repartition(spark, inp):
+    a = pop.as_list_strings(inp.segment_user_lists(inp.targets))
+    freqs = inp.train_freqs.repartition(7, "item_id")
+    lists = pop.group_lists(pop.group_top_k(pop.group_popularity(freqs, inp.user_segments, "segment"), "segment", K), "segment")
+    b = pop.as_list_strings(pop.lists_for_users(inp.targets.repartition(3), inp.user_segments, lists, "segment"))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_grid_search_rows(spark, inp):
+    data = folds.assign_folds(inp.train_freqs, 2)
+    out = als_ops.grid_search(spark, data, "fold", 2, [2], [0.1], [2, 3]).collect()
+    assert len(out) == 2 and out[0].rmse <= out[1].rmse
+    assert all(np.isfinite(r.rmse) for r in out)
+
+
+def test_rmse_is_finite(inp, als_model):
+    from recoflow.operators.history import item_frequencies
+
+    value = als_ops.rmse(als_model, item_frequencies(inp.test_rows))
+    assert np.isfinite(value) and value > 0
+
+
+def test_cluster_recommendations_cover_targets(spark, inp):
+    users = inp.users
+    f = feat.make_features(users, feat.fit_features(users))
+    clusters = cl.assign_clusters(f, cl.fit_kmeans(f, 4))
+    lists = cl.cluster_lists(inp.train_freqs, clusters, K)
+    recs = cl.cluster_recommendations(inp.targets, clusters, lists)
+    assert recs.count() == inp.targets.count()
+    assert recs.where(F.size("items") > K).count() == 0
