@@ -13,9 +13,9 @@ The reference sorts the whole history and slices rows ``[:int(.7n)]``,
    approximate-quantile buckets (at most ``buckets`` rows reach the driver
    per round) until it does.
 3. If the cut falls inside the group of equal leading keys, repeat on the
-   next key column restricted to that group; a group of at most
-   ``max_collect`` rows is simply sorted on the executors and only the
-   boundary row is returned.
+   next key column restricted to that group. Once a boundary group holds at
+   most ``max_collect`` rows, all such groups are numbered in one job (a
+   window partitioned by group) and only the boundary rows come back.
 
 The result is a key prefix P with exactly m rows ``<= P`` in lexicographic
 order; the slices are then plain range filters (``lex_le``), evaluated
@@ -29,7 +29,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recoflow.config import TEST_FRACTION, TRAIN_FRACTION
@@ -99,17 +99,17 @@ def _locate_value(counts: DataFrame, col: str, target: int, max_collect: int, bu
             cum += s["_n"]
 
 
-def locate_rank(
-    df: DataFrame,
-    cols: Sequence[str],
-    m: int,
-    n: int,
-    first_counts: DataFrame | None = None,
-    max_collect: int = MAX_COLLECT,
-    buckets: int = BUCKETS,
-) -> Cut:
-    """Shortest key prefix P such that exactly ``m`` of the ``n`` rows have
-    key <= P. The key ``cols`` must be unique per row and non-null."""
+@dataclass(frozen=True)
+class _Pending:
+    """The cut lies inside a boundary group of at most ``max_collect`` rows."""
+
+    prefix: tuple
+    remaining: int
+
+
+def _descend(df, cols, m, n, first_counts, max_collect, buckets):
+    """Walk the key columns until the cut ends a group (-> Cut) or falls
+    inside a small boundary group (-> _Pending)."""
     if m <= 0:
         return Cut("none")
     if m >= n:
@@ -117,12 +117,9 @@ def locate_rank(
     prefix: list = []
     remaining, group = m, n
     for j, col in enumerate(cols):
-        sub = df.where(prefix_eq(cols, prefix)) if prefix else df
         if group <= max_collect:
-            # Small boundary group: sort it on the executors, return one row.
-            rest = list(cols[j:])
-            row = sub.select(*rest).orderBy(*rest).offset(remaining - 1).limit(1).collect()[0]
-            return Cut("prefix", tuple(prefix) + tuple(row[c] for c in rest))
+            return _Pending(tuple(prefix), remaining)
+        sub = df.where(prefix_eq(cols, prefix)) if prefix else df
         counts = first_counts if (j == 0 and first_counts is not None) else _value_counts(sub, col)
         value, before, at = _locate_value(counts, col, remaining, max_collect, buckets)
         prefix.append(value)
@@ -133,6 +130,45 @@ def locate_rank(
     raise ValueError(f"sort key {list(cols)} is not unique")
 
 
+def _resolve_small(df: DataFrame, cols: Sequence[str], pending: list[_Pending]) -> list[Cut]:
+    """One job for all small boundary groups: number the rows of each group
+    in key order (a window partitioned by group, each group bounded by
+    ``max_collect``) and return only the boundary rows."""
+    groups = sorted({p.prefix for p in pending}, key=len)
+    gid = F.lit(None).cast("int")
+    for i in range(len(groups) - 1, -1, -1):
+        gid = F.when(prefix_eq(cols, groups[i]), F.lit(i)).otherwise(gid)
+    w = Window.partitionBy("_g").orderBy(*cols)
+    numbered = df.select(*cols, gid.alias("_g")).where(F.col("_g").isNotNull()).withColumn("_rn", F.row_number().over(w))
+    wanted = F.lit(False)
+    for p in pending:
+        wanted = wanted | ((F.col("_g") == groups.index(p.prefix)) & (F.col("_rn") == p.remaining))
+    rows = {(r["_g"], r["_rn"]): tuple(r[c] for c in cols) for r in numbered.where(wanted).collect()}
+    return [Cut("prefix", rows[(groups.index(p.prefix), p.remaining)]) for p in pending]
+
+
+def locate_ranks(
+    df: DataFrame,
+    cols: Sequence[str],
+    ms: Sequence[int],
+    n: int,
+    first_counts: DataFrame | None = None,
+    max_collect: int = MAX_COLLECT,
+    buckets: int = BUCKETS,
+) -> list[Cut]:
+    """For each m, the shortest key prefix P with exactly m of the n rows
+    having key <= P. The key ``cols`` must be unique per row and non-null."""
+    found = [_descend(df, cols, m, n, first_counts, max_collect, buckets) for m in ms]
+    pending = [f for f in found if isinstance(f, _Pending)]
+    resolved = iter(_resolve_small(df, cols, pending) if pending else [])
+    return [next(resolved) if isinstance(f, _Pending) else f for f in found]
+
+
+def locate_rank(df: DataFrame, cols: Sequence[str], m: int, n: int, first_counts: DataFrame | None = None,
+                max_collect: int = MAX_COLLECT, buckets: int = BUCKETS) -> Cut:
+    return locate_ranks(df, cols, [m], n, first_counts, max_collect, buckets)[0]
+
+
 @dataclass(frozen=True)
 class TemporalSplit:
     """Row counts and key thresholds of the train / test / validation slices."""
@@ -188,8 +224,7 @@ def temporal_split(
     try:
         n = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"]
         n_train, n_test = slice_sizes(n, train_fraction, test_fraction)
-        train_cut = locate_rank(keyed, cols, n_train, n, counts, max_collect, buckets)
-        test_cut = locate_rank(keyed, cols, n_train + n_test, n, counts, max_collect, buckets)
+        train_cut, test_cut = locate_ranks(keyed, cols, [n_train, n_train + n_test], n, counts, max_collect, buckets)
     finally:
         counts.unpersist()
     return TemporalSplit(cols, n, n_train, n_test, train_cut, test_cut)

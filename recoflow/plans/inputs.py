@@ -51,17 +51,27 @@ class Inputs:
             _SPLITS[key] = temporal_split(self.history, tables.HISTORY_ORDER)
         return _SPLITS[key]
 
+    def _bound(self, cut, upper: bool):
+        """Pushable restatement of a cut's leading (time) bound."""
+        if cut.kind != "prefix":
+            return F.lit(True)
+        return tables.time_bound(cut.values[0], upper)
+
     @property
     def train_rows(self) -> DataFrame:
-        return self.history.where(self.split.train_filter())
+        s = self.split
+        return self.history.where(self._bound(s.train_cut, True) & s.train_filter())
 
     @property
     def train_test_rows(self) -> DataFrame:
-        return self.history.where(self.split.train_test_filter())
+        s = self.split
+        return self.history.where(self._bound(s.test_cut, True) & s.train_test_filter())
 
     @property
     def test_rows(self) -> DataFrame:
-        return self.history.where(self.split.test_filter())
+        s = self.split
+        bounds = self._bound(s.train_cut, False) & self._bound(s.test_cut, True)
+        return self.history.where(bounds & s.test_filter())
 
     # -- derived ---------------------------------------------------------
     @property

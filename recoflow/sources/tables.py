@@ -8,6 +8,7 @@ Catalyst wherever the column is a plain parquet column.
 
 from __future__ import annotations
 
+import datetime
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,9 +63,19 @@ def item_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_linenumber",
         "l_suppkey",
         "l_quantity",
+        "o_orderdate",
     )
 
 
+def time_bound(epoch_seconds: int, upper: bool) -> Column:
+    """``latest_timestamp <= t`` (or ``>=``) restated on the stored order-date
+    column, so the bound reaches the orders parquet scan as a pushed filter;
+    the derived epoch column alone cannot be pushed."""
+    ts = datetime.datetime.fromtimestamp(int(epoch_seconds), tz=datetime.timezone.utc)
+    lit = F.lit(ts.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
+    return F.col("o_orderdate") <= lit if upper else F.col("o_orderdate") >= lit
+
+
 def user_master(spark: SparkSession, sf_dir: str) -> DataFrame:
     """U: user_id int and six categorical string features."""
     customer = read_table(spark, sf_dir, "customer", ["c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment"])
