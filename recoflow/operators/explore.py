@@ -44,3 +44,14 @@ def distinct_summary(history: DataFrame, users: DataFrame, targets: DataFrame) -
 def preview(df: DataFrame, n: int = 5) -> DataFrame:
     """First n rows (-1 = all), as a frame; the driver sees n rows at most."""
     return df if n == -1 else df.limit(n)
+
+
+def first_users(users: DataFrame, n: int) -> DataFrame:
+    """The n smallest user ids (a deterministic "first n targets"); planned as
+    a per-partition top-n plus a final merge of n rows each."""
+    return users.select("user_id").orderBy("user_id").limit(n)
+
+
+def restrict_users(users: DataFrame, sample: DataFrame) -> DataFrame:
+    """Users that also appear in ``sample`` (semi join, no columns added)."""
+    return users.join(sample.select("user_id"), "user_id", "left_semi")

@@ -67,12 +67,41 @@ def group_lists(top: DataFrame, group_col: str) -> DataFrame:
     return top.groupBy(group_col).agg(F.transform(ranked, lambda s: s["item_id"]).alias("items"))
 
 
-def lists_for_users(users: DataFrame, user_groups: DataFrame, lists: DataFrame, group_col: str) -> DataFrame:
+def broadcast_threshold(spark) -> int:
+    """The session's broadcast limit in bytes (-1 disables broadcasting)."""
+    raw = spark.conf.get("spark.sql.autoBroadcastJoinThreshold", "10485760")
+    raw = str(raw).strip().lower()
+    units = {"b": 1, "k": 1 << 10, "kb": 1 << 10, "m": 1 << 20, "mb": 1 << 20, "g": 1 << 30, "gb": 1 << 30}
+    for suffix in sorted(units, key=len, reverse=True):
+        if raw.endswith(suffix) and raw[: -len(suffix)].strip().lstrip("-").isdigit():
+            return int(raw[: -len(suffix)]) * units[suffix]
+    return int(raw)
+
+
+def list_table_bytes(max_groups: int, k: int) -> int:
+    """Upper bound of a (group, items<=k ints) table: row overhead + ids."""
+    return max_groups * (64 + 8 * k)
+
+
+def lists_for_users(
+    users: DataFrame,
+    user_groups: DataFrame,
+    lists: DataFrame,
+    group_col: str,
+    max_groups: int | None = None,
+    k: int = DEFAULT_K,
+) -> DataFrame:
     """Give each user the list of their group: (user_id, items).
 
-    The per-group list table has one row per group (<= number of groups),
-    so AQE turns this into a broadcast join once it sees the size."""
+    The per-group table has one row per group. When the caller knows a
+    bound on the number of groups (e.g. KMeans k) and ``max_groups * k``
+    ids fit under the session's broadcast threshold, it is broadcast;
+    otherwise the join is left to the planner (AQE still converts it at
+    runtime once the measured size is small, or runs a shuffle join)."""
     members = users.select("user_id").join(user_groups.select("user_id", group_col), "user_id", "inner")
+    limit = broadcast_threshold(lists.sparkSession)
+    if max_groups is not None and 0 <= list_table_bytes(max_groups, k) <= limit:
+        lists = F.broadcast(lists)
     return members.join(lists, group_col, "inner").select("user_id", "items")
 
 

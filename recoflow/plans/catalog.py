@@ -24,6 +24,7 @@ from recoflow.operators import history as hist
 from recoflow.operators import popularity as pop
 from recoflow.operators import truth as tr
 from recoflow.operators.merge import merge_lists
+from recoflow.plans.compare import compare_hybrids
 from recoflow.plans.inputs import Inputs
 from recoflow.plans.recommender import HybridRecommender
 from recoflow.sources.tables import FEATURE_COLS, HISTORY_ORDER
@@ -34,6 +35,7 @@ K = DEFAULT_K
 ALS_PARAMS = {"rank": 10, "max_iter": 10, "reg_param": 0.1}
 KMEANS_K = 20
 SILHOUETTE_KS = (5, 10, 20, 40)
+COMPARE = {"ks": (10, 20), "ranks": (5, 10), "max_iter": 5}
 GRID = {"max_iters": (5,), "reg_params": (0.01, 0.1), "ranks": (5, 10), "num_folds": 3}
 
 
@@ -307,6 +309,16 @@ def hybrid_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rec.recommend(inp.hybrid_users)
 
 
+def hybrid_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clusters k x ALS rank grid scored by nDCG@K / Entropy@K on the test slice."""
+    inp = Inputs(spark, sf_dir)
+    out = compare_hybrids(
+        inp.train_freqs, inp.users, inp.targets, inp.test_truth, COMPARE["ks"], COMPARE["ranks"],
+        max_iter=COMPARE["max_iter"], reg_param=ALS_PARAMS["reg_param"], top_k=K,
+    )
+    return out.select("k", "rank", "n_lists", "n_scored", r6("mean_ndcg"), r6("entropy"), "n_items_recommended")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "history_clean": history_clean,
     "temporal_split_counts": temporal_split_counts,
@@ -346,6 +358,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "kmeans_silhouette_sweep": kmeans_silhouette_sweep,
     "cluster_recommendations": cluster_recommendations,
     "hybrid_recommend": hybrid_recommend,
+    "hybrid_comparison": hybrid_comparison,
 }
 
 __all__ = ["QUERIES", "FEATURE_COLS"]

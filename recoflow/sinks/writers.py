@@ -59,3 +59,10 @@ def write_table(df: DataFrame, path: str, fmt: str = "parquet", header: bool = T
 def save_model(model, path: str) -> None:
     """Any MLlib model / PipelineModel, overwriting."""
     model.write().overwrite().save(path)
+
+
+def model_dir(base: str, kind: str, **params) -> str:
+    """Directory of a saved model named from its hyper-parameters, dots
+    dropped from numbers: ``als_20_01_200`` for maxIter=20, regParam=0.1, rank=200."""
+    parts = [str(v).replace(".", "") for v in params.values()]
+    return "/".join([base.rstrip("/"), "_".join([kind, *parts])])

@@ -84,3 +84,16 @@ def test_recommender_save_load_and_cluster_history_cache(spark, scratch):
     # A second fit with the same path reuses the saved table.
     again = HybridRecommender(k_clusters=4, rank=3, max_iter=3).fit(inp.train_freqs, inp.users, ch_path)
     assert again.cluster_hist.count() == rec.cluster_hist.count()
+
+
+def test_evaluate_list_files_one_pass(spark, scratch):
+    a = spark.createDataFrame([(1, list(range(72))), (2, list(range(72)))], "user_id int, items array<int>")
+    b = spark.createDataFrame([(1, list(range(72, 144)))], "user_id int, items array<int>")
+    pa, pb = os.path.join(scratch, "a"), os.path.join(scratch, "b")
+    writers.write_lists(a, pa)
+    writers.write_lists(b, pb)
+    truth = spark.createDataFrame([(1, 0), (2, 500)], "user_id int, item_id int")
+    out = {r.model: r for r in ev.evaluate_list_files(spark, {"a": pa, "b": pb}, truth).collect()}
+    assert out["a"].n_lists == 2 and out["a"].n_scored == 2
+    assert out["a"].mean_ndcg == pytest.approx(0.060268756553208506 / 2)
+    assert out["b"].n_scored == 1 and out["b"].mean_ndcg == 0.0

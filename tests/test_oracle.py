@@ -31,6 +31,7 @@ def test_every_query_has_oracle_or_is_rows_only():
         "kmeans_silhouette_sweep",
         "cluster_recommendations",
         "hybrid_recommend",
+        "hybrid_comparison",
     }
 
 

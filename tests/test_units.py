@@ -201,3 +201,44 @@ def test_self_fill_and_interleave_match_list_semantics(spark, seed):
     g = rnd.sample(range(20), K)
     assert _merge(spark, p, s, g, K, "self_fill") == _reference_self_fill(s, p, g, K)
     assert _merge(spark, p, s, g, K, "interleave") == _reference_interleave(s, p, g, K)
+
+
+# -- options and helpers -----------------------------------------------------------
+
+def test_ndcg_ideal_truth_matches_ranking_evaluator_definition(spark):
+    lists = lists_frame(spark, [(1, list(range(100, 172)))])
+    truth = truth_frame(spark, [(1, 100)])
+    got = ev.ndcg_per_user(ev.full_lists(lists), truth, ideal="truth").first()["ndcg"]
+    assert got == pytest.approx(1.0)
+
+
+def test_duplicate_users_are_rejected(spark):
+    lists = lists_frame(spark, [(1, [1]), (1, [2])])
+    with pytest.raises(ValueError):
+        ev.assert_unique_users(lists)
+
+
+def test_first_users_is_deterministic(spark):
+    from recoflow.operators.explore import first_users
+
+    users = spark.createDataFrame([(i,) for i in range(50, 0, -1)], "user_id int").repartition(4)
+    assert [r.user_id for r in first_users(users, 3).collect()] == [1, 2, 3]
+
+
+def test_model_dir_naming():
+    from recoflow.sinks.writers import model_dir
+
+    assert model_dir("models", "als", maxIter=20, regParam=0.1, rank=200) == "models/als_20_01_200"
+
+
+def test_broadcast_only_within_threshold(spark):
+    from recoflow.operators import popularity as pop
+
+    users = spark.createDataFrame([(1,), (2,)], "user_id int")
+    groups = spark.createDataFrame([(1, 0), (2, 1)], "user_id int, prediction int")
+    lists = lists_frame(spark, [(0, [5])]).withColumnRenamed("user_id", "prediction")
+    small = pop.lists_for_users(users, groups, lists, "prediction", max_groups=10, k=72)
+    big = pop.lists_for_users(users, groups, lists, "prediction", max_groups=10**9, k=72)
+    assert "broadcast" in small._jdf.queryExecution().analyzed().toString().lower()
+    assert "broadcast" not in big._jdf.queryExecution().analyzed().toString().lower()
+    assert small.collect() == big.collect()
