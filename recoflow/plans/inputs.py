@@ -3,7 +3,9 @@ split and the frequency tables derived from them.
 
 Everything here is lazy except the split thresholds, which are a few
 scalars per data set; they are computed once per (application, data dir)
-and reused by every query that needs a slice.
+and reused by every query that needs a slice. Each DataFrame is built once
+per ``Inputs`` (cached_property), so a query that uses a view several times
+shares one analysed subplan and Spark reuses its exchanges.
 """
 
 from __future__ import annotations
@@ -31,15 +33,15 @@ class Inputs:
         self.k = k
 
     # -- views -----------------------------------------------------------
-    @property
+    @cached_property
     def history(self) -> DataFrame:
         return tables.item_history(self.spark, self.sf_dir)
 
-    @property
+    @cached_property
     def users(self) -> DataFrame:
         return tables.user_master(self.spark, self.sf_dir)
 
-    @property
+    @cached_property
     def targets(self) -> DataFrame:
         return tables.target_users(self.spark, self.sf_dir)
 
@@ -57,42 +59,46 @@ class Inputs:
             return F.lit(True)
         return tables.time_bound(cut.values[0], upper)
 
-    @property
+    @cached_property
     def train_rows(self) -> DataFrame:
         s = self.split
         return self.history.where(self._bound(s.train_cut, True) & s.train_filter())
 
-    @property
+    @cached_property
     def train_test_rows(self) -> DataFrame:
         s = self.split
         return self.history.where(self._bound(s.test_cut, True) & s.train_test_filter())
 
-    @property
+    @cached_property
     def test_rows(self) -> DataFrame:
         s = self.split
         bounds = self._bound(s.train_cut, False) & self._bound(s.test_cut, True)
         return self.history.where(bounds & s.test_filter())
 
     # -- derived ---------------------------------------------------------
-    @property
+    @cached_property
     def train_freqs(self) -> DataFrame:
         return hist.item_frequencies(self.train_rows)
 
-    @property
+    @cached_property
     def test_truth(self) -> DataFrame:
         return hist.item_frequencies(self.test_rows).select("user_id", "item_id")
 
-    @property
+    @cached_property
     def cold_users(self) -> DataFrame:
         """Users of U without a single train row."""
-        return self.users.select("user_id").join(self.train_rows.select("user_id"), "user_id", "left_anti")
+        # Users are read off the per-pair frequencies (one row per pair, already
+        # shuffled for the popularity lists, so the exchange is reused), not off
+        # the raw slice; distinct() is pre-aggregated on the map side.
+        known = self.train_freqs.select("user_id").distinct()
+        return self.users.select("user_id").join(known, "user_id", "left_anti")
 
-    @property
+    @cached_property
     def hybrid_users(self) -> DataFrame:
         """T plus every cold user, so the cold-start branch is exercised."""
         return self.targets.unionByName(self.cold_users).distinct()
 
-    @property
+    @cached_property
     def user_segments(self) -> DataFrame:
         return self.users.select("user_id", F.col(self.segment_col).alias("segment"))
 

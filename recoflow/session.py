@@ -34,6 +34,15 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+def use_cluster_checkpoint_dir(spark: SparkSession) -> str | None:
+    """Library side: adopt the shared folder the cluster names in
+    ``spark.checkpoint.dir``; never invent one (no machine-local folders)."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or None
+    if path is not None and spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(path)
+    return path or spark.sparkContext.getCheckpointDir()
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
     (local tests) fall back to a fresh scratch folder under /tmp."""
