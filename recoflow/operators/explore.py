@@ -23,21 +23,20 @@ def sorted_value_counts(counts: DataFrame) -> DataFrame:
 
 def distinct_summary(history: DataFrame, users: DataFrame, targets: DataFrame) -> DataFrame:
     """One row: history rows, distinct users / items in the history, users in
-    the master table, distinct target users."""
-    h = history.agg(
-        F.count(F.lit(1)).alias("n_history_rows"),
-        F.countDistinct("user_id").alias("n_history_users"),
-        F.countDistinct("item_id").alias("n_history_items"),
+    the master table, distinct target users. The three inputs are tagged and
+    unioned, then counted in a single aggregate (no join of one-row frames)."""
+    src = F.col("_src")
+    tagged = (
+        history.select(F.lit("h").alias("_src"), F.col("user_id"), F.col("item_id").cast("string").alias("item_id"))
+        .unionByName(users.select(F.lit("u").alias("_src"), "user_id", F.lit(None).cast("string").alias("item_id")))
+        .unionByName(targets.select(F.lit("t").alias("_src"), "user_id", F.lit(None).cast("string").alias("item_id")))
     )
-    u = users.agg(F.countDistinct("user_id").alias("n_master_users"))
-    t = targets.agg(F.countDistinct("user_id").alias("n_target_users"))
-    # Three one-row aggregates side by side: joined on a constant key of one row each.
-    one = F.lit(1)
-    return (
-        h.withColumn("_k", one)
-        .join(u.withColumn("_k", one), "_k")
-        .join(t.withColumn("_k", one), "_k")
-        .drop("_k")
+    return tagged.agg(
+        F.count(F.when(src == "h", F.lit(1))).alias("n_history_rows"),
+        F.countDistinct(F.when(src == "h", F.col("user_id"))).alias("n_history_users"),
+        F.countDistinct(F.when(src == "h", F.col("item_id"))).alias("n_history_items"),
+        F.countDistinct(F.when(src == "u", F.col("user_id"))).alias("n_master_users"),
+        F.countDistinct(F.when(src == "t", F.col("user_id"))).alias("n_target_users"),
     )
 
 

@@ -1,0 +1,69 @@
+"""Physical-plan properties that matter at scale (checked on the planned
+query, before AQE re-optimisation; nothing is executed except the split)."""
+
+import re
+
+import pytest
+
+import __spark_entry__ as entry
+from recoflow.plans.inputs import Inputs
+
+SF = "/root/testdata/sf0.001"
+
+# Queries whose plans are pure DataFrame work (the MLlib ones fit models while building).
+PLANNED = sorted(entry.oracle_sql())
+
+
+def plan(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.fixture(scope="module")
+def plans(spark):
+    q = entry.queries()
+    return {name: plan(q[name](spark, SF)) for name in PLANNED}
+
+
+def test_no_cross_join_anywhere(plans):
+    for name, p in plans.items():
+        assert "CartesianProduct" not in p, name
+        assert "BroadcastNestedLoopJoin" not in p, name
+
+
+def test_no_python_udf_anywhere(plans):
+    for name, p in plans.items():
+        assert not re.search(r"(BatchEvalPython|ArrowEvalPython|FlatMapGroupsInPandas|MapInPandas)", p), name
+
+
+def test_no_single_partition_exchange_in_split_or_lists(plans):
+    for name in ("temporal_split_rows", "train_frequencies", "segment_recommendations", "hybrid_merge", "ndcg_per_user"):
+        assert "SinglePartition" not in plans[name], name
+
+
+def test_top_k_per_group_limits_before_shuffle(plans):
+    p = plans["segment_top_k"]
+    assert re.search(r"WindowGroupLimit .*Partial", p)
+    assert re.search(r"WindowGroupLimit .*Final", p)
+
+
+def test_aggregates_are_partial_before_shuffle(plans):
+    for name in ("train_frequencies", "segment_popularity", "item_exposure", "feature_value_counts"):
+        assert "partial_" in plans[name], name
+
+
+def test_scans_are_pruned(plans):
+    p = plans["train_frequencies"]
+    assert "ReadSchema: struct<l_orderkey:bigint,l_partkey:bigint,l_suppkey:bigint,l_linenumber:int,l_quantity:double>" in p
+    assert re.search(r"ReadSchema: struct<o_orderkey:bigint,o_custkey:bigint,o_orderdate:timestamp_ntz>", p)
+
+
+def test_slice_time_bound_reaches_the_scan(spark):
+    inp = Inputs(spark, SF)
+    p = plan(inp.train_rows)
+    assert re.search(r"PushedFilters: \[[^\]]*LessThanOrEqual\(o_orderdate", p)
+    p = plan(inp.test_rows)
+    assert re.search(r"PushedFilters: \[[^\]]*GreaterThanOrEqual\(o_orderdate", p)
+
+
+def test_global_list_is_a_bounded_top_k(plans):
+    assert "TakeOrderedAndProject(limit=72" in plans["global_top_k"]
