@@ -77,9 +77,11 @@ def _locate_value(counts: DataFrame, col: str, target: int, max_collect: int, bu
     base = 0
     while True:
         cur = counts if lo is None else counts.where(F.col(col).between(lo, hi))
-        head = cur.orderBy(col).limit(max_collect + 1).collect()
-        if len(head) <= max_collect:
-            return _walk(head, col, target, base)
+        # Count first (one scalar): a top-N collect would merge a
+        # max_collect-row queue from every partition on the driver.
+        d = cur.count()
+        if d <= max_collect:
+            return _walk(cur.orderBy(col).collect(), col, target, base)
         probs = [i / buckets for i in range(1, buckets)]
         splits = sorted(set(cur.approxQuantile(col, probs, 1.0 / (4 * buckets))))
         bucket = sum((F.col(col) > F.lit(s)).cast("int") for s in splits)
@@ -92,7 +94,7 @@ def _locate_value(counts: DataFrame, col: str, target: int, max_collect: int, bu
         cum = base
         for s in stats:
             if cum + s["_n"] >= target:
-                if s["_d"] == len(head) and lo == s["_lo"] and hi == s["_hi"]:
+                if s["_d"] == d:
                     raise RuntimeError("no progress narrowing the value range")
                 lo, hi, base = s["_lo"], s["_hi"], cum
                 break
