@@ -118,6 +118,11 @@ def segment_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pop.as_list_strings(inp.segment_user_lists(inp.targets))
 
 
+def user_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each user's own top-K train items (the primary list of the SQL-checkable merges)."""
+    return pop.as_list_strings(Inputs(spark, sf_dir).own_top_lists())
+
+
 # -- merges ------------------------------------------------------------------------
 
 def _merged(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
@@ -171,6 +176,12 @@ def ndcg_per_user(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ndcg(Inputs(spark, sf_dir)).select("user_id", r6("ndcg"))
 
 
+def ndcg_ideal_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """nDCG@K with iDCG over min(K, |truth|) positions (the RankingEvaluator definition)."""
+    inp = Inputs(spark, sf_dir)
+    return ev.ndcg_per_user(_segment_eval_lists(inp), inp.test_truth, K, ideal="truth").select("user_id", r6("ndcg"))
+
+
 def ndcg_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = ev.ndcg_summary(_ndcg(Inputs(spark, sf_dir)))
     return s.select("n_scored", r6("mean_ndcg"), r6("min_ndcg"), r6("max_ndcg"))
@@ -334,6 +345,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "segment_popularity": segment_popularity,
     "segment_top_k": segment_top_k,
     "segment_recommendations": segment_recommendations,
+    "user_top_k": user_top_k,
     "hybrid_merge": hybrid_merge,
     "hybrid_merge_self_fill": hybrid_merge_self_fill,
     "interleave_merge": interleave_merge,
@@ -342,6 +354,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "truth_wide": truth_wide,
     "relevance_flags": relevance_flags,
     "ndcg_per_user": ndcg_per_user,
+    "ndcg_ideal_truth": ndcg_ideal_truth,
     "ndcg_summary": ndcg_summary,
     "ndcg_histogram": ndcg_histogram,
     "item_exposure": item_exposure,

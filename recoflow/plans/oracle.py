@@ -204,6 +204,9 @@ SELECT segment, item_id, frequency, rank FROM seg_top""",
     "segment_recommendations": BASE + """
 SELECT user_id, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY rank) AS recommended_items
 FROM seg_list GROUP BY user_id""",
+    "user_top_k": BASE + """
+SELECT user_id, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY rank) AS recommended_items
+FROM p GROUP BY user_id""",
     "hybrid_merge": BASE + """
 SELECT user_id, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY r) AS recommended_items
 FROM hybrid GROUP BY user_id""",
@@ -251,6 +254,12 @@ FROM u LEFT JOIN tw ON tw.user_id = u.user_id""",
 SELECT user_id, pos, item_id, rel FROM rel""",
     "ndcg_per_user": BASE + "," + _REL + """
 SELECT user_id, round(ndcg, 6) AS ndcg FROM nd""",
+    "ndcg_ideal_truth": BASE + "," + _REL + f""",
+tsize AS (SELECT user_id, least(count(*), {K}) AS m FROM truth GROUP BY user_id),
+dcg AS (SELECT user_id, sum(rel / log2(pos + 2)) AS d FROM rel GROUP BY user_id)
+SELECT dcg.user_id,
+       round(dcg.d / (SELECT sum(1.0 / log2(range + 2)) FROM range(tsize.m)), 6) AS ndcg
+FROM dcg JOIN tsize ON tsize.user_id = dcg.user_id""",
     "ndcg_summary": BASE + "," + _REL + """
 SELECT count(*) AS n_scored, round(avg(ndcg), 6) AS mean_ndcg, round(min(ndcg), 6) AS min_ndcg,
        round(max(ndcg), 6) AS max_ndcg
