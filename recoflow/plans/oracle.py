@@ -56,7 +56,7 @@ u AS (
          CASE WHEN c.c_acctbal < 0 THEN 'neg' ELSE 'pos' END AS feature6
   FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey
 ),
-t AS (SELECT user_id FROM u WHERE user_id % 4 = 0),
+t AS (SELECT user_id FROM u),
 uv AS (
   SELECT user_id, 'feature1' AS feature, feature1 AS value FROM u UNION ALL
   SELECT user_id, 'feature2', feature2 FROM u UNION ALL
