@@ -90,19 +90,27 @@ def lists_for_users(
     group_col: str,
     max_groups: int | None = None,
     k: int = DEFAULT_K,
+    salt: int = 16,
 ) -> DataFrame:
     """Give each user the list of their group: (user_id, items).
 
     The per-group table has one row per group. When the caller knows a
     bound on the number of groups (e.g. KMeans k) and ``max_groups * k``
-    ids fit under the session's broadcast threshold, it is broadcast;
-    otherwise the join is left to the planner (AQE still converts it at
-    runtime once the measured size is small, or runs a shuffle join)."""
+    ids fit under the session's broadcast threshold, it is broadcast.
+    Otherwise the join is salted: each group's (K-bounded) row is
+    replicated ``salt`` times and every user draws a salt from a hash of
+    its id, so a group holding a third of all users is spread over
+    ``salt`` join partitions instead of one (AQE may still turn the join
+    into a broadcast once it has measured the list table)."""
     members = users.select("user_id").join(user_groups.select("user_id", group_col), "user_id", "inner")
     limit = broadcast_threshold(lists.sparkSession)
     if max_groups is not None and 0 <= list_table_bytes(max_groups, k) <= limit:
-        lists = F.broadcast(lists)
-    return members.join(lists, group_col, "inner").select("user_id", "items")
+        return members.join(F.broadcast(lists), group_col, "inner").select("user_id", "items")
+    if salt <= 1:
+        return members.join(lists, group_col, "inner").select("user_id", "items")
+    salted_lists = lists.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    salted_members = members.withColumn("_salt", F.pmod(F.xxhash64("user_id"), F.lit(salt)).cast("int"))
+    return salted_members.join(salted_lists, [group_col, "_salt"], "inner").select("user_id", "items")
 
 
 def as_list_strings(user_lists: DataFrame, items_col: str = "items", name: str = "recommended_items") -> DataFrame:

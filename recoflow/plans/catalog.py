@@ -27,7 +27,7 @@ from recoflow.operators.merge import merge_lists
 from recoflow.plans.compare import compare_hybrids
 from recoflow.plans.inputs import Inputs
 from recoflow.plans.recommender import HybridRecommender
-from recoflow.sources.tables import FEATURE_COLS, HISTORY_ORDER
+from recoflow.sources.tables import HISTORY_ORDER
 
 K = DEFAULT_K
 
@@ -374,4 +374,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hybrid_comparison": hybrid_comparison,
 }
 
-__all__ = ["QUERIES", "FEATURE_COLS"]
+__all__ = ["QUERIES"]

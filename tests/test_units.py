@@ -242,3 +242,18 @@ def test_broadcast_only_within_threshold(spark):
     assert "broadcast" in small._jdf.queryExecution().analyzed().toString().lower()
     assert "broadcast" not in big._jdf.queryExecution().analyzed().toString().lower()
     assert small.collect() == big.collect()
+
+
+def test_salted_group_join_spreads_a_hot_group(spark):
+    from recoflow.operators import popularity as pop
+
+    n = 400
+    users = spark.createDataFrame([(i,) for i in range(n)], "user_id int")
+    # A third of the users sit in group 0, the rest spread over 1..9.
+    groups = spark.createDataFrame([(i, 0 if i % 3 == 0 else 1 + i % 9) for i in range(n)], "user_id int, g int")
+    lists = spark.createDataFrame([(g, [g, g + 100]) for g in range(10)], "g int, items array<int>")
+    out = pop.lists_for_users(users, groups, lists, "g", max_groups=None, salt=8)
+    assert "_salt" in out._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.user_id: list(r["items"]) for r in out.collect()}
+    assert len(got) == n
+    assert all(got[i] == ([0, 100] if i % 3 == 0 else [1 + i % 9, 101 + i % 9]) for i in range(n))
