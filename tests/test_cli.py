@@ -1,0 +1,43 @@
+"""End-to-end run of the command-line flows on TSV inputs."""
+
+import os
+import tempfile
+
+from pyspark.sql import functions as F
+
+from recoflow.plans import cli
+from recoflow.sources import tables
+
+SF = "/root/testdata/sf0.001"
+
+
+def _tsv(df, path):
+    df.write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+
+
+def test_prepare_recommend_evaluate(spark):
+    data = tempfile.mkdtemp(prefix="recoflow-cli-data-", dir="/tmp")
+    out = tempfile.mkdtemp(prefix="recoflow-cli-out-", dir="/tmp")
+    h = tables.item_history(spark, SF)
+    # The input file holds one row per (user, item): latest timestamp and summed frequency.
+    hist = h.groupBy("user_id", "item_id").agg(
+        F.max("latest_timestamp").alias("latest_timestamp"), F.sum("frequency").alias("frequency")
+    )
+    _tsv(hist.select("user_id", "item_id", "latest_timestamp", "frequency"), os.path.join(data, "item_history.tsv"))
+    _tsv(tables.user_master(spark, SF), os.path.join(data, "user_master.tsv"))
+    _tsv(tables.target_users(spark, SF), os.path.join(data, "target_users.tsv"))
+
+    split = cli.prepare(spark, data, out)
+    n = hist.count()
+    assert split.n == n and split.n_train == int(n * 0.7) and split.n_test == int(n * 0.2)
+    train = spark.read.parquet(os.path.join(out, "train_frequencies"))
+    assert train.agg(F.count(F.lit(1))).first()[0] == split.n_train  # pairs are unique in the input
+
+    cli.recommend(spark, data, out, k_clusters=5, rank=4, max_iter=3, reg_param=0.1)
+    sub = spark.read.option("sep", "\t").option("header", True).csv(os.path.join(out, "submission"))
+    assert sub.count() == tables.target_users(spark, SF).count()
+    assert sub.where(F.size(F.split("recommend_items", ",")) != 72).count() == 0
+
+    result = cli.evaluate(spark, out, {"hybrid": os.path.join(out, "lists_hybrid")}).collect()
+    assert len(result) == 1 and result[0].n_lists == sub.count()
+    assert 0.0 <= result[0].mean_ndcg <= 1.0 and result[0].entropy > 0
