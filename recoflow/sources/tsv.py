@@ -59,3 +59,17 @@ def count_rejects(df: DataFrame, required: Sequence[str]) -> int:
     for c in required:
         cond = cond | F.col(c).isNull()
     return df.where(cond).count()
+
+
+def read_truth_items(spark: SparkSession, path: str, pad: str = "0") -> DataFrame:
+    """A wide truth file (``user_id \\t id,id,...,0,0``) as the long, distinct
+    (user_id, item_id) table the metrics use. Pad tokens are dropped; the wide
+    format cannot tell a real item ``0`` from padding, so item 0 is lost here
+    (the long truth built from the history keeps it)."""
+    wide = read_truth(spark, path).where(F.col("user_id").isNotNull())
+    items = wide.select("user_id", F.explode(F.split("items_actioned_on", ",")).alias("_t"))
+    return (
+        items.where((F.col("_t") != F.lit(pad)) & (F.col("_t") != F.lit("")))
+        .select("user_id", F.regexp_replace("_t", "I", "").cast("int").alias("item_id"))
+        .distinct()
+    )

@@ -97,3 +97,14 @@ def test_evaluate_list_files_one_pass(spark, scratch):
     assert out["a"].n_lists == 2 and out["a"].n_scored == 2
     assert out["a"].mean_ndcg == pytest.approx(0.060268756553208506 / 2)
     assert out["b"].n_scored == 1 and out["b"].mean_ndcg == 0.0
+
+
+def test_wide_truth_file_to_long_items(spark, scratch):
+    from recoflow.operators import truth as tr
+
+    users = spark.createDataFrame([(1,), (2,)], "user_id int")
+    rows = spark.createDataFrame([(1, "I5", 10, 2), (1, "I7", 20, 1)], "user_id int, item_id string, latest_timestamp bigint, frequency int")
+    path = os.path.join(scratch, "y_test")
+    writers.write_truth(tr.truth_wide(users, rows, ("latest_timestamp", "user_id")), path)
+    got = sorted(tuple(r) for r in tsv.read_truth_items(spark, path).collect())
+    assert got == [(1, 5), (1, 7)]
