@@ -31,6 +31,7 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from recoflow.config import TEST_FRACTION, TRAIN_FRACTION
 from recoflow.functions.keys import lex_le, prefix_eq
@@ -82,6 +83,8 @@ def _locate_value(counts: DataFrame, col: str, target: int, max_collect: int, bu
         d = cur.count()
         if d <= max_collect:
             return _walk(cur.orderBy(col).collect(), col, target, base)
+        if not isinstance(cur.schema[col].dataType, NumericType):
+            raise ValueError(f"{col}: more than {max_collect} distinct values in a boundary group need a numeric key")
         probs = [i / buckets for i in range(1, buckets)]
         splits = sorted(set(cur.approxQuantile(col, probs, 1.0 / (4 * buckets))))
         bucket = sum((F.col(col) > F.lit(s)).cast("int") for s in splits)

@@ -74,6 +74,8 @@ def prepare(spark: SparkSession, data: str, out: str, k: int = DEFAULT_K) -> Tem
     if rejects:
         print(f"item_history: {rejects} rows with unparsable fields")
     history = history.where("user_id IS NOT NULL AND item_id IS NOT NULL AND latest_timestamp IS NOT NULL AND frequency IS NOT NULL")
+    # Numeric item ids, so every key of the total order is numeric.
+    history = hist.clean_history(history)
     split = temporal_split(history, ORDER)
     _save_split(split, os.path.join(out, "split.json"))
     train = history.where(split.train_filter())
