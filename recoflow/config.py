@@ -17,3 +17,6 @@ HYBRID_DEFAULTS = {"k": 5000, "max_iter": 20, "reg_param": 0.1, "rank": 200}
 # ALS grid of the reference's cross-validated search.
 ALS_GRID = {"maxIter": [10, 15, 20], "regParam": [0.01, 0.1, 0.3, 1.0], "rank": [5, 15, 25]}
 ALS_FOLDS = 10
+
+# Silhouette sweep of the reference: k = 12..101, then 200..1100 in steps of 100.
+SILHOUETTE_SWEEP = list(range(12, 102)) + list(range(200, 1200, 100))

@@ -17,12 +17,13 @@ from ``SparkSession.builder.getOrCreate()`` so cluster settings apply.
 from __future__ import annotations
 
 import argparse
+import hashlib
 import json
 import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recoflow.config import DEFAULT_K
+from recoflow.config import DEFAULT_K, SILHOUETTE_SWEEP
 from recoflow.operators import als as als_ops
 from recoflow.operators import clustering as cl
 from recoflow.operators import evaluation as ev
@@ -84,7 +85,10 @@ def recommend(spark: SparkSession, data: str, out: str, k_clusters: int, rank: i
     _, users, targets = _inputs(spark, data)
     freqs = spark.read.parquet(os.path.join(out, "train_frequencies"))
     rec = HybridRecommender(k_clusters=k_clusters, rank=rank, max_iter=max_iter, reg_param=reg_param, top_k=k, mode=mode)
-    rec.fit(freqs, users, cluster_hist_path=os.path.join(out, f"cluster_history_k{k_clusters}"))
+    with open(os.path.join(out, "split.json")) as fh:
+        digest = hashlib.sha1(fh.read().encode()).hexdigest()[:12]
+    # Keyed by cluster count and train slice, so a stale table is never reused.
+    rec.fit(freqs, users, cluster_hist_path=os.path.join(out, f"cluster_history_k{k_clusters}_{digest}"))
     rec.save(os.path.join(out, writers.model_dir("models", "hybrid", k=k_clusters, rank=rank, maxIter=max_iter, regParam=reg_param)))
     lists = rec.recommend_arrays(targets)
     writers.write_lists(lists, os.path.join(out, "lists_hybrid"))
@@ -132,7 +136,7 @@ def main(argv: list[str] | None = None) -> None:
     g.add_argument("--folds", type=int, default=10)
     s = sub.add_parser("silhouette")
     s.add_argument("--data", required=True)
-    s.add_argument("--ks", required=True)
+    s.add_argument("--ks", default=",".join(map(str, SILHOUETTE_SWEEP)))
     args = ap.parse_args(argv)
 
     spark = SparkSession.builder.appName(f"recoflow-{args.cmd}").getOrCreate()

@@ -257,3 +257,14 @@ def test_salted_group_join_spreads_a_hot_group(spark):
     got = {r.user_id: list(r["items"]) for r in out.collect()}
     assert len(got) == n
     assert all(got[i] == ([0, 100] if i % 3 == 0 else [1 + i % 9, 101 + i % 9]) for i in range(n))
+
+
+def test_cluster_history_key_depends_on_k_and_slice():
+    from recoflow.operators.split import Cut, TemporalSplit
+    from recoflow.plans.recommender import cluster_history_key
+
+    a = TemporalSplit(("t",), 10, 7, 2, Cut("prefix", (5,)), Cut("prefix", (8,)))
+    b = TemporalSplit(("t",), 10, 7, 2, Cut("prefix", (6,)), Cut("prefix", (8,)))
+    assert cluster_history_key(10, a) == cluster_history_key(10, a)
+    assert cluster_history_key(10, a) != cluster_history_key(20, a)
+    assert cluster_history_key(10, a) != cluster_history_key(10, b)
