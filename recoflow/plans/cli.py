@@ -96,8 +96,14 @@ def recommend(spark: SparkSession, data: str, out: str, k_clusters: int, rank: i
     return lists
 
 
-def evaluate(spark: SparkSession, out: str, lists: dict[str, str], k: int = DEFAULT_K) -> DataFrame:
-    truth = spark.read.parquet(os.path.join(out, "test_frequencies")).select("user_id", "item_id")
+def evaluate(spark: SparkSession, out: str, lists: dict[str, str], k: int = DEFAULT_K,
+             truth_path: str | None = None) -> DataFrame:
+    """Score list files against the prepared test slice, or against a wide
+    truth file (``user_id \\t id,id,...``) when ``truth_path`` is given."""
+    if truth_path:
+        truth = tsv.read_truth_items(spark, truth_path)
+    else:
+        truth = spark.read.parquet(os.path.join(out, "test_frequencies")).select("user_id", "item_id")
     return ev.evaluate_list_files(spark, lists, truth, k)
 
 
@@ -131,6 +137,7 @@ def main(argv: list[str] | None = None) -> None:
     e = sub.add_parser("evaluate")
     e.add_argument("--out", required=True)
     e.add_argument("--lists", nargs="+", required=True, help="NAME=PATH")
+    e.add_argument("--truth", default=None, help="wide truth file (y_test); default: the prepared test slice")
     g = sub.add_parser("grid")
     g.add_argument("--out", required=True)
     g.add_argument("--folds", type=int, default=10)
@@ -147,7 +154,7 @@ def main(argv: list[str] | None = None) -> None:
         recommend(spark, args.data, args.out, args.k_clusters, args.rank, args.max_iter, args.reg_param, mode=args.mode)
     elif args.cmd == "evaluate":
         pairs = dict(item.split("=", 1) for item in args.lists)
-        evaluate(spark, args.out, pairs).show(truncate=False)
+        evaluate(spark, args.out, pairs, truth_path=args.truth).show(truncate=False)
     elif args.cmd == "grid":
         grid(spark, args.out, args.folds).show(truncate=False)
     elif args.cmd == "silhouette":

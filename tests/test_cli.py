@@ -41,3 +41,6 @@ def test_prepare_recommend_evaluate(spark):
     result = cli.evaluate(spark, out, {"hybrid": os.path.join(out, "lists_hybrid")}).collect()
     assert len(result) == 1 and result[0].n_lists == sub.count()
     assert 0.0 <= result[0].mean_ndcg <= 1.0 and result[0].entropy > 0
+    # Scoring against the wide y_test file gives the same numbers unless item 0 is in the truth.
+    wide = cli.evaluate(spark, out, {"hybrid": os.path.join(out, "lists_hybrid")}, truth_path=os.path.join(out, "y_test")).collect()
+    assert wide[0].n_lists == result[0].n_lists and wide[0].entropy == result[0].entropy

@@ -268,3 +268,11 @@ def test_cluster_history_key_depends_on_k_and_slice():
     assert cluster_history_key(10, a) == cluster_history_key(10, a)
     assert cluster_history_key(10, a) != cluster_history_key(20, a)
     assert cluster_history_key(10, a) != cluster_history_key(10, b)
+
+
+def test_library_only_adopts_the_cluster_checkpoint_dir(spark):
+    from recoflow.session import use_cluster_checkpoint_dir
+
+    configured = spark.conf.get("spark.checkpoint.dir")
+    assert use_cluster_checkpoint_dir(spark) in (configured, spark.sparkContext.getCheckpointDir())
+    assert spark.sparkContext.getCheckpointDir() is not None
