@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recoflow.functions.lists import strip_item_prefix
-from recoflow.operators.split import TemporalSplit, temporal_split
+from recoflow.operators.split import TemporalSplit
 
 HISTORY_COLUMNS = ("user_id", "item_id", "latest_timestamp", "frequency")
 
@@ -25,10 +25,6 @@ def clean_history(history: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def split_history(history: DataFrame, order_cols: Sequence[str], train_fraction=0.7, test_fraction=0.2) -> TemporalSplit:
-    return temporal_split(history, order_cols, train_fraction, test_fraction)
-
-
 def label_slices(history: DataFrame, split: TemporalSplit, name: str = "slice") -> DataFrame:
     return history.withColumn(name, split.label())
 

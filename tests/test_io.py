@@ -108,3 +108,16 @@ def test_wide_truth_file_to_long_items(spark, scratch):
     writers.write_truth(tr.truth_wide(users, rows, ("latest_timestamp", "user_id")), path)
     got = sorted(tuple(r) for r in tsv.read_truth_items(spark, path).collect())
     assert got == [(1, 5), (1, 7)]
+
+
+def test_frequencies_tsv_and_model_save(spark, scratch):
+    from pyspark.ml.feature import StringIndexer, StringIndexerModel
+
+    path = os.path.join(scratch, "train_frequencies.tsv")
+    freqs = spark.createDataFrame([(1, 5, 2.0), (2, 7, 1.0)], "user_id int, item_id int, frequency double")
+    writers.write_table(freqs, path, fmt="tsv")
+    assert sorted(tuple(r) for r in tsv.read_frequencies(spark, path).collect()) == [(1, 5, 2.0), (2, 7, 1.0)]
+    model = StringIndexer(inputCol="f", outputCol="i").fit(spark.createDataFrame([("a",), ("b",)], "f string"))
+    mpath = writers.model_dir(scratch, "indexer", k=2)
+    writers.save_model(model, mpath)
+    assert list(StringIndexerModel.load(mpath).labels) == ["a", "b"]

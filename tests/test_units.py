@@ -276,3 +276,17 @@ def test_library_only_adopts_the_cluster_checkpoint_dir(spark):
     configured = spark.conf.get("spark.checkpoint.dir")
     assert use_cluster_checkpoint_dir(spark) in (configured, spark.sparkContext.getCheckpointDir())
     assert spark.sparkContext.getCheckpointDir() is not None
+
+
+def test_exploration_helpers(spark):
+    from recoflow.operators import explore as ex
+    from recoflow.operators import folds
+
+    users = spark.createDataFrame([(i, "a" if i % 3 else "b") for i in range(30)], "user_id int, feature1 string")
+    counts = ex.sorted_value_counts(ex.feature_value_counts(users, cols=("feature1",))).collect()
+    assert [(r.value, r["count"]) for r in counts] == [("a", 20), ("b", 10)]
+    assert ex.preview(users, 5).count() == 5 and ex.preview(users, -1).count() == 30
+    sample = spark.createDataFrame([(1,), (2,), (99,)], "user_id int")
+    assert sorted(r.user_id for r in ex.restrict_users(users, sample).collect()) == [1, 2]
+    parts = folds.random_split(users, [0.1, 0.5, 0.2, 0.1])
+    assert len(parts) == 4 and sum(p.count() for p in parts) == 30
