@@ -13,8 +13,9 @@ def _c(col: Column | str) -> Column:
 
 
 def strip_item_prefix(col: Column | str) -> Column:
-    """"I123" -> 123 (int). Bad strings raise under ANSI casts."""
-    return F.regexp_replace(_c(col), ITEM_PREFIX, "").cast("int")
+    """"I123" -> 123 (int): a plain string replace (no regex). Bad strings
+    raise under ANSI casts."""
+    return F.replace(_c(col), F.lit(ITEM_PREFIX), F.lit("")).cast("int")
 
 
 def join_items(arr: Column | str, prefix: str = "") -> Column:

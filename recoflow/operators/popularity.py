@@ -33,7 +33,7 @@ def global_top_k(freqs: DataFrame, k: int = DEFAULT_K) -> DataFrame:
 
 def global_top_list(freqs: DataFrame, k: int = DEFAULT_K) -> list[int]:
     """The global top-k as a driver-side list (k ids, a proven bound)."""
-    rows = item_popularity(freqs).orderBy(F.desc("frequency"), F.asc("item_id")).limit(k).collect()
+    rows = item_popularity(freqs).orderBy(F.desc("frequency"), F.asc("item_id")).limit(k).collect()  # k rows
     return [r["item_id"] for r in rows]
 
 

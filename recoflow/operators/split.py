@@ -82,7 +82,7 @@ def _locate_value(counts: DataFrame, col: str, target: int, max_collect: int, bu
         # max_collect-row queue from every partition on the driver.
         d = cur.count()
         if d <= max_collect:
-            return _walk(cur.orderBy(col).collect(), col, target, base)
+            return _walk(cur.orderBy(col).collect(), col, target, base)  # <= max_collect rows
         if not isinstance(cur.schema[col].dataType, NumericType):
             raise ValueError(f"{col}: more than {max_collect} distinct values in a boundary group need a numeric key")
         probs = [i / buckets for i in range(1, buckets)]
@@ -92,7 +92,7 @@ def _locate_value(counts: DataFrame, col: str, target: int, max_collect: int, bu
             cur.groupBy(bucket.alias("_b"))
             .agg(F.sum("_n").alias("_n"), F.min(col).alias("_lo"), F.max(col).alias("_hi"), F.count(F.lit(1)).alias("_d"))
             .orderBy("_b")
-            .collect()
+            .collect()  # <= buckets rows
         )
         cum = base
         for s in stats:
@@ -148,7 +148,8 @@ def _resolve_small(df: DataFrame, cols: Sequence[str], pending: list[_Pending])
     wanted = F.lit(False)
     for p in pending:
         wanted = wanted | ((F.col("_g") == groups.index(p.prefix)) & (F.col("_rn") == p.remaining))
-    rows = {(r["_g"], r["_rn"]): tuple(r[c] for c in cols) for r in numbered.where(wanted).collect()}
+    boundary = numbered.where(wanted).collect()  # one row per cut
+    rows = {(r["_g"], r["_rn"]): tuple(r[c] for c in cols) for r in boundary}
     return [Cut("prefix", rows[(groups.index(p.prefix), p.remaining)]) for p in pending]
 
 
