@@ -102,6 +102,8 @@ def _locate_value(counts: DataFrame, col: str, target: int, max_collect: int, bu
                 lo, hi, base = s["_lo"], s["_hi"], cum
                 break
             cum += s["_n"]
+        else:
+            raise RuntimeError("rank beyond the counted rows")
 
 
 @dataclass(frozen=True)
@@ -222,7 +224,8 @@ def temporal_split(
     """Compute the exact 70 / 20 / rest cut of ``history`` in ``order_cols`` order.
 
     Runs a handful of small jobs: one aggregate of row counts per leading-key
-    value (persisted, it also gives n), and one bounded lookup per boundary.
+    value (persisted, it also gives n), a bounded walk over those counts, and
+    one job that numbers the small boundary groups of both cuts together.
     """
     cols = tuple(order_cols)
     keyed = history.select(*cols)
