@@ -220,16 +220,22 @@ def temporal_split(
     test_fraction: float = TEST_FRACTION,
     max_collect: int = MAX_COLLECT,
     buckets: int = BUCKETS,
+    leading_counts: DataFrame | None = None,
 ) -> TemporalSplit:
     """Compute the exact 70 / 20 / rest cut of ``history`` in ``order_cols`` order.
 
+    ``leading_counts`` (columns: the leading key, ``_n``) may be supplied when
+    the caller can count rows per leading-key value more cheaply than by
+    scanning ``history`` (e.g. pre-aggregated before a join).
+
     Runs a handful of small jobs: one aggregate of row counts per leading-key
     value (persisted, it also gives n), a bounded walk over those counts, and
     one job that numbers the small boundary groups of both cuts together.
     """
     cols = tuple(order_cols)
     keyed = history.select(*cols)
-    counts = _value_counts(keyed, cols[0]).persist(StorageLevel.MEMORY_AND_DISK)
+    counts = leading_counts if leading_counts is not None else _value_counts(keyed, cols[0])
+    counts = counts.select(cols[0], "_n").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"]
         n_train, n_test = slice_sizes(n, train_fraction, test_fraction)

@@ -50,7 +50,8 @@ class Inputs:
     def split(self) -> TemporalSplit:
         key = (self.spark.sparkContext.applicationId, self.sf_dir)
         if key not in _SPLITS:
-            _SPLITS[key] = temporal_split(self.history, tables.HISTORY_ORDER)
+            counts = tables.history_time_counts(self.spark, self.sf_dir)
+            _SPLITS[key] = temporal_split(self.history, tables.HISTORY_ORDER, leading_counts=counts)
         return _SPLITS[key]
 
     def _bound(self, cut, upper: bool):

@@ -67,6 +67,20 @@ def item_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def history_time_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of H per ``latest_timestamp`` (columns latest_timestamp, _n), with
+    line items counted per order *before* the join: the join then moves one
+    row per order instead of one per line item (same counts as grouping H)."""
+    lines = read_table(spark, sf_dir, "lineitem", ["l_orderkey"]).groupBy("l_orderkey").agg(
+        F.count(F.lit(1)).alias("_lines")
+    )
+    orders = read_table(spark, sf_dir, "orders", ["o_orderkey", "o_orderdate"])
+    joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey, "inner")
+    return joined.groupBy(F.unix_timestamp("o_orderdate").alias("latest_timestamp")).agg(
+        F.sum("_lines").alias("_n")
+    )
+
+
 def time_bound(epoch_seconds: int, upper: bool) -> Column:
     """``latest_timestamp <= t`` (or ``>=``) restated on the stored order-date
     column, so the bound reaches the orders parquet scan as a pushed filter;

@@ -290,3 +290,13 @@ def test_exploration_helpers(spark):
     assert sorted(r.user_id for r in ex.restrict_users(users, sample).collect()) == [1, 2]
     parts = folds.random_split(users, [0.1, 0.5, 0.2, 0.1])
     assert len(parts) == 4 and sum(p.count() for p in parts) == 30
+
+
+def test_pre_aggregated_time_counts_equal_grouping_the_history(spark):
+    from recoflow.sources import tables
+
+    sf = "/root/testdata/sf0.001"
+    a = sorted(tuple(r) for r in tables.history_time_counts(spark, sf).collect())
+    h = tables.item_history(spark, sf)
+    b = sorted(tuple(r) for r in h.groupBy("latest_timestamp").agg(F.count(F.lit(1)).alias("_n")).collect())
+    assert a == b
