@@ -80,7 +80,7 @@ def prepare(spark: SparkSession, data: str, out: str, k: int = DEFAULT_K) -> Tem
 
 
 def recommend(spark: SparkSession, data: str, out: str, k_clusters: int, rank: int, max_iter: int,
-              reg_param: float, k: int = DEFAULT_K, mode: str = "hybrid") -> DataFrame:
+              reg_param: float, k: int = DEFAULT_K, mode: str = "hybrid", single_file: bool = False) -> DataFrame:
     """Fit the hybrid on the prepared train frequencies and write lists + submission."""
     _, users, targets = _inputs(spark, data)
     freqs = spark.read.parquet(os.path.join(out, "train_frequencies"))
@@ -92,7 +92,7 @@ def recommend(spark: SparkSession, data: str, out: str, k_clusters: int, rank: i
     rec.save(os.path.join(out, writers.model_dir("models", "hybrid", k=k_clusters, rank=rank, maxIter=max_iter, regParam=reg_param)))
     lists = rec.recommend_arrays(targets)
     writers.write_lists(lists, os.path.join(out, "lists_hybrid"))
-    writers.write_submission(lists, os.path.join(out, "submission"))
+    writers.write_submission(lists, os.path.join(out, "submission"), single_file=single_file)
     return lists
 
 
@@ -134,6 +134,7 @@ def main(argv: list[str] | None = None) -> None:
     r.add_argument("--max-iter", type=int, default=20)
     r.add_argument("--reg-param", type=float, default=0.1)
     r.add_argument("--mode", default="hybrid", choices=["hybrid", "self_fill", "interleave"])
+    r.add_argument("--single-file", action="store_true", help="write the submission as one file")
     e = sub.add_parser("evaluate")
     e.add_argument("--out", required=True)
     e.add_argument("--lists", nargs="+", required=True, help="NAME=PATH")
@@ -151,7 +152,8 @@ def main(argv: list[str] | None = None) -> None:
         split = prepare(spark, args.data, args.out)
         print(json.dumps({"n": split.n, "train": split.n_train, "test": split.n_test}))
     elif args.cmd == "recommend":
-        recommend(spark, args.data, args.out, args.k_clusters, args.rank, args.max_iter, args.reg_param, mode=args.mode)
+        recommend(spark, args.data, args.out, args.k_clusters, args.rank, args.max_iter, args.reg_param,
+                  mode=args.mode, single_file=args.single_file)
     elif args.cmd == "evaluate":
         pairs = dict(item.split("=", 1) for item in args.lists)
         evaluate(spark, args.out, pairs, truth_path=args.truth).show(truncate=False)

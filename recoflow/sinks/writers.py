@@ -34,12 +34,15 @@ def write_lists(lists: DataFrame, path: str, header: bool = False, prefix: str =
     _tsv(list_strings(lists, prefix=prefix), path, header)
 
 
-def write_submission(lists: DataFrame, path: str) -> None:
-    """One file with a header, ids prefixed with "I", column ``recommend_items``.
-    ``coalesce(1)`` is the point of this sink (a single-file deliverable):
-    the lists are built in parallel and only the final write is one task."""
+def write_submission(lists: DataFrame, path: str, single_file: bool = False) -> None:
+    """Submission table: header, ids prefixed with "I", column ``recommend_items``.
+
+    By default written in parallel (one part file per partition, each with
+    its header). ``single_file=True`` gives the one-file deliverable: a
+    ``repartition(1)`` (a shuffle, unlike ``coalesce(1)``) keeps the lists
+    built in parallel and makes only the final write a single task."""
     out = list_strings(lists, name="recommend_items", prefix=ITEM_PREFIX)
-    _tsv(out.coalesce(1), path, header=True)
+    _tsv(out.repartition(1) if single_file else out, path, header=True)
 
 
 def write_truth(truth_wide: DataFrame, path: str) -> None:

@@ -54,7 +54,7 @@ def test_als_struct_lists_written_as_ids(spark, scratch):
 def test_submission_is_one_file_with_prefix(spark, scratch):
     lists = spark.createDataFrame([(i, [i, i + 1]) for i in range(20)], "user_id int, items array<int>").repartition(4)
     path = os.path.join(scratch, "submission")
-    writers.write_submission(lists, path)
+    writers.write_submission(lists, path, single_file=True)
     parts = [f for f in os.listdir(path) if f.startswith("part-")]
     assert len(parts) == 1
     back = spark.read.option("sep", "\t").option("header", True).csv(path)
@@ -121,3 +121,11 @@ def test_frequencies_tsv_and_model_save(spark, scratch):
     mpath = writers.model_dir(scratch, "indexer", k=2)
     writers.save_model(model, mpath)
     assert list(StringIndexerModel.load(mpath).labels) == ["a", "b"]
+
+
+def test_submission_parallel_parts_read_back_whole(spark, scratch):
+    lists = spark.createDataFrame([(i, [i, i + 1]) for i in range(20)], "user_id int, items array<int>").repartition(4)
+    path = os.path.join(scratch, "submission_parts")
+    writers.write_submission(lists, path)
+    back = spark.read.option("sep", "\t").option("header", True).csv(path)
+    assert back.count() == 20 and back.where("user_id = 'user_id'").count() == 0
