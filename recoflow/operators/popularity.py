@@ -20,14 +20,16 @@ def item_popularity(freqs: DataFrame) -> DataFrame:
 def global_top_k(freqs: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     """Top-k items by total frequency: (item_id, frequency, rank 1..k).
 
-    ``row_number() <= k`` over an unpartitioned window is planned with a
-    per-partition WindowGroupLimit, so only k rows per partition move.
-    """
-    w = Window.orderBy(F.desc("frequency"), F.asc("item_id"))
-    return (
-        item_popularity(freqs)
-        .withColumn("rank", F.row_number().over(w))
-        .where(F.col("rank") <= k)
+    ``orderBy + limit`` is planned as a per-partition top-k merged into k rows
+    (TakeOrderedAndProject); the k survivors are ranked by sorting them as one
+    k-long array, so no window ever sees more than those k rows."""
+    top = item_popularity(freqs).orderBy(F.desc("frequency"), F.asc("item_id")).limit(k)
+    # struct(-frequency, item_id) ascending = frequency desc, then item_id asc.
+    ranked = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("frequency")).alias("nf"), "item_id"))).alias("_a"))
+    return ranked.select(F.posexplode("_a").alias("_p", "_s")).select(
+        F.col("_s.item_id").alias("item_id"),
+        (-F.col("_s.nf")).alias("frequency"),
+        (F.col("_p") + 1).cast("int").alias("rank"),
     )
 
 

@@ -124,7 +124,9 @@ def _descend(df, cols, m, n, first_counts, max_collect, buckets):
     prefix: list = []
     remaining, group = m, n
     for j, col in enumerate(cols):
-        if group <= max_collect:
+        # Level 0 always walks the value counts; only a real boundary group
+        # (a non-empty prefix) is numbered, never the whole table.
+        if prefix and group <= max_collect:
             return _Pending(tuple(prefix), remaining)
         sub = df.where(prefix_eq(cols, prefix)) if prefix else df
         counts = first_counts if (j == 0 and first_counts is not None) else _value_counts(sub, col)
