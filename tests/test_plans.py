@@ -1,6 +1,7 @@
 """Physical-plan properties that matter at scale (checked on the planned
 query, before AQE re-optimisation; nothing is executed except the split)."""
 
+import json
 import re
 
 import pytest
@@ -67,3 +68,17 @@ def test_slice_time_bound_reaches_the_scan(spark):
 
 def test_global_list_is_a_bounded_top_k(plans):
     assert "TakeOrderedAndProject(limit=72" in plans["global_top_k"]
+
+
+def test_every_window_has_a_partition_key(spark):
+    """No WindowExec without a partition key in any SQL-checkable query, nor in
+    the split (an unpartitioned window moves all rows into one task)."""
+    q = entry.queries()
+    frames = {name: q[name](spark, SF) for name in PLANNED}
+    inp = Inputs(spark, SF)
+    frames["train_rows"] = inp.train_rows
+    for name, df in frames.items():
+        nodes = json.loads(df._jdf.queryExecution().sparkPlan().toJSON())
+        for node in nodes:
+            if node["class"].endswith("window.WindowExec"):
+                assert node["partitionSpec"], name

@@ -300,3 +300,14 @@ def test_pre_aggregated_time_counts_equal_grouping_the_history(spark):
     h = tables.item_history(spark, sf)
     b = sorted(tuple(r) for r in h.groupBy("latest_timestamp").agg(F.count(F.lit(1)).alias("_n")).collect())
     assert a == b
+
+
+def test_split_numbers_only_boundary_groups_never_the_whole_table(spark):
+    from recoflow.operators.split import _descend, _Pending, slice_sizes
+    from recoflow.sources import tables
+
+    h = tables.item_history(spark, "/root/testdata/sf0.001").select(*tables.HISTORY_ORDER)
+    n = h.count()
+    for m in slice_sizes(n):
+        found = _descend(h, tables.HISTORY_ORDER, m, n, None, 100_000, 64)
+        assert not isinstance(found, _Pending) or len(found.prefix) >= 1
