@@ -23,7 +23,7 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 
-from recoflow.config import DEFAULT_K, SILHOUETTE_SWEEP
+from recoflow.config import ALS_FOLDS, DEFAULT_K, HYBRID_DEFAULTS, SILHOUETTE_SWEEP
 from recoflow.operators import als as als_ops
 from recoflow.operators import clustering as cl
 from recoflow.operators import evaluation as ev
@@ -107,7 +107,7 @@ def evaluate(spark: SparkSession, out: str, lists: dict[str, str], k: int = DEFA
     return ev.evaluate_list_files(spark, lists, truth, k)
 
 
-def grid(spark: SparkSession, out: str, num_folds: int = 10) -> DataFrame:
+def grid(spark: SparkSession, out: str, num_folds: int = ALS_FOLDS) -> DataFrame:
     from recoflow.config import ALS_GRID
 
     freqs = folds.assign_folds(spark.read.parquet(os.path.join(out, "train_frequencies")), num_folds)
@@ -129,10 +129,10 @@ def main(argv: list[str] | None = None) -> None:
     r = sub.add_parser("recommend")
     r.add_argument("--data", required=True)
     r.add_argument("--out", required=True)
-    r.add_argument("--k-clusters", type=int, default=5000)
-    r.add_argument("--rank", type=int, default=200)
-    r.add_argument("--max-iter", type=int, default=20)
-    r.add_argument("--reg-param", type=float, default=0.1)
+    r.add_argument("--k-clusters", type=int, default=HYBRID_DEFAULTS["k"])
+    r.add_argument("--rank", type=int, default=HYBRID_DEFAULTS["rank"])
+    r.add_argument("--max-iter", type=int, default=HYBRID_DEFAULTS["max_iter"])
+    r.add_argument("--reg-param", type=float, default=HYBRID_DEFAULTS["reg_param"])
     r.add_argument("--mode", default="hybrid", choices=["hybrid", "self_fill", "interleave"])
     r.add_argument("--single-file", action="store_true", help="write the submission as one file")
     e = sub.add_parser("evaluate")
@@ -141,7 +141,7 @@ def main(argv: list[str] | None = None) -> None:
     e.add_argument("--truth", default=None, help="wide truth file (y_test); default: the prepared test slice")
     g = sub.add_parser("grid")
     g.add_argument("--out", required=True)
-    g.add_argument("--folds", type=int, default=10)
+    g.add_argument("--folds", type=int, default=ALS_FOLDS)
     s = sub.add_parser("silhouette")
     s.add_argument("--data", required=True)
     s.add_argument("--ks", default=",".join(map(str, SILHOUETTE_SWEEP)))
