@@ -311,3 +311,31 @@ def test_split_numbers_only_boundary_groups_never_the_whole_table(spark):
     for m in slice_sizes(n):
         found = _descend(h, tables.HISTORY_ORDER, m, n, None, 100_000, 64)
         assert not isinstance(found, _Pending) or len(found.prefix) >= 1
+
+
+# -- edge cases ------------------------------------------------------------------
+
+def test_split_of_empty_history(spark):
+    h = spark.createDataFrame([], "user_id int, item_id string, latest_timestamp bigint, frequency int, k int")
+    s = temporal_split(h, ("latest_timestamp", "user_id", "k"))
+    assert (s.n, s.n_train, s.n_test) == (0, 0, 0)
+    assert s.train_cut.kind == "none" and s.test_cut.kind == "none"
+    assert h.where(s.train_filter()).count() == 0
+
+
+def test_merge_with_empty_global_list(spark):
+    assert _merge(spark, None, [3, 4], [], 4, "hybrid") == [3, 4]
+    assert _merge(spark, None, None, [], 4, "hybrid") == []
+
+
+def test_evaluate_without_any_truth(spark):
+    lists = ev.with_model(lists_frame(spark, [(1, list(range(72)))]), "m")
+    truth = truth_frame(spark, [])
+    row = ev.evaluate(lists, truth).first()
+    assert row.n_lists == 1 and row.n_scored is None and row.entropy == pytest.approx(math.log2(72))
+
+
+def test_histogram_of_a_single_value(spark):
+    per_user = spark.createDataFrame([("m", 1, 0.25), ("m", 2, 0.25)], "model string, user_id int, ndcg double")
+    h = ev.ndcg_histogram(per_user, bins=5).orderBy("bin").collect()
+    assert [r.n for r in h] == [2, 0, 0, 0, 0]
