@@ -1,5 +1,6 @@
 """Compare a Spark query with its DuckDB oracle: row count, column names,
-order-insensitive values (floats rounded to 6 places)."""
+column dtypes and order-insensitive values. Floats must be exactly equal:
+both sides already round their float outputs to 6 places."""
 
 from __future__ import annotations
 
@@ -26,11 +27,9 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 def _norm(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
-        if pd.api.types.is_float_dtype(df[c]):
-            df[c] = df[c].round(6)
-        elif pd.api.types.is_integer_dtype(df[c]):
+        if pd.api.types.is_integer_dtype(df[c]):
             df[c] = df[c].astype("int64")
-        else:
+        elif not pd.api.types.is_float_dtype(df[c]):
             df[c] = df[c].astype(str)
     return df.sort_values(list(df.columns)).reset_index(drop=True)
 
@@ -42,6 +41,10 @@ def compare(spark_df, sql: str, con) -> tuple[bool, str]:
         return False, f"columns differ: spark={sorted(s.columns)} sql={sorted(d.columns)}"
     if len(s) != len(d):
         return False, f"row counts differ: spark={len(s)} sql={len(d)}"
+    sd = {c: str(t) for c, t in s.dtypes.items()}
+    dd = {c: str(t) for c, t in d.dtypes.items()}
+    if sd != dd:
+        return False, f"dtypes differ: spark={sd} sql={dd}"
     a, b = _norm(s), _norm(d)
     for c in a.columns:
         if not a[c].equals(b[c]):
