@@ -129,3 +129,13 @@ def test_cluster_recommendations_cover_targets(spark, inp):
     recs = cl.cluster_recommendations(inp.targets, clusters, lists)
     assert recs.count() == inp.targets.count()
     assert recs.where(F.size("items") > K).count() == 0
+
+
+@pytest.mark.parametrize("mode", ["self_fill", "interleave"])
+def test_recommender_other_merge_modes(spark, inp, mode):
+    rec = HybridRecommender(k_clusters=5, rank=4, max_iter=3, mode=mode).fit(inp.train_freqs, inp.users)
+    out = rec.recommend_arrays(inp.targets).collect()
+    assert len(out) == inp.targets.count()
+    assert all(0 < len(r["items"]) <= K for r in out)
+    lists = rec.recommend(inp.targets, append_I=True).first().recommended_items.split(",")
+    assert all(x.startswith("I") for x in lists)
