@@ -112,3 +112,18 @@ def test_results_unchanged_under_other_partitioning(spark, name):
         spark.conf.set("spark.sql.shuffle.partitions", old)
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert base.equals(other)
+
+
+def test_lex_le_matches_tuple_order(spark):
+    from recoflow.functions.keys import lex_le
+
+    rnd = random.Random(3)
+    rows = [(rnd.randrange(4), rnd.randrange(4), rnd.randrange(4)) for _ in range(300)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a int, b int, c int")
+    cols = ("a", "b", "c")
+    thresholds = [tuple(rnd.randrange(4) for _ in range(n)) for n in (1, 2, 3) for _ in range(5)]
+    exprs = [lex_le(cols, t).alias(f"t{j}") for j, t in enumerate(thresholds)]
+    got = {r["i"]: [r[f"t{j}"] for j in range(len(thresholds))] for r in df.select("i", *exprs).collect()}
+    for i, row in enumerate(rows):
+        expected = [row[: len(t)] <= t for t in thresholds]
+        assert got[i] == expected, (row, thresholds)
