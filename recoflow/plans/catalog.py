@@ -228,8 +228,9 @@ def coverage_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many merge users have a primary list / a truth, and how many not."""
     inp = Inputs(spark, sf_dir)
     users = inp.hybrid_users
-    known = inp.train_rows.select("user_id").distinct().withColumn("_p", F.lit(1))
-    truthy = inp.test_rows.select("user_id").distinct().withColumn("_t", F.lit(1))
+    # Read off the per-pair tables (already aggregated, exchanges shared with the merge inputs).
+    known = inp.train_freqs.select("user_id").distinct().withColumn("_p", F.lit(1))
+    truthy = inp.test_truth.select("user_id").distinct().withColumn("_t", F.lit(1))
     flags = users.join(known, "user_id", "left").join(truthy, "user_id", "left")
     agg = flags.agg(
         F.count(F.lit(1)).alias("users"),
