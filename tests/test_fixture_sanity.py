@@ -54,6 +54,13 @@ def test_published_properties_of_the_views(spark, sf):
     assert got == FACTS[sf]
 
 
+def test_pairs_repeat_in_the_history(spark):
+    from recoflow.sources.tables import item_history
+
+    h = item_history(spark, "/root/testdata/sf0.01")
+    assert (h.count(), h.select("user_id", "item_id").distinct().count()) == (60000, 59391)
+
+
 def test_published_silhouettes(spark):
     from recoflow.operators import clustering as cl
     from recoflow.operators import features as feat
