@@ -48,7 +48,7 @@ class Inputs:
     # -- split -----------------------------------------------------------
     @cached_property
     def split(self) -> TemporalSplit:
-        key = (self.spark.sparkContext.applicationId, self.sf_dir)
+        key = (self.spark.conf.get("spark.app.id", None) or str(id(self.spark)), self.sf_dir)
         if key not in _SPLITS:
             counts = tables.history_time_counts(self.spark, self.sf_dir)
             _SPLITS[key] = temporal_split(self.history, tables.HISTORY_ORDER, leading_counts=counts)

@@ -40,11 +40,16 @@ def local_session(
 
 def use_cluster_checkpoint_dir(spark: SparkSession) -> str | None:
     """Library side: adopt the shared folder the cluster names in
-    ``spark.checkpoint.dir``; never invent one (no machine-local folders)."""
+    ``spark.checkpoint.dir``; never invent one (no machine-local folders).
+    Without a JVM SparkContext (Spark Connect) the server's setting applies."""
     path = spark.conf.get("spark.checkpoint.dir", None) or None
-    if path is not None and spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(path)
-    return path or spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: no driver-side context to configure
+        return path
+    if path is not None and sc.getCheckpointDir() is None:
+        sc.setCheckpointDir(path)
+    return path or sc.getCheckpointDir()
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
