@@ -26,3 +26,14 @@ def test_bench_prints_one_json_line():
     assert doc["unit"] == "sec" and doc["sf"] == 0.001 and set(doc["queries"]) == {"global_top_k", "truth_long"}
     assert doc["value"] == sum(doc["queries"].values()) or abs(doc["value"] - sum(doc["queries"].values())) < 0.01
     assert "errors" not in doc
+
+
+def test_entry_module_loads_from_another_directory():
+    code = (
+        "import importlib.util;"
+        "spec = importlib.util.spec_from_file_location('e', %r);"
+        "m = importlib.util.module_from_spec(spec); spec.loader.exec_module(m);"
+        "print(len(m.queries()), len(m.oracle_sql()))"
+    ) % os.path.join(ROOT, "__spark_entry__.py")
+    out = subprocess.run([sys.executable, "-c", code], cwd="/tmp", capture_output=True, text=True, timeout=120, check=True)
+    assert out.stdout.split() == [str(len(entry.queries())), str(len(entry.oracle_sql()))]
