@@ -7,8 +7,10 @@ rereads them. Folders that no later step reads are removed with ``drop``.
 
 from __future__ import annotations
 
+import io
 import os
 import uuid
+import zipfile
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -29,10 +31,34 @@ def shared_dir(spark: SparkSession) -> str:
     return path or ensure_checkpoint_dir(spark)
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Put this package, as a zip in the shared folder, on the Python path of the
+    executors (once per application), so that they need no installed copy."""
+    name = "recoflow-code.zip"
+    sc = spark.sparkContext
+    if name in sc._python_includes:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
+        for folder, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    target = f"{shared_dir(spark).rstrip('/')}/code-{uuid.uuid4().hex}/{name}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    out = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).create(path)
+    out.write(bytearray(data.getvalue()))
+    out.close()
+    sc.addPyFile(target)
+
+
 class Work:
     """One operator call's folder of intermediate tables."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship_code(spark)
         self.spark = spark
         self.path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
