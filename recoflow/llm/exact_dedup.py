@@ -27,6 +27,7 @@ from recoflow.llm.common import Work, settings
 ROCKSDB = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "256",
 }
@@ -98,7 +99,7 @@ def exact_dedup(
         return _decisions(arrivals.withColumns({"keep": F.struct("id", "file", "row"), "group_size": F.lit(1).cast("long")}))
     hits = work.keep(keyed_state(spark, work, arrivals).where("group_size > 1"), "hits")
     texts = work.keep(
-        rows.withColumn("digest", digest(F.col("text"))).join(hits, "digest"), "texts"
+        rows.withColumn("digest", digest(F.col("text"))).join(hits.hint("merge"), "digest"), "texts"
     )
     decided = arrivals.join(hits, "digest", "left").withColumns({
         "keep": F.coalesce("keep", F.struct("id", "file", "row")),
