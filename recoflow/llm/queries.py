@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from recoflow.llm import chat, mixing, packing, toxicity
+from recoflow.llm import chat, fingerprints, html_extract, mixing, packing, toxicity
 from recoflow.llm.common import table
 from recoflow.llm.exact_dedup import exact_dedup
 
@@ -18,12 +18,22 @@ TOKENIZER = "word_bpe_49k.json"
 TOXIC_SCORE = 0.7
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by nearest-URL page differencing."""
+    return html_extract.extract(spark, table(spark, sf_dir, "pages"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Concatenate-and-cut packing of whole documents into sequences of 4096 tokens."""
     pieces, _ = packing.pack(spark, table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
     return pieces.withColumnRenamed("id", "doc_id")
 
 
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle fingerprints of every text and of its edit towards the next document."""
+    return fingerprints.fingerprint_with_next(spark, table(spark, sf_dir, "documents"))
+
+
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prefix-target expansion of all conversations plus one that holds control strings, read back."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -63,7 +73,9 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_html_extraction": op1_html_extraction,
     "op2_packing": op2_packing,
+    "op3_fingerprints": op3_fingerprints,
     "op4_chat_formatting": op4_chat_formatting,
     "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,
