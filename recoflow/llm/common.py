@@ -21,6 +21,9 @@ from recoflow.session import ensure_checkpoint_dir
 #: The word of all operators that count or compare words (fixed by the contracts).
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: A written table makes the shuffle files behind it needless.
+CLEANUP = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
@@ -67,7 +70,8 @@ class Work:
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and read it back: cuts the lineage, survives lost executors."""
-        df.write.mode("overwrite").parquet(self.at(name))
+        with settings(self.spark, CLEANUP):
+            df.write.mode("overwrite").parquet(self.at(name))
         return self.spark.read.schema(df.schema).parquet(self.at(name))
 
     def drop(self, *names: str) -> None:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from recoflow.llm import chat, fingerprints, html_extract, mixing, packing, toxicity
+from recoflow.llm import chat, debruijn, fingerprints, html_extract, mixing, packing, rlbwt, toxicity
 from recoflow.llm.common import table
 from recoflow.llm.exact_dedup import exact_dedup
 
@@ -66,6 +66,16 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes covered by 200-byte strings that start elsewhere too, removed from every text."""
+    return rlbwt.remove_repeats(spark, table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").drop("spans")
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words covered by 20-word windows that start earlier too, removed from every text."""
+    return debruijn.remove_repeats(spark, table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").drop("spans")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stateful streaming deduplication of whole texts; the largest doc_id of equal texts stays."""
     out = exact_dedup(spark, table(spark, sf_dir, "documents"))
@@ -79,6 +89,8 @@ QUERIES = {
     "op4_chat_formatting": op4_chat_formatting,
     "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,
+    "op8_suffix_array_dedup": op8_suffix_array_dedup,
+    "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 
