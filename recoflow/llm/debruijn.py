@@ -15,7 +15,8 @@ A word is removed if a window that covers it starts earlier too (smaller id, or
 document and earlier start).
 
 Defined results: a null text has no words; a text shorter than a window loses
-nothing; rows that repeat an id are the same document, not its copies; an
+nothing; rows that repeat an id are the same document, not its copies; a row without
+id is compared with nothing; an
 empty table gives an empty result; further columns are ignored.
 """
 
@@ -168,7 +169,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     """(id, n_words, n_removed, kept_sha256, spans) of every row; spans are word ranges."""
     work = Work(spark, "debruijn")
     texts = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    found = repeated_runs(work, texts, word_hashes, WINDOW, GRAM)
+    found = repeated_runs(work, texts.where("id is not null"), word_hashes, WINDOW, GRAM)
     sources = with_runs(work, texts, found, "sources")
     work.drop("repeated")
     paths = work.keep(

@@ -168,6 +168,17 @@ def mix(
     ).withColumn("taken", (F.col("size") * F.col("copies")).cast("long"))
 
 
+def mixed_rows(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, all columns."""
+    taken = mix(spark, docs, id_col, text_col, source_col, **how).where("copies > 0").select(
+        F.col("id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("copies").alias("_mix_copies")
+    ).distinct()
+    same = docs[id_col].eqNullSafe(taken["_mix_id"]) & docs[source_col].cast("string").eqNullSafe(taken["_mix_source"])
+    return docs.join(taken.hint("merge"), same).withColumn(
+        "_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))
+    ).select(*[docs[c] for c in docs.columns])
+
+
 def _same(col: str, a: DataFrame, b: DataFrame) -> Column:
     return a[col].eqNullSafe(b[col])
 

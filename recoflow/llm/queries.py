@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from recoflow.llm import chat, debruijn, fingerprints, html_extract, mixing, packing, rlbwt, toxicity
+from recoflow.llm import chat, debruijn, fingerprints, html_extract, mixing, packing, rlbwt, setjoin, toxicity
 from recoflow.llm.common import table
 from recoflow.llm.exact_dedup import exact_dedup
 
@@ -66,6 +66,12 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of documents whose sets of 3-word shingles have a Jaccard similarity of 0.9 or more."""
+    groups, _ = setjoin.link_groups(spark, table(spark, sf_dir, "documents"), width=3, num=90, den=100)
+    return groups.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes covered by 200-byte strings that start elsewhere too, removed from every text."""
     return rlbwt.remove_repeats(spark, table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id").drop("spans")
@@ -89,6 +95,7 @@ QUERIES = {
     "op4_chat_formatting": op4_chat_formatting,
     "op5_mixing": op5_mixing,
     "op6_toxicity": op6_toxicity,
+    "op7_jaccard_join": op7_jaccard_join,
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,

@@ -18,7 +18,8 @@ is not gathered: its windows are counted by digest in Spark instead, which gives
 same marks.
 
 Defined results: a null text is empty; texts shorter than ``LENGTH`` lose nothing;
-rows that repeat an id are the same document, not its copies; an empty table gives
+rows that repeat an id are the same document, not its copies; a row without
+id is compared with nothing; an empty table gives
 an empty result; further columns are ignored; removal may cut UTF-8 characters.
 """
 
@@ -220,7 +221,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     """(id, n_bytes, n_removed, n_spans, kept_sha256, spans) of every row; spans are byte ranges."""
     work = Work(spark, "rlbwt")
     texts = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    found = repeated_runs(work, texts, text_bytes, LENGTH, GRAM)
+    found = repeated_runs(work, texts.where("id is not null"), text_bytes, LENGTH, GRAM)
     sources = with_runs(work, texts, found, "sources")
     work.drop("repeated")
     rows = work.keep(sources.mapInArrow(_contents, "key long, content binary, doc long, start int, n int"), "contents")

@@ -10,7 +10,7 @@ Scoring is row-local: whole texts, no shuffle.
 Training uses a bounded sample: at most ``TRAIN_ROWS`` labelled rows, those of the
 smallest id hash. Labels, language, source and ids are no inputs of a score.
 
-Defined results: a null or empty text has no features and gets the model's base
+Defined results: a null or empty text, or one shorter than the longest n-gram, has no features and gets the model's base
 score; documents labelled twice with both labels count as toxic; null labels
 are left out; without toxic or without clean training rows every score is the
 share of toxic ones (0 without any label); an empty table gives an empty result.
@@ -66,6 +66,22 @@ class Model:
         t[self.features] = self.weights
         return t
 
+    def scorer(self):
+        """Batches -> (batch, score of each row) by the text in a given column."""
+
+        def run(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+            table = self.table()
+            chosen = table != 0
+            for b in batches:
+                total = np.full(b.num_rows, self.base)
+                for k, text in enumerate(b.column(column).to_pylist()):
+                    if text and len(text) >= max(ORDERS):
+                        h = ngrams(text)
+                        total[k] += float(table[np.unique(h[chosen[h]])].sum())
+                yield b, 1.0 / (1.0 + np.exp(-np.clip(total, -60, 60)))
+
+        return run
+
 
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> Model:
@@ -141,19 +157,23 @@ def score(docs: DataFrame, model: Model, id_cols: list[Column], text_col: str =
     """``id_cols`` and ``score`` (0 to 1) of every row."""
     keys = docs.select(*id_cols, docs[text_col].alias("_text"))
     names = [c for c in keys.columns if c != "_text"]
-    base, features, weights = model.base, model.features, model.weights
+    scores = model.scorer()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = Model(base, features, weights).table()
-        chosen = table != 0
-        for b in batches:
-            total = np.full(b.num_rows, base)
-            for k, text in enumerate(b.column(len(names)).to_pylist()):
-                if text and len(text) >= max(ORDERS):
-                    h = ngrams(text)
-                    total[k] += float(table[np.unique(h[chosen[h]])].sum())
-            value = 1.0 / (1.0 + np.exp(-np.clip(total, -60, 60)))
+        for b, value in scores(batches, len(names)):
             yield pa.RecordBatch.from_arrays([*b.columns[: len(names)], pa.array(value)], [*names, "score"])
 
     schema = keys.drop("_text").schema.add("score", "double")
     return keys.mapInArrow(run, schema)
+
+
+def clean_rows(docs: DataFrame, model: Model, least: float, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose score is below ``least``, all columns; no shuffle."""
+    packed = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs[text_col].alias("text"))
+    scores = model.scorer()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, value in scores(batches, 1):
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(pa.array(value < least))], ["row"])
+
+    return packed.mapInArrow(run, packed.select("row").schema).select("row.*")
