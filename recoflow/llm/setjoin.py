@@ -47,7 +47,7 @@ SLOT_BITS, HEAVY_TIMES, HEAVY_LEAST = 21, 4, 64
 SLOT_CHUNK = 1 << 13
 #: Largest size that may enumerate subsets; cost of a list entry in subset rows (it has to be verified).
 MOST_SMALL, ENTRY_COST = 48, 8
-SKETCH_BITS = 256
+SKETCH_BITS, WIDE_BITS = 256, 1 << 14
 #: Rows that one copy of a set is compared with before it is replicated.
 PAIRS_PER_COPY = 256
 
@@ -117,7 +117,7 @@ def heavy_slots(texts: DataFrame, width: int) -> tuple[np.ndarray, dict[int, int
                 np.add.at(slots, _slots(h), 1)
                 sizes[len(h)] = sizes.get(len(h), 0) + 1
         if sizes:
-            parts = slots.reshape(-1, SLOT_CHUNK)
+            parts = np.minimum(slots, np.iinfo(np.uint16).max).astype(np.uint16).reshape(-1, SLOT_CHUNK)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(range(len(parts)), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary()), pa.array([0] * len(parts), pa.int64())],
                 ["at", "counts", "n"],
@@ -131,7 +131,7 @@ def heavy_slots(texts: DataFrame, width: int) -> tuple[np.ndarray, dict[int, int
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for at, counts in zip(b.column(0).to_pylist(), b.column(1)):
-                c = np.frombuffer(counts.as_buffer(), np.uint32).astype(np.uint64)
+                c = np.frombuffer(counts.as_buffer(), np.uint16).astype(np.uint64)
                 total[at] = total[at] + c if at in total else c
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([c.tobytes() for c in total.values()], pa.binary())], ["at", "counts"])
@@ -159,7 +159,6 @@ def _described(rule: Rule, heavy_bits: bytes, most_small: int):
             cols: list[list] = [[] for _ in names]
             for doc, h in _sets(b, rule.width):
                 n = len(h)
-                parity = np.packbits(np.bincount((h & np.uint64(SKETCH_BITS - 1)).astype(np.int64), minlength=SKETCH_BITS) & 1)
                 tokens = []
                 if n and rule.sizes(n)[-1] > most_small:
                     late = heavy[_slots(h)]
@@ -167,7 +166,7 @@ def _described(rule: Rule, heavy_bits: bytes, most_small: int):
                 if n and n <= most_small:
                     tokens.append(subset_hashes(h, rule.subset_sizes(n, most_small)))
                 all_tokens = np.concatenate(tokens).view(np.int64) if tokens else np.zeros(0, np.int64)
-                row = (doc, n, hashlib.blake2b(h.tobytes(), digest_size=16).digest(), parity.view(">i8").tolist(), all_tokens)
+                row = (doc, n, hashlib.blake2b(h.tobytes(), digest_size=16).digest(), parity(h, SKETCH_BITS).view(">i8").tolist(), all_tokens)
                 for c, v in zip(cols, row):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
@@ -175,6 +174,11 @@ def _described(rule: Rule, heavy_bits: bytes, most_small: int):
     return run
 
 
+def parity(h: np.ndarray, bits: int) -> np.ndarray:
+    """One bit per hash bucket: whether an odd number of members fall into it."""
+    return np.packbits(np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1)
+
+
 def subset_hashes(h: np.ndarray, sizes: set[int]) -> np.ndarray:
     """A hash of every subset of the given sizes, from the sum of its members' hashes."""
     out = []
@@ -224,43 +228,61 @@ def _possible(rule: Rule, n: Column, m: Column, a: list[Column], b: list[Column]
     return sizes & (differ * (rule.num + rule.den) <= (n + m) * (rule.den - rule.num))
 
 
+def _against(work: Work, pairs: DataFrame, values: DataFrame, value: str, test, name: str) -> DataFrame:
+    """The pairs (a, b) whose values pass ``test``. A value that many pairs need is
+    replicated, one copy per ``PAIRS_PER_COPY`` pairs."""
+    copies = work.keep(
+        pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PAIRS_PER_COPY).cast("int").alias("copies")), f"{name}-copies"
+    )
+    right = values.join(copies.hint("merge"), values["id"] == copies["b"]).select(
+        "b", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col(value).alias("value_b")
+    )
+    left = pairs.join(copies.hint("merge"), "b").withColumn("copy", F.pmod(F.xxhash64("a"), "copies").cast("int")).join(
+        values.select(F.col("id").alias("a"), F.col(value).alias("value_a")).hint("merge"), "a"
+    )
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            good = [test(x, y) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield b.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    joined = left.join(right.hint("merge"), ["b", "copy"]).select("a", "b", "value_a", "value_b")
+    out = work.keep(joined.mapInArrow(check, "a long, b long"), name)
+    work.drop(f"{name}-copies")
+    return out
+
+
 def verified(work: Work, texts: DataFrame, pairs: DataFrame, rule: Rule, name: str) -> DataFrame:
-    """The pairs (a, b) whose whole sets link. A set that many pairs need is replicated."""
+    """The pairs (a, b) whose whole sets link. Long sets differ in more members than
+    the short parity sketch has bits, so a wide one goes before the sets."""
     pairs = work.keep(pairs, f"{name}-pairs")
     ids = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = list(_sets(b, rule.width))
+            wide = [len(h).to_bytes(8, "little") + parity(h, WIDE_BITS).tobytes() for _, h in got]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([i for i, _ in got], pa.int64()), pa.array([h.tobytes() for _, h in got], pa.binary())], ["id", "set"]
+                [pa.array([i for i, _ in got], pa.int64()), pa.array([h.tobytes() for _, h in got], pa.binary()), pa.array(wide, pa.binary())],
+                ["id", "set", "wide"],
             )
 
+    def may_link(x: bytes, y: bytes) -> bool:
+        differ = np.bitwise_count(np.frombuffer(x, np.uint8, offset=8) ^ np.frombuffer(y, np.uint8, offset=8)).sum()
+        n = int.from_bytes(x[:8], "little") + int.from_bytes(y[:8], "little")
+        return int(differ) * (rule.num + rule.den) <= n * (rule.den - rule.num)
+
+    def link(x: bytes, y: bytes) -> bool:
+        hx, hy = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+        common = len(np.intersect1d(hx, hy, assume_unique=True))
+        return rule.den * common >= rule.num * (len(hx) + len(hy) - common)
+
     whole = work.keep(
-        texts.join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(sets, "id long, set binary"), f"{name}-sets"
-    )
-    copies = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / PAIRS_PER_COPY).cast("int").alias("copies"))
-    copies = work.keep(copies, f"{name}-copies")
-    right = whole.join(copies.hint("merge"), whole["id"] == copies["b"]).select(
-        "b", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"), F.col("set").alias("set_b")
+        texts.join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"]).mapInArrow(sets, "id long, set binary, wide binary"), f"{name}-sets"
     )
-    left = pairs.join(copies.hint("merge"), "b").withColumn("copy", F.pmod(F.xxhash64("a"), "copies").cast("int")).join(
-        whole.withColumnRenamed("id", "a").hint("merge"), "a"
-    )
-
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a, c = [], []
-            for x, y, sx, sy in zip(*(col.to_pylist() for col in b.columns)):
-                hx, hy = np.frombuffer(sx, np.uint64), np.frombuffer(sy, np.uint64)
-                common = len(np.intersect1d(hx, hy, assume_unique=True))
-                if rule.den * common >= rule.num * (len(hx) + len(hy) - common):
-                    a.append(x)
-                    c.append(y)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64())], ["a", "b"])
-
-    out = work.keep(left.join(right.hint("merge"), ["b", "copy"]).select("a", "b", "set", "set_b").mapInArrow(check, "a long, b long"), f"{name}-links")
-    work.drop(f"{name}-sets", f"{name}-copies")
+    likely = _against(work, pairs, whole, "wide", may_link, f"{name}-likely")
+    out = _against(work, likely, whole, "set", link, f"{name}-links")
+    work.drop(f"{name}-sets", f"{name}-likely", f"{name}-pairs")
     return out
 
 
@@ -288,7 +310,7 @@ def link_groups(
     reps = work.keep(own.select("id", "n", *[F.col("sketch")[k].alias(f"s{k}") for k in range(words)], "tokens"), "reps")
     light = reps.drop("tokens")
     entries = reps.select("id", F.explode("tokens").alias("token"))
-    many = entries.groupBy("token").agg(F.min("id").alias("hub"), F.max("id").alias("_hi")).where("hub < _hi").drop("_hi")
+    many = entries.groupBy("token").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     lists = work.keep(entries.join(many.hint("merge"), "token"), "lists")
     sketch = [f"s{k}" for k in range(words)]
 
@@ -306,15 +328,18 @@ def link_groups(
     first = verified(work, known, star.where(possible("_a", "_b")).select("a", "b"), rule, "first")
     linked = work.keep(components(work, first, "first-component"), "linked")
     # Second round: pairs of different components within a list.
-    members = lists.join(linked.withColumnRenamed("node", "id").hint("merge"), "id", "left").withColumn(
-        "component", F.coalesce("component", "id")
-    ).join(light.hint("merge"), "id")
+    # (A list of two has been compared, one of a single component needs no more.)
+    members = lists.where("size > 2").select("token", "id", "hub").join(
+        linked.withColumnRenamed("node", "id").hint("merge"), "id", "left"
+    ).withColumn("component", F.coalesce("component", "id"))
     members = work.keep(members, "members")
+    work.drop("lists")
     split = members.groupBy("token").agg(
         F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.when(F.col("id") == F.col("hub"), F.col("component"))).alias("major")
     ).where("lo != hi").select("token", "major")
-    members = work.keep(members.join(split.hint("merge"), "token"), "split")
-    work.drop("lists", "members")
+    members = members.join(split.hint("merge"), "token").join(light.hint("merge"), "id")
+    members = work.keep(members, "split")
+    work.drop("members")
     columns = ["token", "id", "component", "n", *sketch]
     a = members.where("component != major").select(*[F.col(c).alias(f"{c}_a") for c in columns])
     b = members.where("id != hub").select(*[F.col(c).alias(f"{c}_b") for c in columns], (F.col("component") == F.col("major")).alias("in_major"))
