@@ -169,7 +169,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     """(id, n_words, n_removed, kept_sha256, spans) of every row; spans are word ranges."""
     work = Work(spark, "debruijn")
     texts = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    found = repeated_runs(work, texts.where("id is not null"), word_hashes, WINDOW, GRAM)
+    found, within = repeated_runs(work, texts.where("id is not null"), word_hashes, WINDOW, GRAM, first_stays=True)
     sources = with_runs(work, texts, found, "sources")
     work.drop("repeated")
     paths = work.keep(
@@ -187,6 +187,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
         .mapInArrow(_edges, "edge binary, doc long, start int"),
         "edges",
     )
+    work.drop("sources")
     earliest = edges.groupBy("edge").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first != last")
     later = edges.join(earliest.hint("merge"), "edge").where(place > F.col("first"))
     single = later.select("doc", F.col("start").alias("a"), (F.col("start") + WINDOW).alias("b"))
@@ -199,7 +200,11 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     whole = repeats.join(chains.select("path", "whole", "ahead").hint("merge"), "path").groupBy(
         "doc", "whole", (F.col("start") + F.col("ahead")).alias("last")
     ).agg(F.min("start").alias("a"), (F.max(F.col("start") + F.col("n")) + WINDOW - 1).cast("int").alias("b")).select("doc", "a", "b")
-    spans = whole.unionByName(single).groupBy("doc").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
+    own = within.select("doc", F.col("start").alias("a"), (F.col("start") + F.col("n") + WINDOW - 1).alias("b"))
+    spans = work.keep(
+        whole.unionByName(single).unionByName(own).groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("spans")), "spans"
+    )
+    work.drop("paths", "firsts", "edges", "repeats", "path-counts", "again")
     return texts.join(spans.hint("merge"), texts["id"] == spans["doc"], "left").select("id", "text", "spans").mapInArrow(
         _removed, "id long, n_words long, n_removed long, kept_sha256 string, spans array<struct<a:int,b:int>>"
     )

@@ -62,7 +62,7 @@ class RunLengthIndex:
         width, rank, order = 8, None, None
         keys = first
         while True:
-            order = np.argsort(keys, kind="stable")
+            order = np.argsort(keys)
             sorted_ = keys[order]
             new = np.empty(n, bool)
             new[0] = True
@@ -221,7 +221,7 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     """(id, n_bytes, n_removed, n_spans, kept_sha256, spans) of every row; spans are byte ranges."""
     work = Work(spark, "rlbwt")
     texts = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
-    found = repeated_runs(work, texts.where("id is not null"), text_bytes, LENGTH, GRAM)
+    found, within = repeated_runs(work, texts.where("id is not null"), text_bytes, LENGTH, GRAM, first_stays=False)
     sources = with_runs(work, texts, found, "sources")
     work.drop("repeated")
     rows = work.keep(sources.mapInArrow(_contents, "key long, content binary, doc long, start int, n int"), "contents")
@@ -261,8 +261,13 @@ def remove_repeats(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id",
     )
     again = windows.groupBy("window").agg(F.min(F.struct("doc", "a")).alias("lo"), F.max(F.struct("doc", "a")).alias("hi")).where("lo != hi").select("window")
     counted = windows.where(~F.col("many")).join(again.hint("merge"), "window").select("doc", "a", (F.col("a") + LENGTH).alias("b"))
-    spans = whole.unionByName(marked).unionByName(counted).groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-    kept = sources.drop("runs").join(spans.hint("merge"), sources["id"] == spans["doc"]).select("id", "text", "spans").mapInArrow(
+    own = within.select("doc", F.col("start").alias("a"), (F.col("start") + F.col("n") + LENGTH - 1).alias("b"))
+    spans = work.keep(
+        whole.unionByName(marked).unionByName(counted).unionByName(own).groupBy("doc").agg(F.collect_set(F.struct("a", "b")).alias("spans")),
+        "spans",
+    )
+    work.drop("contents", "distinct", "wanted", "marked", "windows", "again", "sources")
+    kept = texts.join(spans.hint("merge"), texts["id"] == spans["doc"]).select("id", "text", "spans").mapInArrow(
         _kept, "id long, n_removed long, kept_sha256 string, spans array<struct<a:int,b:int>>"
     ).dropDuplicates(["id"])
     every = texts.select("id", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"))

@@ -4,8 +4,9 @@ A window is ``length`` consecutive units (bytes or words) of one document. Its k
 the smallest hash among the ``gram``-unit grams it holds, so equal windows have
 equal keys wherever they lie. Consecutive windows with one key form a run; only runs
 whose key occurs in another run can hold repeated windows, so one small row per run
-is all of the corpus that is shuffled. A run that could repeat a window within itself
-(its smallest gram occurs in it twice) is taken apart into single windows.
+is all of the corpus that is shuffled. In a run that could repeat a window within itself
+(its smallest gram occurs in it twice, as in periodic text) the repeats are found at
+once; only its first occurrences go on as runs.
 """
 
 from __future__ import annotations
@@ -71,14 +72,20 @@ def sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
     return pick(back[:m], fore[width - 1 : width - 1 + m])
 
 
-def runs(units: np.ndarray, starts: np.ndarray, lengths: np.ndarray, length: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(document index, first window, windows, key) of every run; ``units`` holds the
-    documents behind one another, ``starts`` and ``lengths`` say where."""
-    empty = np.zeros(0, np.int64)
+def runs(
+    units: np.ndarray, starts: np.ndarray, lengths: np.ndarray, length: int, gram: int, first_stays: bool
+) -> tuple[np.ndarray, ...]:
+    """(document index, first window, windows, key, again) of every run; ``units``
+    holds the documents behind one another, ``starts`` and ``lengths`` say where.
+
+    Rows with ``again`` are no runs: their windows occur twice within one run (with
+    ``first_stays`` the first occurrence is not among them)."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, bool)
     if len(units) < length:
-        return empty, empty, empty, empty.astype(np.uint64)
+        return none
+    units = units.astype(np.uint64)
     with np.errstate(over="ignore"):
-        h = gram_hashes(units.astype(np.uint64), gram)
+        h = gram_hashes(units, gram)
     width = length - gram + 1
     low = sliding(h, width, np.minimum)
     valid = np.zeros(len(low) + 1, np.int32)
@@ -87,7 +94,7 @@ def runs(units: np.ndarray, starts: np.ndarray, lengths: np.ndarray, length: int
     np.add.at(valid, starts[has] + lengths[has] - length + 1, -1)
     at = np.flatnonzero(np.cumsum(valid[:-1]))
     if not len(at):
-        return empty, empty, empty, empty.astype(np.uint64)
+        return none
     key = low[at]
     new = np.ones(len(at), bool)
     new[1:] = (key[1:] != key[:-1]) | (at[1:] != at[:-1] + 1)
@@ -95,20 +102,32 @@ def runs(units: np.ndarray, starts: np.ndarray, lengths: np.ndarray, length: int
     # Grams that are the smallest of some window, and those among them that recur within a window's reach.
     reach = np.concatenate([np.full(width - 1, low[0]), low, np.full(width - 1, low[-1])])
     smallest = np.flatnonzero(h == sliding(reach, width, np.maximum))
-    again = np.zeros(len(h) + 1, np.int32)
+    recurs = np.zeros(len(h) + 1, np.int32)
     twice = (h[smallest[1:]] == h[smallest[:-1]]) & (smallest[1:] - smallest[:-1] <= width)
-    again[smallest[1:][twice]] = 1
-    seen = np.concatenate([[0], np.cumsum(again)])
+    recurs[smallest[1:][twice]] = 1
+    seen = np.concatenate([[0], np.cumsum(recurs)])
     start = at[first]
     count = np.diff(np.append(first, len(at)))
+    key = key[first]
     inside = seen[np.minimum(start + count + width - 1, len(h))] > seen[start]
-    # Runs that may repeat a window within themselves become single windows.
-    times = np.where(inside, count, 1)
-    which = np.repeat(np.arange(len(first)), times)
-    step = np.arange(len(which)) - np.repeat(np.cumsum(times) - times, times)
-    begin = start[which] + step
+    plain = ~inside
+    begin, n, keys, again = [start[plain]], [count[plain]], [key[plain]], [np.zeros(plain.sum(), bool)]
+    for s, c, k in zip(start[inside].tolist(), count[inside].tolist(), key[inside]):
+        with np.errstate(over="ignore"):
+            windows = gram_hashes(units[s : s + c + length - 1], length)
+        _, where, which, times = np.unique(windows, return_index=True, return_inverse=True, return_counts=True)
+        opening = np.zeros(c, bool)
+        opening[where] = True
+        marked = ~opening if first_stays else times[which] > 1
+        for flags, flag in ((opening, False), (marked, True)):
+            edge = np.flatnonzero(np.diff(np.concatenate([[False], flags, [False]]).astype(np.int8)))
+            begin.append(s + edge[0::2])
+            n.append(edge[1::2] - edge[0::2])
+            keys.append(np.full(len(edge) // 2, k))
+            again.append(np.full(len(edge) // 2, flag))
+    begin = np.concatenate(begin)
     doc = np.searchsorted(starts, begin, side="right") - 1
-    return doc, begin - starts[doc], np.where(inside, 1, count)[which], key[first][which]
+    return doc, begin - starts[doc], np.concatenate(n), np.concatenate(keys), np.concatenate(again)
 
 
 def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
@@ -127,32 +146,38 @@ def chunks(texts: list[bytes]) -> Iterator[tuple[int, int]]:
 Units = Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
-def run_rows(units_of: Units, length: int, gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """(id, text) batches -> (key, doc, start, n) batches."""
+def run_rows(units_of: Units, length: int, gram: int, first_stays: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(id, text) batches -> (key, doc, start, n, again) batches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids = b.column(0).to_numpy()
             texts = [t.encode("utf-8", "surrogatepass") for t in b.column(1).to_pylist()]
             for lo, hi in chunks(texts):
-                doc, start, n, key = runs(*units_of(texts[lo:hi]), length, gram)
+                doc, start, n, key, again = runs(*units_of(texts[lo:hi]), length, gram, first_stays)
                 if len(doc):
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(key.view(np.int64)), pa.array(ids[lo + doc]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))],
-                        ["key", "doc", "start", "n"],
+                        [pa.array(key.view(np.int64)), pa.array(ids[lo + doc]), pa.array(start.astype(np.int32)),
+                         pa.array(n.astype(np.int32)), pa.array(again)],
+                        ["key", "doc", "start", "n", "again"],
                     )
 
     return run
 
 
-def repeated_runs(work: Work, texts: DataFrame, units_of: Units, length: int, gram: int) -> DataFrame:
-    """Runs (key, doc, start, n) whose key occurs at more than one place. ``texts``: (id, text)."""
-    every = work.keep(texts.mapInArrow(run_rows(units_of, length, gram), "key long, doc long, start int, n int"), "runs")
+def repeated_runs(work: Work, texts: DataFrame, units_of: Units, length: int, gram: int, first_stays: bool) -> tuple[DataFrame, DataFrame]:
+    """(runs, marked): runs (key, doc, start, n) whose key occurs at more than one place,
+    and (doc, start, n) of windows that one run repeats. ``texts``: (id, text)."""
+    every = work.keep(
+        texts.mapInArrow(run_rows(units_of, length, gram, first_stays), "key long, doc long, start int, n int, again boolean"), "runs"
+    )
     place = F.struct("doc", "start")
-    many = every.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo != hi").select("key")
-    found = work.keep(every.join(many.hint("merge"), "key"), "repeated")
+    single = every.where("not again").drop("again")
+    many = single.groupBy("key").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo != hi").select("key")
+    found = work.keep(single.join(many.hint("merge"), "key"), "repeated")
+    marked = work.keep(every.where("again").select("doc", "start", "n"), "again")
     work.drop("runs")
-    return found
+    return found, marked
 
 
 def with_runs(work: Work, texts: DataFrame, runs_: DataFrame, name: str) -> DataFrame:

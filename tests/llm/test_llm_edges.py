@@ -269,18 +269,27 @@ def test_debruijn(spark, corpus, empty):
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.lists(st.text("ab", max_size=60), max_size=6))
-def test_runs_hold_every_window_once(texts):
+@given(st.lists(st.text("ab", max_size=60), max_size=6), st.booleans())
+def test_runs_hold_every_window_once(texts, first_stays):
     data = [t.encode() for t in texts]
-    doc, start, n, key = runs(*rlbwt.text_bytes(data), 8, 3)
-    windows = [(d, s + k) for d, s, c in zip(doc.tolist(), start.tolist(), n.tolist()) for k in range(c)]
-    assert sorted(windows) == [(d, k) for d, t in enumerate(data) for k in range(len(t) - 7)]
-    by_text = {}
-    for d, s, c, k in zip(doc.tolist(), start.tolist(), n.tolist(), key.tolist()):
-        own = [data[d][s + i : s + i + 8] for i in range(c)]
+    doc, start, n, key, again = (x.tolist() for x in runs(*rlbwt.text_bytes(data), 8, 3, first_stays))
+    held, marked, keys = [], set(), {}
+    for d, s, c, k, a in zip(doc, start, n, key, again):
+        places = [(d, s + i) for i in range(c)]
+        if a:
+            marked |= set(places)
+            continue
+        own = [data[d][i : i + 8] for _, i in places]
         assert len(set(own)) == len(own)  # no window twice in a run
+        held += places
         for w in own:
-            assert by_text.setdefault(w, k) == k
+            assert keys.setdefault(w, k) == k
+    every = [(d, k) for d, t in enumerate(data) for k in range(len(t) - 7)]
+    text = lambda p: data[p[0]][p[1] : p[1] + 8]
+    assert len(held) == len(set(held)) and set(held) | marked == set(every)
+    for d, k in marked:  # each marked window is at another place of its document, with first_stays an earlier one
+        others = [p for p in every if p[0] == d and p != (d, k) and text(p) == text((d, k))]
+        assert others and (not first_stays or min(others) < (d, k))
 
 
 @settings(max_examples=60, deadline=None)
