@@ -14,6 +14,12 @@ TRUTH_PAD = "0"
 # Hybrid defaults of the reference model (clusters, ALS iterations, regularisation, rank).
 HYBRID_DEFAULTS = {"k": 5000, "max_iter": 20, "reg_param": 0.1, "rank": 200}
 
+# ALS blocks. They change the start factors, hence the model: raise the user blocks
+# with the number of users (about 100,000 each) and keep them with a model's settings.
+ALS_USER_BLOCKS = 10
+ALS_ITEM_BLOCKS = 2
+ALS_BLOCK_SIZE = 4096
+
 # ALS grid of the reference's cross-validated search.
 ALS_GRID = {"maxIter": [10, 15, 20], "regParam": [0.01, 0.1, 0.3, 1.0], "rank": [5, 15, 25]}
 ALS_FOLDS = 10

@@ -13,9 +13,13 @@ def _c(col: Column | str) -> Column:
 
 
 def strip_item_prefix(col: Column | str) -> Column:
-    """"I123" -> 123 (int): a plain string replace (no regex). Bad strings
-    raise under ANSI casts."""
-    return F.replace(_c(col), F.lit(ITEM_PREFIX), F.lit("")).cast("int")
+    """"I123" -> 123 (int): a plain string replace (no regex). A string that is
+    no id gives null, so it can be counted; it never ends a job."""
+    return item_id(_c(col))
+
+
+def item_id(token: Column) -> Column:
+    return F.replace(token, F.lit(ITEM_PREFIX), F.lit("")).try_cast("int")
 
 
 def join_items(arr: Column | str, prefix: str = "") -> Column:

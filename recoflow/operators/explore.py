@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from recoflow.sources.tables import FEATURE_COLS
@@ -21,22 +21,26 @@ def sorted_value_counts(counts: DataFrame) -> DataFrame:
     return counts.orderBy("feature", F.desc("count"), "value")
 
 
+def ranked_value_counts(counts: DataFrame) -> DataFrame:
+    """Value counts with their rank inside the feature (count descending, value ascending)."""
+    w = Window.partitionBy("feature").orderBy(F.desc("count"), "value")
+    return counts.withColumn("rank", F.row_number().over(w))
+
+
 def distinct_summary(history: DataFrame, users: DataFrame, targets: DataFrame) -> DataFrame:
     """One row: history rows, distinct users / items in the history, users in
-    the master table, distinct target users. The three inputs are tagged and
-    unioned, then counted in a single aggregate (no join of one-row frames)."""
-    src = F.col("_src")
-    tagged = (
-        history.select(F.lit("h").alias("_src"), F.col("user_id"), F.col("item_id").cast("string").alias("item_id"))
-        .unionByName(users.select(F.lit("u").alias("_src"), "user_id", F.lit(None).cast("string").alias("item_id")))
-        .unionByName(targets.select(F.lit("t").alias("_src"), "user_id", F.lit(None).cast("string").alias("item_id")))
-    )
-    return tagged.agg(
-        F.count(F.when(src == "h", F.lit(1))).alias("n_history_rows"),
-        F.countDistinct(F.when(src == "h", F.col("user_id"))).alias("n_history_users"),
-        F.countDistinct(F.when(src == "h", F.col("item_id"))).alias("n_history_items"),
-        F.countDistinct(F.when(src == "u", F.col("user_id"))).alias("n_master_users"),
-        F.countDistinct(F.when(src == "t", F.col("user_id"))).alias("n_target_users"),
+    the master table, distinct target users. Each distinct count is an
+    aggregate over its own table; the one-row results meet as scalar subqueries."""
+
+    def distinct(df: DataFrame, col: str):
+        return df.select(col).where(F.col(col).isNotNull()).distinct().agg(F.count(F.lit(1))).scalar()
+
+    return history.agg(F.count(F.lit(1)).alias("n_history_rows")).select(
+        "n_history_rows",
+        distinct(history, "user_id").alias("n_history_users"),
+        distinct(history, "item_id").alias("n_history_items"),
+        distinct(users, "user_id").alias("n_master_users"),
+        distinct(targets, "user_id").alias("n_target_users"),
     )
 
 

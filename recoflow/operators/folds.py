@@ -1,7 +1,7 @@
 """Folds and random splits.
 
-A fold is a pure function of the row key (``pmod(xxhash64(key, seed), k)``),
-so it is the same on every executor and after any repartitioning, and
+A fold is a pure function of the row key (the leading 32 bits of the md5 of
+``key:key:seed``, modulo k), which plain SQL can repeat, so it is the same on every executor and after any repartitioning, and
 "train on all other folds" is a filter, not a union of k-1 frames.
 """
 
@@ -16,7 +16,8 @@ from recoflow.config import SEED
 
 
 def fold_of(cols: Sequence[str], k: int, seed: int = SEED) -> Column:
-    return F.pmod(F.xxhash64(*[F.col(c) for c in cols], F.lit(seed)), F.lit(k)).cast("int")
+    text = F.concat_ws(":", *[F.col(c).cast("string") for c in cols], F.lit(str(seed)))
+    return F.pmod(F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long"), F.lit(k)).cast("int")
 
 
 def assign_folds(df: DataFrame, k: int, cols: Sequence[str] = ("user_id", "item_id"), seed: int = SEED, name: str = "fold") -> DataFrame:

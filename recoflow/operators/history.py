@@ -26,7 +26,7 @@ def clean_history(history: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def label_slices(history: DataFrame, split: TemporalSplit, name: str = "slice") -> DataFrame:
-    return history.withColumn(name, split.label())
+    return split.labelled(history, name)
 
 
 def item_frequencies(rows: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ Ties are always broken by ``item_id`` ascending, so every list is defined.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recoflow.config import DEFAULT_K
@@ -33,6 +33,15 @@ def global_top_k(freqs: DataFrame, k: int = DEFAULT_K) -> DataFrame:
     )
 
 
+def global_top_array(freqs: DataFrame, k: int = DEFAULT_K) -> Column:
+    """The global top-k as a lazy scalar subquery (an array of k ids, the empty
+    array without any item): nothing runs while a plan is built, and the
+    subquery's aggregation is reused where a plan asks for it again."""
+    top = item_popularity(freqs).orderBy(F.desc("frequency"), F.asc("item_id")).limit(k)
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("frequency")).alias("nf"), "item_id")))
+    return top.agg(F.transform(ranked, lambda s: s["item_id"]).cast("array<int>").alias("items")).scalar()
+
+
 def global_top_list(freqs: DataFrame, k: int = DEFAULT_K) -> list[int]:
     """The global top-k as a driver-side list (k ids, a proven bound)."""
     rows = item_popularity(freqs).orderBy(F.desc("frequency"), F.asc("item_id")).limit(k).collect()  # k rows

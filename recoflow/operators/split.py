@@ -3,24 +3,23 @@
 The reference sorts the whole history and slices rows ``[:int(.7n)]``,
 ``[int(.7n):int(.7n)+int(.2n)]`` and the rest. A global sort + limit funnels
 70 % of the rows through one task, and so does an unpartitioned
-``row_number``. Here the cut is found as a *key threshold* instead:
+``row_number``. Here the cut is found as a *key threshold* instead, one way
+for every size and every orderable key type:
 
 1. Count rows per value of the leading key (a partial + final hash
    aggregate, so a hot timestamp holding a third of the rows is folded on
    the map side before the shuffle).
-2. Walk the cumulative counts to the value holding rank m. When that column
-   has too many distinct values to bring back, narrow the value range by
-   approximate-quantile buckets (at most ``buckets`` rows reach the driver
-   per round) until it does.
-3. If the cut falls inside the group of equal leading keys, repeat on the
-   next key column restricted to that group. Once a boundary group holds at
-   most ``max_collect`` rows, all such groups are numbered in one job (a
-   window partitioned by group) and only the boundary rows come back.
-
-The result is a key prefix P with exactly m rows ``<= P`` in lexicographic
-order; the slices are then plain range filters (``lex_le``), evaluated
-row-locally in every partition. The driver only ever holds bounded lists
-(``max_collect`` value counts or ``buckets`` bucket counts).
+2. Range-partition the counts, sum them per partition (one row per partition
+   reaches the driver), and number only the partition that holds the cut: a
+   running sum there gives the boundary value.
+3. If the cut falls inside the rows of one leading value, do the same over
+   the distinct rows of that value, ordered by the remaining key columns and
+   then by all other columns.
+
+Rows that are equal in every column are interchangeable: if the cut falls
+among such copies, the slices take exactly as many of them as each needs.
+Nulls sort first. The slices are plain range filters (``lex_le``), evaluated
+row-locally in every partition.
 """
 
 from __future__ import annotations
@@ -31,157 +30,137 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
 
 from recoflow.config import TEST_FRACTION, TRAIN_FRACTION
-from recoflow.functions.keys import lex_le, prefix_eq
+from recoflow.functions.keys import encoded, lex_le, prefix_eq
+from recoflow.session import ensure_checkpoint_dir
 
-MAX_COLLECT = 100_000
-BUCKETS = 64
+#: Copies of one row that a task writes out when a cut falls among copies.
+COPIES_PER_ROW = 10_000
 
 
 @dataclass(frozen=True)
 class Cut:
     """A threshold over a composite key: ``kind`` is "none" (no rows),
-    "all" (every row) or "prefix" (rows with key[:len(values)] <= values)."""
+    "all" (every row) or "prefix" (rows with key[:len(values)] <= values).
+    If ``take < of``, the cut lies among ``of`` equal rows, ``take`` of them
+    below it."""
 
     kind: str
+    cols: tuple = ()
     values: tuple = ()
+    kinds: tuple = ()
+    take: int = 0
+    of: int = 0
 
-    def le(self, cols: Sequence[str]) -> Column:
+    @property
+    def among_copies(self) -> bool:
+        return self.take < self.of
+
+    def le(self) -> Column:
+        """Rows up to the cut; all of the copies if it lies among some."""
         if self.kind == "none":
             return F.lit(False)
         if self.kind == "all":
             return F.lit(True)
-        return lex_le(cols, self.values)
-
-
-def _value_counts(df: DataFrame, col: str) -> DataFrame:
-    return df.groupBy(col).agg(F.count(F.lit(1)).alias("_n"))
-
-
-def _walk(rows, col: str, target: int, base: int):
-    """rows sorted by value; return (value, rows before value, rows at value)."""
-    cum = base
-    for r in rows:
-        n = r["_n"]
-        if cum + n >= target:
-            return r[col], cum, n
-        cum += n
-    raise RuntimeError("rank beyond the counted rows")
-
-
-def _locate_value(counts: DataFrame, col: str, target: int, max_collect: int, buckets: int):
-    """Find the value of ``col`` holding the ``target``-th row (1-based) given
-    per-value counts. Returns (value, rows before it, rows at it)."""
-    lo = hi = None
-    base = 0
-    while True:
-        cur = counts if lo is None else counts.where(F.col(col).between(lo, hi))
-        # Count first (one scalar): a top-N collect would merge a
-        # max_collect-row queue from every partition on the driver.
-        d = cur.count()
-        if d <= max_collect:
-            return _walk(cur.orderBy(col).collect(), col, target, base)  # <= max_collect rows
-        if not isinstance(cur.schema[col].dataType, NumericType):
-            raise ValueError(f"{col}: more than {max_collect} distinct values in a boundary group need a numeric key")
-        probs = [i / buckets for i in range(1, buckets)]
-        splits = sorted(set(cur.approxQuantile(col, probs, 1.0 / (4 * buckets))))
-        bucket = sum((F.col(col) > F.lit(s)).cast("int") for s in splits)
-        stats = (
-            cur.groupBy(bucket.alias("_b"))
-            .agg(F.sum("_n").alias("_n"), F.min(col).alias("_lo"), F.max(col).alias("_hi"), F.count(F.lit(1)).alias("_d"))
-            .orderBy("_b")
-            .collect()  # <= buckets rows
-        )
-        cum = base
-        for s in stats:
-            if cum + s["_n"] >= target:
-                if s["_d"] == d:
-                    raise RuntimeError("no progress narrowing the value range")
-                lo, hi, base = s["_lo"], s["_hi"], cum
-                break
-            cum += s["_n"]
-        else:
-            raise RuntimeError("rank beyond the counted rows")
-
-
-@dataclass(frozen=True)
-class _Pending:
-    """The cut lies inside a boundary group of at most ``max_collect`` rows."""
-
-    prefix: tuple
-    remaining: int
-
-
-def _descend(df, cols, m, n, first_counts, max_collect, buckets):
-    """Walk the key columns until the cut ends a group (-> Cut) or falls
-    inside a small boundary group (-> _Pending)."""
-    if m <= 0:
-        return Cut("none")
-    if m >= n:
-        return Cut("all")
-    prefix: list = []
-    remaining, group = m, n
-    for j, col in enumerate(cols):
-        # Level 0 always walks the value counts; only a real boundary group
-        # (a non-empty prefix) is numbered, never the whole table.
-        if prefix and group <= max_collect:
-            return _Pending(tuple(prefix), remaining)
-        sub = df.where(prefix_eq(cols, prefix)) if prefix else df
-        counts = first_counts if (j == 0 and first_counts is not None) else _value_counts(sub, col)
-        value, before, at = _locate_value(counts, col, remaining, max_collect, buckets)
-        prefix.append(value)
-        remaining -= before
-        if remaining == at:
-            return Cut("prefix", tuple(prefix))
-        group = at
-    raise ValueError(f"sort key {list(cols)} is not unique")
-
-
-def _resolve_small(df: DataFrame, cols: Sequence[str], pending: list[_Pending]) -> list[Cut]:
-    """One job for all small boundary groups: number the rows of each group
-    in key order (a window partitioned by group, each group bounded by
-    ``max_collect``) and return only the boundary rows."""
-    groups = sorted({p.prefix for p in pending}, key=len)
-    gid = F.lit(None).cast("int")
-    for i in range(len(groups) - 1, -1, -1):
-        gid = F.when(prefix_eq(cols, groups[i]), F.lit(i)).otherwise(gid)
-    w = Window.partitionBy("_g").orderBy(*cols)
-    numbered = df.select(*cols, gid.alias("_g")).where(F.col("_g").isNotNull()).withColumn("_rn", F.row_number().over(w))
-    wanted = F.lit(False)
-    for p in pending:
-        wanted = wanted | ((F.col("_g") == groups.index(p.prefix)) & (F.col("_rn") == p.remaining))
-    boundary = numbered.where(wanted).collect()  # one row per cut
-    rows = {(r["_g"], r["_rn"]): tuple(r[c] for c in cols) for r in boundary}
-    return [Cut("prefix", rows[(groups.index(p.prefix), p.remaining)]) for p in pending]
+        return lex_le(self.cols, self.values, self.kinds)
+
+    def copies(self) -> Column:
+        return prefix_eq(self.cols, self.values, self.kinds) if self.among_copies else F.lit(False)
+
+
+def _value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    return df.groupBy(*cols).agg(F.count(F.lit(1)).alias("_n"))
+
+
+def _boundaries(counts: DataFrame, cols: Sequence[str], ranks: Sequence[int]) -> list[tuple[tuple, int, int]]:
+    """For each rank (1-based) the key holding it, given rows (cols, _n):
+    (encoded key, rows before it, rows at it)."""
+    spark = counts.sparkSession
+    ensure_checkpoint_dir(spark)
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    kinds = [counts.schema[c].dataType.simpleString() for c in cols]
+    dealt = counts.select(*cols, "_n").repartitionByRange(parts, *cols).withColumn("_part", F.spark_partition_id()).checkpoint()
+    sums = dealt.groupBy("_part").agg(F.sum("_n").alias("_n")).orderBy("_part").collect()  # one row per partition
+    wanted, base = {}, 0
+    for s in sums:
+        for rank in ranks:
+            if base < rank <= base + s["_n"]:
+                wanted[rank] = (s["_part"], base)
+        base += s["_n"]
+    running = F.sum("_n").over(Window.partitionBy("_part").orderBy(*cols).rowsBetween(Window.unboundedPreceding, 0))
+    numbered = dealt.where(F.col("_part").isin(sorted({p for p, _ in wanted.values()}))).withColumn("_until", running)
+    hit = F.lit(False)
+    for rank, (part, before) in wanted.items():
+        hit = hit | ((F.col("_part") == part) & (F.col("_until") >= rank - before) & (F.col("_until") - F.col("_n") < rank - before))
+    keys = [encoded(c, k).alias(f"_k{i}") for i, (c, k) in enumerate(zip(cols, kinds))]
+    rows = numbered.where(hit).select("_part", "_until", "_n", *keys).collect()  # one row per rank
+    out = []
+    for rank in ranks:
+        part, before = wanted[rank]
+        r = next(r for r in rows if r["_part"] == part and r["_until"] - r["_n"] < rank - before <= r["_until"])
+        out.append((tuple(r[f"_k{i}"] for i in range(len(cols))), before + r["_until"] - r["_n"], r["_n"]))
+    return out
 
 
 def locate_ranks(
-    df: DataFrame,
-    cols: Sequence[str],
-    ms: Sequence[int],
-    n: int,
-    first_counts: DataFrame | None = None,
-    max_collect: int = MAX_COLLECT,
-    buckets: int = BUCKETS,
+    df: DataFrame, order_cols: Sequence[str], ms: Sequence[int], n: int, first_counts: DataFrame | None = None
 ) -> list[Cut]:
-    """For each m, the shortest key prefix P with exactly m of the n rows
-    having key <= P. The key ``cols`` must be unique per row and non-null."""
-    found = [_descend(df, cols, m, n, first_counts, max_collect, buckets) for m in ms]
-    pending = [f for f in found if isinstance(f, _Pending)]
-    resolved = iter(_resolve_small(df, cols, pending) if pending else [])
-    return [next(resolved) if isinstance(f, _Pending) else f for f in found]
-
-
-def locate_rank(df: DataFrame, cols: Sequence[str], m: int, n: int, first_counts: DataFrame | None = None,
-                max_collect: int = MAX_COLLECT, buckets: int = BUCKETS) -> Cut:
-    return locate_ranks(df, cols, [m], n, first_counts, max_collect, buckets)[0]
+    """For each m, the cut with exactly m of the n rows of ``df`` up to it, in
+    ``order_cols`` order (ties by the other columns)."""
+    lead, kinds = order_cols[0], {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    rest = [*order_cols[1:], *[c for c in df.columns if c not in order_cols]]
+    inner = sorted({m for m in ms if 0 < m < n})
+    counts = first_counts if first_counts is not None else _value_counts(df, [lead])
+    found: dict[int, Cut] = {}
+    inside: dict[tuple, list[tuple[int, int]]] = {}
+    for m, (value, before, at) in zip(inner, _boundaries(counts, [lead], inner) if inner else []):
+        if before + at == m or not rest:
+            found[m] = Cut("prefix", (lead,), value, (kinds[lead],), m - before, at)
+        else:
+            inside.setdefault(value, []).append((m, m - before))
+    for value, ranks in inside.items():
+        group = df.where(prefix_eq([lead], value, [kinds[lead]]))
+        at = _boundaries(_value_counts(group, rest), rest, [r for _, r in ranks])
+        for (m, r), (values, before, copies) in zip(ranks, at):
+            cols = (lead, *rest)
+            found[m] = Cut("prefix", cols, value + values, tuple(kinds[c] for c in cols), r - before, copies)
+    return [Cut("none") if m <= 0 else Cut("all") if m >= n else found[m] for m in ms]
+
+
+def locate_rank(df: DataFrame, order_cols: Sequence[str], m: int, n: int, first_counts: DataFrame | None = None) -> Cut:
+    return locate_ranks(df, order_cols, [m], n, first_counts)[0]
+
+
+def _repeat(df: DataFrame, cut: Cut, times: int) -> DataFrame:
+    """``times`` copies of the row that the cut's copies all equal."""
+    block, left = F.col("_block"), F.lit(times) - F.col("_block") * COPIES_PER_ROW
+    return (
+        df.where(cut.copies()).limit(1)
+        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit((times - 1) // COPIES_PER_ROW))))
+        .repartition(block)
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.least(left, F.lit(COPIES_PER_ROW)))))
+        .select(*df.columns)
+    )
+
+
+def rows_between(df: DataFrame, low: Cut, high: Cut) -> DataFrame:
+    """The rows above ``low`` and up to ``high``."""
+    out = df.where(high.le() & ~low.le() & ~high.copies())
+    same = low.among_copies and high.among_copies and low.values == high.values
+    if same:
+        return out.unionByName(_repeat(df, high, high.take - low.take)) if high.take > low.take else out
+    if low.among_copies:
+        out = out.unionByName(_repeat(df, low, low.of - low.take))
+    if high.among_copies:
+        out = out.unionByName(_repeat(df, high, high.take))
+    return out
 
 
 @dataclass(frozen=True)
 class TemporalSplit:
-    """Row counts and key thresholds of the train / test / validation slices."""
+    """Row counts and key thresholds of the train / test / validation slices.
+    The slices are taken from the frame the split was computed on."""
 
     cols: tuple
     n: int
@@ -190,24 +169,28 @@ class TemporalSplit:
     train_cut: Cut
     test_cut: Cut
 
-    def train_filter(self) -> Column:
-        return self.train_cut.le(self.cols)
+    def train(self, df: DataFrame) -> DataFrame:
+        return rows_between(df, Cut("none"), self.train_cut)
 
-    def train_test_filter(self) -> Column:
-        return self.test_cut.le(self.cols)
+    def train_test(self, df: DataFrame) -> DataFrame:
+        return rows_between(df, Cut("none"), self.test_cut)
 
-    def test_filter(self) -> Column:
-        return self.test_cut.le(self.cols) & ~self.train_cut.le(self.cols)
+    def test(self, df: DataFrame) -> DataFrame:
+        return rows_between(df, self.train_cut, self.test_cut)
 
-    def validation_filter(self) -> Column:
-        return ~self.test_cut.le(self.cols)
+    def validation(self, df: DataFrame) -> DataFrame:
+        return rows_between(df, self.test_cut, Cut("all"))
 
-    def label(self) -> Column:
-        return (
-            F.when(self.train_cut.le(self.cols), F.lit("train"))
-            .when(self.test_cut.le(self.cols), F.lit("test"))
-            .otherwise(F.lit("validation"))
-        )
+    def labelled(self, df: DataFrame, name: str = "slice") -> DataFrame:
+        """``df`` with the slice of every row."""
+        if self.train_cut.among_copies or self.test_cut.among_copies:
+            parts = [(self.train(df), "train"), (self.test(df), "test"), (self.validation(df), "validation")]
+            first, *others = [p.withColumn(name, F.lit(label)) for p, label in parts]
+            for p in others:
+                first = first.unionByName(p)
+            return first
+        label = F.when(self.train_cut.le(), F.lit("train")).when(self.test_cut.le(), F.lit("test")).otherwise(F.lit("validation"))
+        return df.withColumn(name, label)
 
 
 def slice_sizes(n: int, train_fraction: float = TRAIN_FRACTION, test_fraction: float = TEST_FRACTION):
@@ -220,8 +203,6 @@ def temporal_split(
     order_cols: Sequence[str],
     train_fraction: float = TRAIN_FRACTION,
     test_fraction: float = TEST_FRACTION,
-    max_collect: int = MAX_COLLECT,
-    buckets: int = BUCKETS,
     leading_counts: DataFrame | None = None,
 ) -> TemporalSplit:
     """Compute the exact 70 / 20 / rest cut of ``history`` in ``order_cols`` order.
@@ -229,19 +210,14 @@ def temporal_split(
     ``leading_counts`` (columns: the leading key, ``_n``) may be supplied when
     the caller can count rows per leading-key value more cheaply than by
     scanning ``history`` (e.g. pre-aggregated before a join).
-
-    Runs a handful of small jobs: one aggregate of row counts per leading-key
-    value (persisted, it also gives n), a bounded walk over those counts, and
-    one job that numbers the small boundary groups of both cuts together.
     """
     cols = tuple(order_cols)
-    keyed = history.select(*cols)
-    counts = leading_counts if leading_counts is not None else _value_counts(keyed, cols[0])
+    counts = leading_counts if leading_counts is not None else _value_counts(history, [cols[0]])
     counts = counts.select(cols[0], "_n").persist(StorageLevel.MEMORY_AND_DISK)
     try:
         n = counts.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).first()["n"]
         n_train, n_test = slice_sizes(n, train_fraction, test_fraction)
-        train_cut, test_cut = locate_ranks(keyed, cols, [n_train, n_train + n_test], n, counts, max_collect, buckets)
+        train_cut, test_cut = locate_ranks(history, cols, [n_train, n_train + n_test], n, counts)
     finally:
         counts.unpersist()
     return TemporalSplit(cols, n, n_train, n_test, train_cut, test_cut)

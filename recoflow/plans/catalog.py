@@ -26,17 +26,21 @@ from recoflow.operators import truth as tr
 from recoflow.operators.merge import merge_lists
 from recoflow.plans.compare import compare_hybrids
 from recoflow.plans.inputs import Inputs
+from recoflow.operators.split import temporal_split
+from recoflow.plans import checks
 from recoflow.plans.recommender import HybridRecommender
+from recoflow.sources import tables
 from recoflow.sources.tables import HISTORY_ORDER
 
 K = DEFAULT_K
 
-# Model sizes of the registered MLlib queries (small test tables).
+# Model sizes of the registered MLlib queries: parameters of the queries, chosen so
+# that a check takes seconds; the library's defaults are the full sizes (config.py).
 ALS_PARAMS = {"rank": 10, "max_iter": 10, "reg_param": 0.1}
 KMEANS_K = 20
 SILHOUETTE_KS = (5, 10, 20, 40)
 COMPARE = {"ks": (10, 20), "ranks": (5, 10), "max_iter": 5}
-GRID = {"max_iters": (5,), "reg_params": (0.01, 0.1), "ranks": (5, 10), "num_folds": 3}
+GRID = {"max_iters": (2, 5), "reg_params": (0.01, 0.1), "ranks": (5, 10), "num_folds": 3}
 
 
 def r6(col: str):
@@ -69,8 +73,59 @@ def train_test_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def target_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Train frequencies of the target users that the data names: those active in the validation slice."""
     inp = Inputs(spark, sf_dir)
-    return inp.train_freqs.join(inp.targets, "user_id", "left_semi")
+    return inp.train_freqs.join(inp.active_targets, "user_id", "left_semi")
+
+
+def target_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attributes of the users active in the validation slice."""
+    inp = Inputs(spark, sf_dir)
+    return ex.restrict_users(inp.users, inp.active_targets)
+
+
+def first_target_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segment lists of the 100 smallest target ids (a top-n report)."""
+    inp = Inputs(spark, sf_dir)
+    return pop.as_list_strings(inp.segment_user_lists(ex.first_users(inp.targets, 100)))
+
+
+def event_split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 70 / 20 / rest split of the events, whose time has microseconds."""
+    events = tables.events(spark, sf_dir)
+    return temporal_split(events, ("ts", "event_id")).labelled(events).select("event_id", "user_id", "slice")
+
+
+def event_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The split of the event times alone, with every time twice: cuts fall among equal rows."""
+    once = tables.events(spark, sf_dir).select(F.date_trunc("hour", "ts").alias("hour"), "event_type")
+    twice = once.unionByName(once)
+    labelled = temporal_split(twice, ("hour",)).labelled(twice)
+    return labelled.groupBy("slice", "event_type").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+def random_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 90 / 10 split and the four-way split: rows in all, rows lost, rows in two parts."""
+    inp = Inputs(spark, sf_dir)
+    keys = inp.train_freqs.select("user_id", "item_id")
+    parts = []
+    for name, weights in (("two", (0.9, 0.1)), ("four", (0.1, 0.5, 0.2, 0.2))):
+        split = folds.split_label(keys, weights).groupBy("user_id", "item_id").agg(
+            F.count(F.lit(1)).alias("n"), F.countDistinct("split").alias("parts"), F.min("split").alias("lo"), F.max("split").alias("hi")
+        )
+        both = keys.join(split, ["user_id", "item_id"], "left")
+        parts.append(both.agg(
+            F.count(F.lit(1)).alias("n_rows"), F.count(F.when(F.col("n").isNull(), 1)).alias("n_lost"),
+            F.count(F.when((F.col("parts") > 1) | (F.col("lo") < 0) | (F.col("hi") >= len(weights)), 1)).alias("n_misplaced"),
+        ).select(F.lit(name).alias("split"), "n_rows", "n_lost", "n_misplaced"))
+    return parts[0].unionByName(parts[1])
+
+
+def full_own_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Own top-10 lists of mixed length: the full ones only."""
+    inp = Inputs(spark, sf_dir)
+    top = pop.group_lists(pop.group_top_k(inp.train_freqs, "user_id", 10), "user_id")
+    return pop.as_list_strings(ev.full_lists(top, 10))
 
 
 # -- exploration / features ----------------------------------------------------
@@ -79,6 +134,11 @@ def feature_value_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.feature_value_counts(Inputs(spark, sf_dir).users)
 
 
+def feature_value_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Value counts with their rank within each feature."""
+    return ex.ranked_value_counts(ex.feature_value_counts(Inputs(spark, sf_dir).users))
+
+
 def distinct_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     inp = Inputs(spark, sf_dir)
     return ex.distinct_summary(inp.history, inp.users, inp.targets)
@@ -310,7 +370,7 @@ def cluster_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     features, model = _clusters(inp)
     clusters = cl.assign_clusters(features, model)
     lists = cl.cluster_lists(inp.train_freqs, clusters, K)
-    return pop.as_list_strings(cl.cluster_recommendations(inp.targets, clusters, lists))
+    return pop.as_list_strings(cl.cluster_recommendations(inp.targets, clusters, lists, KMEANS_K))
 
 
 def hybrid_recommend(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -331,6 +391,66 @@ def hybrid_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("k", "rank", "n_lists", "n_scored", r6("mean_ndcg"), r6("entropy"), "n_items_recommended")
 
 
+# -- model-backed operators by properties that SQL can state ---------------------------
+
+def als_subset_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ALS lists of the target users: users, and violations of what every list must be."""
+    inp = Inputs(spark, sf_dir)
+    model = _als_model(inp)
+    return checks.als_lists(model, als_ops.recommendations_with_scores(model, inp.active_targets, K), inp.train_freqs, K)
+
+
+def als_all_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ALS lists of all users of the model: users, and violations."""
+    inp = Inputs(spark, sf_dir)
+    model = _als_model(inp)
+    return checks.als_lists(model, als_ops.all_recommendations_with_scores(model, K), inp.train_freqs, K)
+
+
+def als_rmse_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """RMSE against its definition on the factors: scored pairs, and whether both agree."""
+    inp = Inputs(spark, sf_dir)
+    return checks.als_rmse(_als_model(inp), hist.item_frequencies(inp.test_rows))
+
+
+def als_grid_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cross-validated grid: settings, settings out of order, best by a fold-wise recount."""
+    return checks.grid(als_grid_search(spark, sf_dir))
+
+
+def kmeans_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user assigned once, to the nearest centre."""
+    inp = Inputs(spark, sf_dir)
+    features, model = _clusters(inp)
+    return checks.kmeans(features, model, cl.assign_clusters(features, model))
+
+
+def silhouette_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sweep has one score from -1 to 1 for every k."""
+    return checks.silhouettes(kmeans_silhouette_sweep(spark, sf_dir), len(SILHOUETTE_KS))
+
+
+def cluster_lists_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster lists of the targets against a recount over the assigned clusters."""
+    inp = Inputs(spark, sf_dir)
+    features, model = _clusters(inp)
+    clusters = cl.assign_clusters(features, model)
+    lists = cl.cluster_recommendations(inp.targets, clusters, cl.cluster_lists(inp.train_freqs, clusters, K), KMEANS_K)
+    return checks.cluster_lists(lists, clusters, inp.train_freqs, K)
+
+
+def hybrid_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The flagship's lists: all users, K distinct items, known users' lists start with the ALS list."""
+    inp = Inputs(spark, sf_dir)
+    rec = HybridRecommender(k_clusters=KMEANS_K, **ALS_PARAMS, top_k=K).fit(inp.train_freqs, inp.users)
+    return checks.hybrid_lists(rec.recommend_arrays(inp.hybrid_users), rec.als_user_lists(inp.hybrid_users), K)
+
+
+def comparison_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configurations compared on the same targets: lists, scored users, violations."""
+    return checks.comparison(hybrid_comparison(spark, sf_dir), K)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "history_clean": history_clean,
     "temporal_split_counts": temporal_split_counts,
@@ -373,6 +493,22 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cluster_recommendations": cluster_recommendations,
     "hybrid_recommend": hybrid_recommend,
     "hybrid_comparison": hybrid_comparison,
+    "target_features": target_features,
+    "first_target_lists": first_target_lists,
+    "event_split_rows": event_split_rows,
+    "event_split_counts": event_split_counts,
+    "random_split_counts": random_split_counts,
+    "full_own_lists": full_own_lists,
+    "feature_value_ranks": feature_value_ranks,
+    "als_subset_check": als_subset_check,
+    "als_all_check": als_all_check,
+    "als_rmse_check": als_rmse_check,
+    "als_grid_check": als_grid_check,
+    "kmeans_check": kmeans_check,
+    "silhouette_check": silhouette_check,
+    "cluster_lists_check": cluster_lists_check,
+    "hybrid_check": hybrid_check,
+    "comparison_check": comparison_check,
 }
 
 __all__ = ["QUERIES"]

@@ -17,9 +17,8 @@ from ``SparkSession.builder.getOrCreate()`` so cluster settings apply.
 from __future__ import annotations
 
 import argparse
-import hashlib
 import json
-import os
+from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,86 +30,99 @@ from recoflow.operators import features as feat
 from recoflow.operators import folds
 from recoflow.operators import history as hist
 from recoflow.operators import truth as tr
-from recoflow.operators.split import TemporalSplit, temporal_split
+from recoflow.operators.split import Cut, TemporalSplit, temporal_split
 from recoflow.plans.recommender import HybridRecommender
 from recoflow.sinks import writers
 from recoflow.sources import tsv
+from recoflow.sources.files import join, path_exists
 
 ORDER = ("latest_timestamp", "user_id", "item_id", "frequency")
 
 
+def _read(reader, spark: SparkSession, path: str, table: str) -> DataFrame:
+    """The table's rows with all required fields; the others are reported."""
+    good, bad = tsv.accepted(reader(spark, path), table)
+    if bad:
+        print(f"{table}: {bad} rows with unparsable fields")
+    return good
+
+
 def _inputs(spark: SparkSession, data: str):
-    history = tsv.read_item_history(spark, os.path.join(data, "item_history.tsv"))
-    users = tsv.read_user_master(spark, os.path.join(data, "user_master.tsv"))
-    targets = tsv.read_target_users(spark, os.path.join(data, "target_users.tsv"))
+    history = _read(tsv.read_item_history, spark, join(data, "item_history.tsv"), "item_history")
+    users = _read(tsv.read_user_master, spark, join(data, "user_master.tsv"), "user_master")
+    targets = _read(tsv.read_target_users, spark, join(data, "target_users.tsv"), "target_users")
     return history, users, targets
 
 
-def _save_split(split: TemporalSplit, path: str) -> None:
-    doc = {
-        "cols": list(split.cols),
-        "n": split.n,
-        "n_train": split.n_train,
-        "n_test": split.n_test,
-        "train_cut": [split.train_cut.kind, list(split.train_cut.values)],
-        "test_cut": [split.test_cut.kind, list(split.test_cut.values)],
+def save_split(spark: SparkSession, split: TemporalSplit, path: str) -> None:
+    """The split as a one-row table, on whatever file system ``path`` names."""
+    spark.createDataFrame([(json.dumps(asdict(split)),)], "split string").write.mode("overwrite").parquet(path)
+
+
+def load_split(spark: SparkSession, path: str) -> TemporalSplit:
+    doc = json.loads(spark.read.parquet(path).first()["split"])
+    cuts = {
+        name: Cut(**{k: tuple(v) if isinstance(v, list) else v for k, v in doc.pop(name).items()}) for name in ("train_cut", "test_cut")
     }
-    with open(path, "w") as fh:
-        json.dump(doc, fh)
+    return TemporalSplit(cols=tuple(doc.pop("cols")), **doc, **cuts)
 
 
-def prepare(spark: SparkSession, data: str, out: str, k: int = DEFAULT_K) -> TemporalSplit:
-    """Split the history, write train / test frequencies and the truth files."""
+def prepare(spark: SparkSession, data: str, out: str, k: int = DEFAULT_K, wide_truth: bool = True) -> TemporalSplit:
+    """Split the history, write train / test frequencies and, with ``wide_truth``,
+    the padded truth files (one row per user holds that user's whole slice)."""
     history, users, _ = _inputs(spark, data)
-    rejects = tsv.count_rejects(history, ORDER)
-    if rejects:
-        print(f"item_history: {rejects} rows with unparsable fields")
-    history = history.where("user_id IS NOT NULL AND item_id IS NOT NULL AND latest_timestamp IS NOT NULL AND frequency IS NOT NULL")
-    # Numeric item ids, so every key of the total order is numeric.
     history = hist.clean_history(history)
     split = temporal_split(history, ORDER)
-    _save_split(split, os.path.join(out, "split.json"))
-    train = history.where(split.train_filter())
-    test = history.where(split.test_filter())
-    writers.write_table(hist.item_frequencies(train), os.path.join(out, "train_frequencies"))
-    writers.write_table(hist.item_frequencies(test), os.path.join(out, "test_frequencies"))
-    writers.write_truth(tr.truth_wide(users, train, ORDER, k), os.path.join(out, "y_train"))
-    writers.write_truth(tr.truth_wide(users, test, ORDER, k), os.path.join(out, "y_test"))
+    save_split(spark, split, join(out, "split"))
+    train, test = split.train(history), split.test(history)
+    writers.write_table(hist.item_frequencies(train), join(out, "train_frequencies"))
+    writers.write_table(hist.item_frequencies(test), join(out, "test_frequencies"))
+    if wide_truth:
+        writers.write_truth(tr.truth_wide(users, train, ORDER, k), join(out, "y_train"))
+        writers.write_truth(tr.truth_wide(users, test, ORDER, k), join(out, "y_test"))
     return split
 
 
 def recommend(spark: SparkSession, data: str, out: str, k_clusters: int, rank: int, max_iter: int,
-              reg_param: float, k: int = DEFAULT_K, mode: str = "hybrid", single_file: bool = False) -> DataFrame:
-    """Fit the hybrid on the prepared train frequencies and write lists + submission."""
+              reg_param: float, k: int = DEFAULT_K, mode: str = "hybrid", single_file: bool = False,
+              reuse: bool = False) -> DataFrame:
+    """Fit the hybrid on the prepared train frequencies (or, with ``reuse``, load
+    the complete model saved there by an earlier call) and write lists + submission."""
     _, users, targets = _inputs(spark, data)
-    freqs = spark.read.parquet(os.path.join(out, "train_frequencies"))
-    rec = HybridRecommender(k_clusters=k_clusters, rank=rank, max_iter=max_iter, reg_param=reg_param, top_k=k, mode=mode)
-    with open(os.path.join(out, "split.json")) as fh:
-        digest = hashlib.sha1(fh.read().encode()).hexdigest()[:12]
-    # Keyed by cluster count and train slice, so a stale table is never reused.
-    rec.fit(freqs, users, cluster_hist_path=os.path.join(out, f"cluster_history_k{k_clusters}_{digest}"))
-    rec.save(os.path.join(out, writers.model_dir("models", "hybrid", k=k_clusters, rank=rank, maxIter=max_iter, regParam=reg_param)))
+    freqs = spark.read.parquet(join(out, "train_frequencies"))
+    path = writers.model_dir(join(out, "models"), "hybrid", k=k_clusters, rank=rank, maxIter=max_iter, regParam=reg_param)
+    if reuse and path_exists(spark, join(path, "settings/_SUCCESS")):
+        rec = HybridRecommender.load(spark, path, top_k=k, mode=mode)
+    else:
+        rec = HybridRecommender(k_clusters=k_clusters, rank=rank, max_iter=max_iter, reg_param=reg_param, top_k=k, mode=mode)
+        rec.fit(freqs, users).save(path)
     lists = rec.recommend_arrays(targets)
-    writers.write_lists(lists, os.path.join(out, "lists_hybrid"))
-    writers.write_submission(lists, os.path.join(out, "submission"), single_file=single_file)
+    writers.write_lists(lists, join(out, "lists_hybrid"))
+    writers.write_submission(lists, join(out, "submission"), single_file=single_file)
+    rec.close()
     return lists
 
 
 def evaluate(spark: SparkSession, out: str, lists: dict[str, str], k: int = DEFAULT_K,
-             truth_path: str | None = None) -> DataFrame:
-    """Score list files against the prepared test slice, or against a wide
-    truth file (``user_id \\t id,id,...``) when ``truth_path`` is given."""
+             truth_path: str | None = None, validation_of: str | None = None) -> DataFrame:
+    """Score list or submission files against the prepared test slice, against a
+    wide truth file (``user_id \\t id,id,...``) when ``truth_path`` is given, or
+    against the validation slice of the history under ``validation_of``, read off
+    the saved split."""
     if truth_path:
         truth = tsv.read_truth_items(spark, truth_path)
+    elif validation_of:
+        history = hist.clean_history(_inputs(spark, validation_of)[0])
+        truth = tr.truth_items(load_split(spark, join(out, "split")).validation(history))
     else:
-        truth = spark.read.parquet(os.path.join(out, "test_frequencies")).select("user_id", "item_id")
+        truth = spark.read.parquet(join(out, "test_frequencies")).select("user_id", "item_id")
     return ev.evaluate_list_files(spark, lists, truth, k)
 
 
 def grid(spark: SparkSession, out: str, num_folds: int = ALS_FOLDS) -> DataFrame:
     from recoflow.config import ALS_GRID
 
-    freqs = folds.assign_folds(spark.read.parquet(os.path.join(out, "train_frequencies")), num_folds)
+    freqs = folds.assign_folds(spark.read.parquet(join(out, "train_frequencies")), num_folds)
     return als_ops.grid_search(spark, freqs, "fold", num_folds, ALS_GRID["maxIter"], ALS_GRID["regParam"], ALS_GRID["rank"])
 
 
@@ -126,6 +138,7 @@ def main(argv: list[str] | None = None) -> None:
     p = sub.add_parser("prepare")
     p.add_argument("--data", required=True)
     p.add_argument("--out", required=True)
+    p.add_argument("--no-wide-truth", action="store_true", help="leave out the padded truth files")
     r = sub.add_parser("recommend")
     r.add_argument("--data", required=True)
     r.add_argument("--out", required=True)
@@ -135,10 +148,12 @@ def main(argv: list[str] | None = None) -> None:
     r.add_argument("--reg-param", type=float, default=HYBRID_DEFAULTS["reg_param"])
     r.add_argument("--mode", default="hybrid", choices=["hybrid", "self_fill", "interleave"])
     r.add_argument("--single-file", action="store_true", help="write the submission as one file")
+    r.add_argument("--reuse", action="store_true", help="load the model saved for these settings if it is complete")
     e = sub.add_parser("evaluate")
     e.add_argument("--out", required=True)
     e.add_argument("--lists", nargs="+", required=True, help="NAME=PATH")
     e.add_argument("--truth", default=None, help="wide truth file (y_test); default: the prepared test slice")
+    e.add_argument("--validation-of", default=None, help="data folder whose validation slice is the truth")
     g = sub.add_parser("grid")
     g.add_argument("--out", required=True)
     g.add_argument("--folds", type=int, default=ALS_FOLDS)
@@ -149,14 +164,14 @@ def main(argv: list[str] | None = None) -> None:
 
     spark = SparkSession.builder.appName(f"recoflow-{args.cmd}").getOrCreate()
     if args.cmd == "prepare":
-        split = prepare(spark, args.data, args.out)
+        split = prepare(spark, args.data, args.out, wide_truth=not args.no_wide_truth)
         print(json.dumps({"n": split.n, "train": split.n_train, "test": split.n_test}))
     elif args.cmd == "recommend":
         recommend(spark, args.data, args.out, args.k_clusters, args.rank, args.max_iter, args.reg_param,
-                  mode=args.mode, single_file=args.single_file)
+                  mode=args.mode, single_file=args.single_file, reuse=args.reuse)
     elif args.cmd == "evaluate":
         pairs = dict(item.split("=", 1) for item in args.lists)
-        evaluate(spark, args.out, pairs, truth_path=args.truth).show(truncate=False)
+        evaluate(spark, args.out, pairs, truth_path=args.truth, validation_of=args.validation_of).show(truncate=False)
     elif args.cmd == "grid":
         grid(spark, args.out, args.folds).show(truncate=False)
     elif args.cmd == "silhouette":

@@ -1,9 +1,9 @@
 """Shared inputs of the registered queries: the fixture views, the temporal
 split and the frequency tables derived from them.
 
-Everything here is lazy except the split thresholds, which are a few
-scalars per data set; they are computed once per (application, data dir)
-and reused by every query that needs a slice. Each DataFrame is built once
+Everything here is lazy except the split thresholds, a few scalars computed
+when a slice is first asked for (callers that make several ``Inputs`` over one
+data set may pass the split on). Each DataFrame is built once
 per ``Inputs`` (cached_property), so a query that uses a view several times
 shares one analysed subplan and Spark reuses its exchanges.
 """
@@ -12,22 +12,21 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recoflow.config import DEFAULT_K
 from recoflow.operators import history as hist
 from recoflow.operators import popularity as pop
-from recoflow.operators.split import TemporalSplit, temporal_split
+from recoflow.operators.split import Cut, TemporalSplit, temporal_split
 from recoflow.sources import tables
 
-_SPLITS: dict[tuple[str, str], TemporalSplit] = {}
-
-
 class Inputs:
     segment_col = "feature1"
 
-    def __init__(self, spark: SparkSession, sf_dir: str, k: int = DEFAULT_K):
+    def __init__(self, spark: SparkSession, sf_dir: str, k: int = DEFAULT_K, split: TemporalSplit | None = None):
+        if split is not None:
+            self.split = split
         self.spark = spark
         self.sf_dir = sf_dir
         self.k = k
@@ -45,36 +44,41 @@ class Inputs:
     def targets(self) -> DataFrame:
         return tables.target_users(self.spark, self.sf_dir)
 
+    @cached_property
+    def active_targets(self) -> DataFrame:
+        """Users with a row in the validation slice: a target list given by the data."""
+        return self.validation_rows.select("user_id").distinct()
+
     # -- split -----------------------------------------------------------
     @cached_property
     def split(self) -> TemporalSplit:
-        key = (self.spark.conf.get("spark.app.id", None) or str(id(self.spark)), self.sf_dir)
-        if key not in _SPLITS:
-            counts = tables.history_time_counts(self.spark, self.sf_dir)
-            _SPLITS[key] = temporal_split(self.history, tables.HISTORY_ORDER, leading_counts=counts)
-        return _SPLITS[key]
-
-    def _bound(self, cut, upper: bool):
-        """Pushable restatement of a cut's leading (time) bound."""
-        if cut.kind != "prefix":
-            return F.lit(True)
-        return tables.time_bound(cut.values[0], upper)
+        counts = tables.history_time_counts(self.spark, self.sf_dir)
+        return temporal_split(self.history, tables.HISTORY_ORDER, leading_counts=counts)
+
+    def _bounded(self, low: Cut | None, high: Cut | None) -> DataFrame:
+        """The history with the cuts' time bounds pushed into the scan."""
+        out = self.history
+        if low is not None and low.kind == "prefix":
+            out = out.where(tables.time_bound(low.values[0], False))
+        if high is not None and high.kind == "prefix":
+            out = out.where(tables.time_bound(high.values[0], True))
+        return out
 
     @cached_property
     def train_rows(self) -> DataFrame:
-        s = self.split
-        return self.history.where(self._bound(s.train_cut, True) & s.train_filter())
+        return self.split.train(self._bounded(None, self.split.train_cut))
 
     @cached_property
     def train_test_rows(self) -> DataFrame:
-        s = self.split
-        return self.history.where(self._bound(s.test_cut, True) & s.train_test_filter())
+        return self.split.train_test(self._bounded(None, self.split.test_cut))
 
     @cached_property
     def test_rows(self) -> DataFrame:
-        s = self.split
-        bounds = self._bound(s.train_cut, False) & self._bound(s.test_cut, True)
-        return self.history.where(bounds & s.test_filter())
+        return self.split.test(self._bounded(self.split.train_cut, self.split.test_cut))
+
+    @cached_property
+    def validation_rows(self) -> DataFrame:
+        return self.split.validation(self._bounded(self.split.test_cut, None))
 
     # -- derived ---------------------------------------------------------
     @cached_property
@@ -117,5 +121,5 @@ class Inputs:
         top = pop.group_top_k(self.train_freqs, "user_id", self.k)
         return pop.group_lists(top, "user_id")
 
-    def global_list(self) -> list[int]:
-        return pop.global_top_list(self.train_freqs, self.k)
+    def global_list(self) -> Column:
+        return pop.global_top_array(self.train_freqs, self.k)

@@ -150,6 +150,11 @@ rel AS (
 ),
 nd AS (SELECT user_id, sum(rel / log2(pos + 2)) / {_IDCG} AS ndcg FROM rel GROUP BY user_id)"""
 
+_VIOLATIONS = """
+SELECT count(*) AS n_users, CAST(0 AS BIGINT) AS n_wrong_length, CAST(0 AS BIGINT) AS n_wrong_repeated,
+       CAST(0 AS BIGINT) AS n_wrong_item, CAST(0 AS BIGINT) AS n_wrong_order, CAST(0 AS BIGINT) AS n_wrong_rating
+FROM {users}"""
+
 ORACLE_SQL: dict[str, str] = {
     "history_clean": BASE + """
 SELECT user_id, CAST(replace(item_id, 'I', '') AS INTEGER) AS item_id, latest_timestamp, frequency FROM h""",
@@ -167,7 +172,7 @@ SELECT user_id, item_id, frequency FROM train_freq""",
 SELECT user_id, CAST(replace(item_id, 'I', '') AS INTEGER) AS item_id, SUM(CAST(frequency AS DOUBLE)) AS frequency
 FROM sliced WHERE slice IN ('train', 'test') GROUP BY 1, 2""",
     "target_frequencies": BASE + """
-SELECT f.user_id, f.item_id, f.frequency FROM train_freq f WHERE f.user_id IN (SELECT user_id FROM t)""",
+SELECT f.user_id, f.item_id, f.frequency FROM train_freq f WHERE f.user_id IN (SELECT user_id FROM sliced WHERE slice = 'validation')""",
     "feature_value_counts": BASE + """
 SELECT feature, value, count FROM vc""",
     "distinct_summary": BASE + """
@@ -333,4 +338,60 @@ SELECT 'with_primary', with_primary FROM c UNION ALL
 SELECT 'without_primary', users - with_primary FROM c UNION ALL
 SELECT 'with_truth', with_truth FROM c UNION ALL
 SELECT 'without_truth', users - with_truth FROM c""",
+    "target_features": BASE + """
+SELECT * FROM u WHERE user_id IN (SELECT user_id FROM sliced WHERE slice = 'validation')""",
+    "first_target_lists": BASE + """
+SELECT user_id, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY rank) AS recommended_items
+FROM seg_list WHERE user_id IN (SELECT user_id FROM t ORDER BY user_id LIMIT 100) GROUP BY user_id""",
+    "event_split_rows": """
+SELECT event_id, user_id,
+       CASE WHEN rn <= CAST(floor(n * 0.7::DOUBLE) AS BIGINT) THEN 'train'
+            WHEN rn <= CAST(floor(n * 0.7::DOUBLE) AS BIGINT) + CAST(floor(n * 0.2::DOUBLE) AS BIGINT) THEN 'test'
+            ELSE 'validation' END AS slice
+FROM (SELECT *, row_number() OVER (ORDER BY ts, event_id) AS rn, count(*) OVER () AS n FROM events)""",
+    "event_split_counts": """
+WITH twice AS (SELECT date_trunc('hour', ts) AS hour, event_type FROM events UNION ALL SELECT date_trunc('hour', ts), event_type FROM events),
+ranked AS (SELECT *, row_number() OVER (ORDER BY hour, event_type) AS rn, count(*) OVER () AS n FROM twice)
+SELECT CASE WHEN rn <= CAST(floor(n * 0.7::DOUBLE) AS BIGINT) THEN 'train'
+            WHEN rn <= CAST(floor(n * 0.7::DOUBLE) AS BIGINT) + CAST(floor(n * 0.2::DOUBLE) AS BIGINT) THEN 'test'
+            ELSE 'validation' END AS slice, event_type, count(*) AS n_rows
+FROM ranked GROUP BY 1, 2""",
+    "random_split_counts": BASE + """
+SELECT s AS split, (SELECT count(*) FROM train_freq) AS n_rows, CAST(0 AS BIGINT) AS n_lost, CAST(0 AS BIGINT) AS n_misplaced
+FROM (VALUES ('two'), ('four')) v(s)""",
+    "full_own_lists": BASE + """
+SELECT user_id, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY rank) AS recommended_items
+FROM p WHERE rank <= 10 GROUP BY user_id HAVING count(*) = 10""",
+    "feature_value_ranks": BASE + """
+SELECT feature, value, count, CAST(row_number() OVER (PARTITION BY feature ORDER BY count DESC, value) AS INTEGER) AS rank FROM vc""",
+    "fold_assignment": BASE + """
+SELECT user_id, item_id, frequency,
+       CAST(('0x' || substr(md5(CAST(user_id AS VARCHAR) || ':' || CAST(item_id AS VARCHAR) || ':42'), 1, 8))::BIGINT % 10 AS INTEGER) AS fold
+FROM train_freq""",
+    "als_subset_check": BASE + _VIOLATIONS.format(
+        users="(SELECT user_id FROM train_freq INTERSECT SELECT user_id FROM sliced WHERE slice = 'validation')"),
+    "als_all_check": BASE + _VIOLATIONS.format(users="(SELECT DISTINCT user_id FROM train_freq)"),
+    "als_rmse_check": BASE + """
+SELECT count(*) AS n_pairs, CAST(0 AS BIGINT) AS n_wrong_rmse FROM truth
+WHERE user_id IN (SELECT user_id FROM train_freq) AND item_id IN (SELECT item_id FROM train_freq)""",
+    "als_grid_check": """
+SELECT count(*) AS n_settings, CAST(0 AS BIGINT) AS n_wrong_repeated, CAST(0 AS BIGINT) AS n_wrong_rmse,
+       count(DISTINCT i) AS n_max_iters, count(DISTINCT r) AS n_reg_params, count(DISTINCT k) AS n_ranks
+FROM (VALUES (2), (5)) a(i), (VALUES (0.01), (0.1)) b(r), (VALUES (5), (10)) c(k)""",
+    "kmeans_check": BASE + """
+SELECT count(*) AS n_users, CAST(0 AS BIGINT) AS n_wrong_assigned, CAST(0 AS BIGINT) AS n_wrong_nearest FROM u""",
+    "silhouette_check": """
+SELECT count(*) AS n_clusterings, CAST(0 AS BIGINT) AS n_wrong_score, CAST(0 AS BIGINT) AS n_wrong_rows
+FROM (VALUES (5), (10), (20), (40)) v(k)""",
+    "cluster_lists_check": BASE + """
+SELECT count(*) AS n_users, CAST(0 AS BIGINT) AS n_wrong_item FROM t""",
+    "hybrid_check": BASE + """
+SELECT count(*) AS n_users, count(*) FILTER (WHERE user_id IN (SELECT user_id FROM train_freq)) AS n_known,
+       CAST(0 AS BIGINT) AS n_wrong_length, CAST(0 AS BIGINT) AS n_wrong_repeated, CAST(0 AS BIGINT) AS n_wrong_start
+FROM hyb_users""",
+    "comparison_check": BASE + """
+SELECT CAST(4 AS BIGINT) AS n_configurations, count(*) AS n_lists,
+       count(*) FILTER (WHERE user_id IN (SELECT user_id FROM truth)) AS n_scored,
+       CAST(0 AS BIGINT) AS n_wrong_score, CAST(0 AS BIGINT) AS n_wrong_users
+FROM t""",
 }

@@ -27,7 +27,7 @@ def local_session(
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.driver.memory", os.environ.get("RECOFLOW_DRIVER_MEMORY", "16g"))
+        .config("spark.driver.memory", os.environ.get("RECOFLOW_DRIVER_MEMORY", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for key, value in (extra or {}).items():
@@ -53,13 +53,13 @@ def use_cluster_checkpoint_dir(spark: SparkSession) -> str | None:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Use the cluster's shared ``spark.checkpoint.dir``; only when it is unset
-    (local tests) fall back to a fresh scratch folder under /tmp."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or None
-    if path is None:
-        path = spark.sparkContext.getCheckpointDir()
+    """Use the cluster's shared ``spark.checkpoint.dir``. Only a local master
+    (tests, bench) may go without: it gets a fresh scratch folder."""
+    path = use_cluster_checkpoint_dir(spark)
     if path is None:
-        path = tempfile.mkdtemp(prefix="recoflow-ckpt-", dir="/tmp")
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        path = tempfile.mkdtemp(prefix="recoflow-ckpt-")
+        spark.sparkContext.setCheckpointDir(path)
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
     return path

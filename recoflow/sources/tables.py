@@ -81,13 +81,22 @@ def history_time_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def time_bound(epoch_seconds: int, upper: bool) -> Column:
-    """``latest_timestamp <= t`` (or ``>=``) restated on the stored order-date
-    column, so the bound reaches the orders parquet scan as a pushed filter;
-    the derived epoch column alone cannot be pushed."""
-    ts = datetime.datetime.fromtimestamp(int(epoch_seconds), tz=datetime.timezone.utc)
-    lit = F.lit(ts.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
-    return F.col("o_orderdate") <= lit if upper else F.col("o_orderdate") >= lit
+def time_bound(epoch_seconds: int | None, upper: bool) -> Column:
+    """``latest_timestamp <= t`` (or ``>= t``) restated on the stored order date,
+    so that the bound reaches the orders scan as a pushed filter; the derived
+    epoch column alone cannot be pushed. An epoch second covers all instants
+    before the next one; a null date sorts first."""
+    if epoch_seconds is None:
+        return F.lit(True)
+    second = datetime.datetime.fromtimestamp(int(epoch_seconds) + int(upper), tz=datetime.timezone.utc)
+    lit = F.lit(second.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
+    date = F.col("o_orderdate")
+    return date.isNull() | (date < lit) if upper else date >= lit
+
+
+def events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event stream's rows (``ts`` has microseconds)."""
+    return read_table(spark, sf_dir, "events", ["event_id", "ts", "user_id", "event_type", "value"])
 
 
 def user_master(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recoflow.functions.lists import item_id
 from recoflow.sources.tables import FEATURE_COLS
 
 ITEM_HISTORY_SCHEMA = "user_id int, item_id string, latest_timestamp bigint, frequency int"
@@ -26,6 +27,17 @@ def read_tsv(spark: SparkSession, path: str, schema: str, header: bool = True) -
     return spark.read.schema(schema).option("sep", "\t").option("header", header).option("mode", "PERMISSIVE").csv(path)
 
 
+#: Columns that a row of each table cannot do without.
+REQUIRED = {
+    "item_history": ("user_id", "item_id", "latest_timestamp", "frequency"),
+    "user_master": ("user_id",),
+    "target_users": ("user_id",),
+    "frequencies": ("user_id", "item_id", "frequency"),
+    "lists": ("user_id", "recommended_items"),
+    "truth": ("user_id", "items_actioned_on"),
+}
+
+
 def read_item_history(spark: SparkSession, path: str) -> DataFrame:
     return read_tsv(spark, path, ITEM_HISTORY_SCHEMA)
 
@@ -43,10 +55,24 @@ def read_frequencies(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lists(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
-    """A list file ``user_id \\t id,id,...`` read by position. Without
-    ``header`` a header line parses to a null user id and is dropped."""
-    df = read_tsv(spark, path, LIST_SCHEMA, header)
-    return df.where(F.col("user_id").isNotNull())
+    """A list file ``user_id \t id,id,...`` read by position. A header line is
+    told from a bad row by its text, and dropped; rows whose user id does not
+    parse stay, with a null id, for ``accepted`` to count."""
+    raw = read_tsv(spark, path, "user string, recommended_items string", header)
+    named = F.coalesce(F.lower(F.trim("user")) == "user_id", F.lit(False))
+    return raw.where(~named).select(F.col("user").try_cast("int").alias("user_id"), "recommended_items")
+
+
+def accepted(df: DataFrame, table: str) -> tuple[DataFrame, int]:
+    """(rows with all required fields, number of the others); an item id that
+    is no "I<number>" counts as missing."""
+    required = list(REQUIRED[table])
+    bad = F.lit(False)
+    for c in required:
+        bad = bad | F.col(c).isNull()
+    if "item_id" in required and dict(df.dtypes)["item_id"] == "string":
+        bad = bad | item_id(F.col("item_id")).isNull()
+    return df.where(~bad), df.where(bad).count()
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
@@ -70,6 +96,7 @@ def read_truth_items(spark: SparkSession, path: str, pad: str = "0") -> DataFram
     items = wide.select("user_id", F.explode(F.split("items_actioned_on", ",")).alias("_t"))
     return (
         items.where((F.col("_t") != F.lit(pad)) & (F.col("_t") != F.lit("")))
-        .select("user_id", F.regexp_replace("_t", "I", "").cast("int").alias("item_id"))
+        .select("user_id", item_id(F.col("_t")).alias("item_id"))
+        .where(F.col("item_id").isNotNull())
         .distinct()
     )

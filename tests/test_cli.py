@@ -17,7 +17,9 @@ def _tsv(df, path):
 
 def test_prepare_recommend_evaluate(spark):
     data = tempfile.mkdtemp(prefix="recoflow-cli-data-", dir="/tmp")
-    out = tempfile.mkdtemp(prefix="recoflow-cli-out-", dir="/tmp")
+    # A URI whose folder does not exist yet.
+    local = tempfile.mkdtemp(prefix="recoflow-cli-out-", dir="/tmp") + "/fresh"
+    out = f"file://{local}"
     h = tables.item_history(spark, SF)
     # The input file holds one row per (user, item): latest timestamp and summed frequency.
     hist = h.groupBy("user_id", "item_id").agg(
@@ -30,17 +32,25 @@ def test_prepare_recommend_evaluate(spark):
     split = cli.prepare(spark, data, out)
     n = hist.count()
     assert split.n == n and split.n_train == int(n * 0.7) and split.n_test == int(n * 0.2)
-    train = spark.read.parquet(os.path.join(out, "train_frequencies"))
+    train = spark.read.parquet(f"{out}/train_frequencies")
     assert train.agg(F.count(F.lit(1))).first()[0] == split.n_train  # pairs are unique in the input
 
     cli.recommend(spark, data, out, k_clusters=5, rank=4, max_iter=3, reg_param=0.1)
-    sub = spark.read.option("sep", "\t").option("header", True).csv(os.path.join(out, "submission"))
+    sub = spark.read.option("sep", "\t").option("header", True).csv(f"{out}/submission")
     assert sub.count() == tables.target_users(spark, SF).count()
     assert sub.where(F.size(F.split("recommend_items", ",")) != 72).count() == 0
 
-    result = cli.evaluate(spark, out, {"hybrid": os.path.join(out, "lists_hybrid")}).collect()
+    result = cli.evaluate(spark, out, {"hybrid": f"{out}/lists_hybrid"}).collect()
     assert len(result) == 1 and result[0].n_lists == sub.count()
     assert 0.0 <= result[0].mean_ndcg <= 1.0 and result[0].entropy > 0
     # Scoring against the wide y_test file gives the same numbers unless item 0 is in the truth.
-    wide = cli.evaluate(spark, out, {"hybrid": os.path.join(out, "lists_hybrid")}, truth_path=os.path.join(out, "y_test")).collect()
+    wide = cli.evaluate(spark, out, {"hybrid": f"{out}/lists_hybrid"}, truth_path=f"{out}/y_test").collect()
     assert wide[0].n_lists == result[0].n_lists and wide[0].entropy == result[0].entropy
+    # The submission file itself can be scored, and the saved split gives the validation slice.
+    assert cli.evaluate(spark, out, {"s": f"{out}/submission"}).first().mean_ndcg == result[0].mean_ndcg
+    assert cli.load_split(spark, f"{out}/split") == split
+    later = cli.evaluate(spark, out, {"hybrid": f"{out}/lists_hybrid"}, validation_of=data).first()
+    assert later.n_lists == result[0].n_lists and 0 < later.n_scored <= later.n_lists
+    # A complete saved model is reused only on request, and gives the same lists.
+    again = cli.recommend(spark, data, out, k_clusters=5, rank=4, max_iter=3, reg_param=0.1, reuse=True)
+    assert again.count() == sub.count()

@@ -4,6 +4,7 @@ import os
 import tempfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from recoflow.operators import evaluation as ev
 from recoflow.plans.inputs import Inputs
@@ -69,21 +70,73 @@ def test_truth_tsv_round_trip(spark, scratch):
     assert tsv.read_truth(spark, path).first().items_actioned_on == "5,5,7"
 
 
-def test_recommender_save_load_and_cluster_history_cache(spark, scratch):
+def test_recommender_save_load(spark, scratch):
     inp = Inputs(spark, SF)
-    ch_path = os.path.join(scratch, "cluster_history")
-    rec = HybridRecommender(k_clusters=4, rank=3, max_iter=3).fit(inp.train_freqs, inp.users, ch_path)
-    assert os.path.isdir(ch_path)
+    rec = HybridRecommender(k_clusters=4, rank=3, max_iter=3).fit(inp.train_freqs, inp.users)
     before = rec.recommend(inp.targets)
-    model_path = os.path.join(scratch, "model")
-    rec.save(model_path)
-    loaded = HybridRecommender.load(spark, model_path)
+    path = os.path.join(scratch, "model")
+    with pytest.raises(FileNotFoundError):
+        HybridRecommender.load(spark, path)
+    rec.save(path)
+    loaded = HybridRecommender.load(spark, path)
     after = loaded.recommend(inp.targets)
-    assert loaded.global_items == rec.global_items
+    assert loaded.global_items == rec.global_items and loaded.settings() == rec.settings()
     assert before.exceptAll(after).count() == 0 and after.exceptAll(before).count() == 0
-    # A second fit with the same path reuses the saved table.
-    again = HybridRecommender(k_clusters=4, rank=3, max_iter=3).fit(inp.train_freqs, inp.users, ch_path)
-    assert again.cluster_hist.count() == rec.cluster_hist.count()
+    # A folder whose settings were not completely written is no saved model.
+    os.remove(os.path.join(path, "settings", "_SUCCESS"))
+    with pytest.raises(FileNotFoundError):
+        HybridRecommender.load(spark, path)
+
+
+def test_refit_never_meets_an_old_cluster_history(spark):
+    """Changed user features give other clusters; the history follows them."""
+    from recoflow.operators import clustering as cl
+
+    inp = Inputs(spark, SF)
+    changed = inp.users.withColumn("feature1", F.col("feature5"))
+    for users in (inp.users, changed):
+        rec = HybridRecommender(k_clusters=4, rank=3, max_iter=2).fit(inp.train_freqs, users)
+        want = cl.cluster_history(inp.train_freqs, rec.clusters())
+        assert want.exceptAll(rec.cluster_hist).count() == 0 and rec.cluster_hist.exceptAll(want).count() == 0
+        rec.close()
+
+
+def test_rewritten_data_is_read_afresh(spark, scratch):
+    """The split of a path follows the data under it."""
+    for name in ("lineitem", "orders"):
+        spark.read.parquet(f"{SF}/{name}.parquet").write.parquet(f"{scratch}/{name}.parquet")
+    counts = lambda: {r["slice"]: r["count"] for r in Inputs(spark, scratch).split.labelled(Inputs(spark, scratch).history).groupBy("slice").count().collect()}
+    assert counts() == {"train": 4200, "test": 1200, "validation": 600}
+    later = spark.read.parquet(f"{SF}/orders.parquet").withColumn(
+        "o_orderdate", F.expr("CASE WHEN o_orderkey % 2 = 0 THEN o_orderdate ELSE o_orderdate + INTERVAL 9 YEARS END")
+    )
+    later.write.mode("overwrite").parquet(f"{scratch}/orders.parquet")
+    assert counts() == {"train": 4200, "test": 1200, "validation": 600}
+
+
+def test_submission_files_can_be_scored(spark, scratch):
+    lists = spark.createDataFrame([(1, list(range(72)))], "user_id int, items array<int>")
+    path = os.path.join(scratch, "submission")
+    writers.write_submission(lists, path)
+    truth = spark.createDataFrame([(1, 0)], "user_id int, item_id int")
+    out = ev.evaluate_list_files(spark, {"s": path}, truth).collect()
+    assert out[0].n_lists == 1 and out[0].mean_ndcg == pytest.approx(0.060268756553208506)
+
+
+def test_rejects_are_counted_and_do_not_end_the_job(spark, scratch):
+    path = os.path.join(scratch, "lists.tsv")
+    with open(path, "w") as fh:
+        fh.write("user_id\trecommended_items\n1\tI5,I7\nx\tI5\n3\tI5,I1x2\n")
+    good, bad = tsv.accepted(tsv.read_lists(spark, path), "lists")
+    assert bad == 1 and good.count() == 2
+    arrays = ev.string_lists_to_arrays(good)
+    assert ev.count_bad_items(arrays) == 1
+    assert {r.user_id: r["items"] for r in arrays.collect()} == {1: [5, 7], 3: [5, None]}
+    path = os.path.join(scratch, "history.tsv")
+    with open(path, "w") as fh:
+        fh.write("user_id\titem_id\tlatest_timestamp\tfrequency\n1\tI5\t10\t2\n2\tI7x\t11\t1\n3\tI7\t11\ty\n")
+    good, bad = tsv.accepted(tsv.read_item_history(spark, path), "item_history")
+    assert bad == 2 and [r.user_id for r in good.collect()] == [1]
 
 
 def test_evaluate_list_files_one_pass(spark, scratch):
