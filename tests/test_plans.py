@@ -92,6 +92,8 @@ def test_merge_and_evaluation_plan_without_jobs(spark):
     from recoflow.operators.merge import merge_lists
 
     inp = Inputs(spark, SF, split=Inputs(spark, SF).split)
+    # Opening a table reads its footers: that is done before.
+    assert inp.train_freqs.columns and inp.users.columns and inp.targets.columns and inp.test_truth.columns
     sc = spark.sparkContext
     sc.setJobGroup("planning", "no job may run here")
     users = inp.hybrid_users
