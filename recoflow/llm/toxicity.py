@@ -3,8 +3,9 @@ by naive Bayes log-count ratios, trained on labelled text (operator 6).
 
 A feature is the presence of a hashed lower-cased character n-gram (n = 3 to 5) in
 the whole text. Over the training rows, r = log of the ratio of the smoothed
-shares of toxic and clean documents that hold it; the features with the strongest
-ratios, each with value r, feed an L2-regularised logistic regression (MLlib).
+shares of toxic and clean documents that hold it; of the features that speak for
+toxic text, those with the strongest evidence (log-likelihood ratio of presence
+against the label), each with value r, feed an L2-regularised logistic regression (MLlib).
 Scoring is row-local: whole texts, no shuffle.
 
 Training uses a bounded sample: at most ``TRAIN_ROWS`` labelled rows, those of the
@@ -35,8 +36,8 @@ HASH_BITS = 20
 #: Labelled rows a fit reads at most.
 TRAIN_ROWS = 20_000
 #: Features that enter the regression, and documents a feature must occur in.
-FEATURES = 20_000
-LEAST_DOCS = 5
+FEATURES = 1_000
+LEAST_DOCS = 3
 SMOOTHING = 1.0
 REGULARISATION = 1e-3
 
@@ -105,8 +106,8 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
         F.sum("toxic").alias("p"), F.sum("clean").alias("q")
     ).where(F.col("p") + F.col("q") >= LEAST_DOCS)
     ratio = F.log((F.col("p") + SMOOTHING) / (toxic + SMOOTHING)) - F.log((F.col("q") + SMOOTHING) / (clean + SMOOTHING))
-    strength = F.abs("r") * F.sqrt(F.col("p") + F.col("q"))
-    chosen = counts.withColumn("r", ratio).orderBy(strength.desc(), "feature").select("feature", "r").limit(FEATURES).collect()
+    strength = evidence(F.col("p"), F.col("q"), toxic, clean)
+    chosen = counts.withColumn("r", ratio).where("r > 0").orderBy(strength.desc(), "feature").select("feature", "r").limit(FEATURES).collect()
     if not chosen:
         return Model(float(np.log(toxic / clean)), empty, empty)
     features = np.array(sorted(r["feature"] for r in chosen), np.int64)
@@ -125,6 +126,19 @@ def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "
     return Model(float(model.intercept), features, np.asarray(model.coefficients.toArray()) * ratios)
 
 
+def evidence(p: Column, q: Column, toxic: int, clean: int) -> Column:
+    """The log-likelihood ratio of a feature in ``p`` of the toxic and ``q`` of the clean documents."""
+
+    def term(seen: Column, expected: Column) -> Column:
+        return F.when(seen > 0, seen * F.log(seen / expected)).otherwise(0.0)
+
+    held, n = p + q, toxic + clean
+    return (
+        term(p, held * toxic / n) + term(q, held * clean / n)
+        + term(toxic - p, (n - held) * toxic / n) + term(clean - q, (n - held) * clean / n)
+    )
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     docs = np.zeros((2, 1 << HASH_BITS), np.int32)
     for b in batches:
