@@ -25,12 +25,9 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recoflow.llm.common import Work
-
 #: One word in so many ends a piece, one paragraph in so many ends a section.
 PIECE_WORDS = 4
 SECTION_PARAGRAPHS = 8
@@ -142,7 +139,8 @@ def changed(a: str, b: str) -> list[tuple[int, int]]:
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 NAMES = [c.split()[0] for c in RESULT.split(", ")]
 KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-DONE, FIRST, LAST = 0, 1, 2
+#: The order key of rows without an id: before all others.
+NO_ID = -(1 << 63)
 
 
 def _compare(doc: int | None, text: str, tree: Tree, follower: str, next_tree: Tree) -> tuple:
@@ -155,63 +153,47 @@ def _compare(doc: int | None, text: str, tree: Tree, follower: str, next_tree: T
     )
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(KINDS)], NAMES)
-
-
 def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compare each row with the next of its partition; the partition's first and
-    last row are handed on as boundary records."""
-    part = TaskContext.get().partitionId()
-    names, kinds = [*NAMES, "kind", "part", "text"], [*KINDS, pa.int32(), pa.int32(), pa.string()]
-    none = (None,) * len(NAMES)
-    before: tuple | None = None
+    """Rows (part, guest, id, text) in order: compare each row with the next of its
+    part; a part's first guest is the next part's first row."""
+    waiting: tuple | None = None
+    part = None
     for b in batches:
         out = []
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+        for here, guest, doc, text in zip(*(c.to_pylist() for c in b.columns)):
+            if guest and waiting is None:
+                continue  # a further row with the guest's id
             tree = Tree(text)
-            if before is None:
-                out.append((*none, FIRST, part, text))
-            else:
-                out.append((*_compare(*before, text, tree), DONE, part, None))
-            before = (doc, text, tree)
-        if out:
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
-    if before is not None:
-        row = (before[0], *none[1:], LAST, part, before[1])
-        yield pa.RecordBatch.from_arrays([pa.array([row[k]], t) for k, t in enumerate(kinds)], names)
-
-
-def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Compare each partition's last row with the first row of the next one."""
-    opening = waiting = None
-    for b in batches:
-        for doc, kind, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-            if kind == LAST:
-                waiting = (doc, text, Tree(text))
-                continue
-            opening = text if opening is None else opening
-            if waiting is not None:
-                yield _batch([_compare(*waiting, text, Tree(text))])
-    if waiting is not None:
-        yield _batch([_compare(*waiting, opening, Tree(opening))])
+            if waiting is not None and here == part:
+                out.append(_compare(*waiting, text, tree))
+            waiting, part = (None if guest else (doc, text, tree)), here
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(KINDS)], NAMES)
 
 
 def fingerprint_with_next(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprint every text, its edit towards the next row, and their likeness.
-    One range shuffle of the texts; two boundary rows per partition complete it."""
-    work = Work(spark, "fingerprints")
-    rows = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text"))
+
+    The ids' quantiles cut the rows into parts; each part also gets the first row of
+    the part behind it (the last part that of the first), so one shuffle of the
+    texts brings every row together with its next one."""
+    key = F.coalesce(F.col("id"), F.lit(NO_ID))
+    rows = docs.select(docs[id_col].cast("long").alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("text")).withColumn("key", key)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = work.keep(
-        rows.repartitionByRange(parts, "id").sortWithinPartitions("id", "text").mapInArrow(
-            _pairs, RESULT + ", kind int, part int, text string"
-        ),
-        "pairs",
+    cuts = rows.select("key").agg(F.percentile_approx("key", [k / parts for k in range(1, parts)] or [0.5], 10_000)).first()[0] or []
+    bounds = F.array(*[F.lit(c).cast("long") for c in sorted(set(cuts))]).cast("array<bigint>")
+    rows = rows.withColumn("part", F.size(F.filter(bounds, lambda c: c <= F.col("key"))))
+    firsts = rows.groupBy("part").agg(F.min("key").alias("first")).orderBy("part").collect()  # one row per part
+    before = [firsts[-1]["part"], *(r["part"] for r in firsts[:-1])] if firsts else []
+    guest_of = F.lit(None).cast("int")
+    if firsts:
+        pairs = [F.lit(x) for r, p in zip(firsts, before) for x in (r["first"], p)]
+        guest_of = F.element_at(F.create_map(*pairs), F.col("key"))
+    own = F.struct(F.col("part"), F.lit(False).alias("guest"))
+    places = F.when(guest_of.isNull(), F.array(own)).otherwise(F.array(own, F.struct(guest_of.alias("part"), F.lit(True).alias("guest"))))
+    dealt = rows.select("id", "text", "key", F.explode(places).alias("at")).select("at.part", "at.guest", "id", "text", "key")
+    return (
+        dealt.repartition(parts, "part").sortWithinPartitions("part", "guest", "key", "text").drop("key").mapInArrow(_pairs, RESULT)
     )
-    edges = found.where(F.col("kind") != DONE).select("doc_id", "kind", "text", "part")
-    closed = edges.repartition(1).sortWithinPartitions("part", "kind").drop("part").mapInArrow(_edges, RESULT)
-    return found.where(F.col("kind") == DONE).select(*NAMES).unionByName(closed)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
