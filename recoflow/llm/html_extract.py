@@ -10,7 +10,7 @@ every line to a neighbour keeps them. What markup names as no part of the articl
 case: a host with one page has no neighbour, and such lines need not be shared.
 
 Defined results: a null or empty page has an empty text; null URLs form one host;
-ties order by (host, path, id, html); pages repeated under one URL are neighbours; an
+ties order by (host, path, id, lines); pages repeated under one URL are neighbours; an
 empty table gives an empty result; further columns are ignored.
 """
 
@@ -217,6 +217,15 @@ def _rows(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
 
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, url, host, path, html) -> the lines and their marks (a digit each): less than the page to shuffle."""
+    for b in batches:
+        pages = [page_lines(p) for p in b.column(4).to_pylist()]
+        lines = pa.array([[x for x, _ in p] for p in pages], pa.list_(pa.string()))
+        marks = pa.array(["".join(str(m) for _, m in p) for p in pages], pa.string())
+        yield pa.RecordBatch.from_arrays([*b.columns[:4], lines, marks], ["id", "url", "host", "path", "lines", "marks"])
+
+
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
     names, kinds = [*NAMES, *EDGE_NAMES], [*KINDS, *EDGE_KINDS]
@@ -224,8 +233,8 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     before, first = None, True
     for b in batches:
         out = []
-        for id_, url, host, page in zip(*(c.to_pylist() for c in b.columns)):
-            here = Page(id_, url, host, page_lines(page))
+        for id_, url, host, lines, marks in zip(*(c.to_pylist() for c in b.columns)):
+            here = Page(id_, url, host, list(zip(lines, map(int, marks))))
             if before is not None:
                 before.meet(here)
                 out.append(before.edge(FIRST, part) if first else (*before.result(), *done))
@@ -265,11 +274,11 @@ def extract(
     rest = F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
     rows = pages.select(
         pages[id_col].cast("long").alias("id"), url.alias("url"), F.lower(F.regexp_extract(rest, r"^[^/?#]*", 0)).alias("host"),
-        F.coalesce(pages[html_col], F.lit("")).alias("html"), F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1).alias("path"),
-    )
+        F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1).alias("path"), F.coalesce(pages[html_col], F.lit("")).alias("html"),
+    ).mapInArrow(_parse, "id long, url string, host string, path string, lines array<string>, marks string")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = work.keep(
-        rows.repartitionByRange(parts, "host", "path", "id").sortWithinPartitions("host", "path", "id", "html").drop("path")
+    found = work.keep_small(
+        rows.repartitionByRange(parts, "host", "path", "id").sortWithinPartitions("host", "path", "id", "lines").drop("path")
         .mapInArrow(_difference, RESULT + ", kind int, part int, host string, lines array<string>, marks array<int>, shared array<int>"),
         "pages",
     )
