@@ -3,9 +3,10 @@
 Every page becomes its text lines (one per block element). Pages are ordered by
 (host, path), so the pages next to one have the nearest paths of its host; the lines
 of neighbours are aligned by longest common subsequence and shared lines are deleted
-as boilerplate. Copies of one article would delete each other, so lines inside an
-``article`` or ``main`` element are safe from the comparison, and a page that would lose
-every line to a neighbour keeps them. What markup names as no part of the article
+as boilerplate, on every page. Copies of one article would delete each other, so lines
+inside an ``article`` or ``main`` element are safe from the comparison (lines beside it
+are kept when no neighbour shares them), and a page that would lose every line to a
+neighbour keeps them. What markup names as no part of the article
 (menus, headers, footers, sidebars, notices, adverts, forms, comments) goes in any
 case: a host with one page has no neighbour, and such lines need not be shared.
 
@@ -174,13 +175,9 @@ def common_lines(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 def main_text(lines: list[tuple[str, int]], shared: set[int]) -> str:
     """Lines that are neither boilerplate by markup nor, outside a main element, shared;
-    the lines of the main element alone where a page has one."""
-    safe = [line for line, mark in lines if mark == 1]
-    if safe:
-        return "\n".join(safe)
-    open_ = [(k, line) for k, (line, mark) in enumerate(lines) if mark == 0]
-    own = [line for k, line in open_ if k not in shared]
-    return "\n".join(own or [line for _, line in open_])
+    a page that would lose every line keeps those that markup does not rule out."""
+    own = [line for k, (line, mark) in enumerate(lines) if mark == 1 or mark == 0 and k not in shared]
+    return "\n".join(own or [line for line, mark in lines if mark == 0])
 
 
 RESULT = "page_id long, url string, text string, n_chars long, n_lines int, n_shared int"

@@ -335,6 +335,16 @@ def test_html_pages(spark):
     assert html_extract.extract(spark, df.limit(0)).collect() == []
 
 
+def test_html_lines_beside_an_article():
+    """Differencing decides lines outside the article too: own ones stay, shared ones go."""
+    page = "<body><h1>Title {0}</h1><p>Lead {0}</p><p>Terms of use</p><article><p>Body {0}</p></article><p>More {0}</p></body>"
+    lines = [html_extract.page_lines(page.format(k)) for k in range(2)]
+    shared = {i for i, _ in html_extract.common_lines(*([x for x, _ in p] for p in lines))}
+    assert html_extract.main_text(lines[0], shared) == "Title 0\nLead 0\nBody 0\nMore 0"
+    teasers = html_extract.page_lines("<h1>Title</h1><p>Text</p><article><a>Card</a></article>")
+    assert html_extract.main_text(teasers, set()) == "Title\nText\nCard"
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from("abcd"), max_size=9), st.lists(st.sampled_from("abcd"), max_size=9))
 def test_common_lines_are_longest(a, b):
