@@ -8,7 +8,8 @@ inside an ``article`` or ``main`` element are safe from the comparison (lines be
 are kept when no neighbour shares them), and a page that would lose every line to a
 neighbour keeps them. What markup names as no part of the article
 (menus, headers, footers, sidebars, notices, adverts, forms, comments) goes in any
-case: a host with one page has no neighbour, and such lines need not be shared.
+case: a host with one page has no neighbour, and such lines need not be shared. Names
+of classes, ids and forms do not count on an element that wraps the article.
 
 Defined results: a null or empty page has an empty text; null URLs form one host;
 ties order by (host, path, id, lines); pages repeated under one URL are neighbours; an
@@ -41,52 +42,91 @@ BOILERPLATE = frozenset("nav header footer aside form menu dialog button select
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset("article main".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
-#: Parts of class and id names that mark what is no article text.
+#: Words of class and id names that mark what is no article text.
 BOILERPLATE_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored cookie "
     "cookies consent gdpr notice notices alert popup modal overlay sidebar sidebars menu menus nav navbar navigation breadcrumb "
     "breadcrumbs comment comments reply replies respond disqus share sharing social related recommended newsletter "
     "subscribe subscription footer header masthead login signup search toolbar widget widgets pagination pager skip".split()
 )
+#: Words that such a name may hold besides, and elements that hold text themselves.
+NEUTRAL_NAMES = frozenset(
+    "area bar block box btn button buttons column container group icon icons inner items left link links list "
+    "main outer posts primary right secondary site slot top bottom unit wrap wrapper".split()
+) | frozenset("abcdefghijklmnopqrstuvwxyz")
+DISCUSSION_NAMES = frozenset("comment comments reply replies respond disqus".split())
+TEXT_ELEMENTS = HEADINGS | frozenset("p li td th dt dd pre blockquote figcaption caption address summary".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PARTS = re.compile(r"[a-z]+")
 
 
-def _named_boilerplate(attributes: str) -> bool:
+def _named_boilerplate(attributes: str, leading: bool) -> set[str]:
+    """The words by which class, id or role name boilerplate: names made of such words and
+    neutral ones, with ``leading`` also names that begin with one (``comments-thread``)."""
+    found: set[str] = set()
     for name, *values in _ATTR.findall(attributes):
         value = "".join(values).lower()
         if name.lower() == "role":
-            if value.strip() in BOILERPLATE_ROLES:
-                return True
-        elif not BOILERPLATE_NAMES.isdisjoint(_PARTS.findall(value)):
+            found |= BOILERPLATE_ROLES & {value.strip()}
+            continue
+        for words in map(_PARTS.findall, value.split()):
+            known = BOILERPLATE_NAMES.intersection(words)
+            if known and (words[0] in known and leading or all(w in known or w in NEUTRAL_NAMES for w in words)):
+                found |= known
+    return found
+
+
+class Named:
+    """An element that its name (or a form, its kind) marks as boilerplate. The mark does
+    not hold where the element wraps the article: see ``wraps``."""
+
+    __slots__ = ("words", "holds_main", "lines", "chars")
+
+    def __init__(self, words: set[str]):
+        self.words, self.holds_main, self.lines, self.chars = words, False, 0, 0
+
+    def wraps(self, chars: int, has_main: bool) -> bool:
+        """Holds an article or main, or several lines with most of the page's ``chars``
+        (a discussion may be longer than the article it is about)."""
+        if self.holds_main:
             return True
-    return False
+        return self.lines > 1 and 2 * self.chars > chars and not (has_main and self.words & DISCUSSION_NAMES)
 
 
 def page_lines(page: str) -> list[tuple[str, int]]:
     """(line, mark) per block in page order; mark: 0 undecided, 1 in the main element, 2 boilerplate by its markup."""
-    lines: list[tuple[str, int]] = []
-    stack: list[tuple[str, int, int]] = []  # element, 1 if boilerplate, 1 if main
-    bad = main = headings = 0
+    lines: list[tuple[str, int, tuple[Named, ...]]] = []  # mark by elements alone, named elements around
+    stack: list[tuple[str, int, int, int]] = []  # element, 1 if boilerplate, 1 if main, 1 if named
+    named: list[Named] = []
+    bad = main = headings = chars = 0
+    has_main = False
     text: list[str] = []
 
     def flush() -> None:
+        nonlocal chars
         if text:
             line = " ".join(html.unescape("".join(text)).split())
             text.clear()
             if line:
-                lines.append((line, (2 if bad and not (main and headings and not hidden()) else 1 if main else 0)))
+                mark = 2 if bad and not (main and headings and not hidden()) else 1 if main else 0
+                lines.append((line, mark, tuple(named)))
+                if mark != 2:
+                    chars += len(line)
+                    for n in named:
+                        n.lines, n.chars = n.lines + 1, n.chars + len(line)
 
     def hidden() -> bool:
         """Boilerplate by more than being an article's own header."""
-        return any(b and e != "header" for e, b, _ in stack)
+        return any(b and e != "header" for e, b, _, _ in stack)
 
     def pop(to: int) -> None:
         nonlocal bad, main, headings
-        for e, b, m in stack[to:]:
+        for e, b, m, n in stack[to:]:
             bad, main, headings = bad - b, main - m, headings - (e in HEADINGS)
+            if n:
+                named.pop()
         del stack[to:]
 
     at, size = 0, len(page)
@@ -134,12 +174,28 @@ def page_lines(page: str) -> list[tuple[str, int]]:
                         break
                     if stack[k][0] not in INLINE:
                         break
-        b = int(name in BOILERPLATE or (name not in ("html", "body", *MAIN) and bool(m[3]) and _named_boilerplate(m[3])))
-        is_main = int(name in MAIN)
-        stack.append((name, b, is_main))
+        b, is_main = int(name in BOILERPLATE and name != "form"), int(name in MAIN)
+        words: set[str] = set()
+        if not b and name not in ("html", "body"):
+            if m[3]:
+                words = _named_boilerplate(m[3], not main and name not in TEXT_ELEMENTS)
+            if name == "form":
+                words.add(name)
+        if is_main:
+            if not bad and not words & DISCUSSION_NAMES:  # a comment may be an article of its own
+                has_main = True
+                for n in named:
+                    n.holds_main = True
+            words = set()
+        if words:
+            named.append(Named(words))
+        stack.append((name, b, is_main, int(bool(words))))
         bad, main, headings = bad + b, main + is_main, headings + (name in HEADINGS)
     flush()
-    return lines
+    ruled_out = lambda around: any(not n.wraps(chars, has_main) for n in around)
+    return [(line, 2 if mark == 2 or ruled_out(around) else mark) for line, mark, around in lines]
+
+
 
 
 def common_lines(a: list[str], b: list[str]) -> list[tuple[int, int]]:

@@ -345,6 +345,21 @@ def test_html_lines_beside_an_article():
     assert html_extract.main_text(teasers, set()) == "Title\nText\nCard"
 
 
+def test_html_names_around_the_article():
+    """A wrapper's name or a page-wide form does not rule out the article; names count whole."""
+    def text(page):
+        return html_extract.main_text(html_extract.page_lines(page), set())
+
+    article = "<article><header class='header'><h1>Head</h1></header><p>One long line of text</p><p class='social-history'>Two</p><div class='share-buttons'>Like</div></article>"
+    want = "Head\nOne long line of text\nTwo"
+    for open_, close in (("<div class='layout no-sidebar'>", "</div>"), ("<div class='with-sidebar'>", "</div>"), ("<div class=sidebar>", "</div>"),
+                         ("<form id=aspnetForm>", "</form>"), ("<form><div class='widget'>", "</div></form>")):
+        assert text(f"<body>{open_}{article}<div class='ad'>Buy</div>{close}<div id='comments-thread'><article class='comment'>I think {'x ' * 99}</article></div>") == want
+    plain = "<h1>Head</h1><p>One long line of text</p><p>Two</p><div class='ad'>Buy</div>"
+    assert text(f"<form><div class='sidebar-layout'>{plain}</div><input></form>") == want
+    assert text("<div class='ad'>Buy</div><div class='sidebar-left'><p>a</p></div><p>All of the text</p><form>Search</form>") == "All of the text"
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from("abcd"), max_size=9), st.lists(st.sampled_from("abcd"), max_size=9))
 def test_common_lines_are_longest(a, b):
