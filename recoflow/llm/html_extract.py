@@ -3,13 +3,15 @@
 Every page becomes its text lines (one per block element). Pages are ordered by
 (host, path), so the pages next to one have the nearest paths of its host; the lines
 of neighbours are aligned by longest common subsequence and shared lines are deleted
-as boilerplate, on every page. Copies of one article would delete each other, so lines
-inside an ``article`` or ``main`` element are safe from the comparison (lines beside it
-are kept when no neighbour shares them), and a page that would lose every line to a
-neighbour keeps them. What markup names as no part of the article
-(menus, headers, footers, sidebars, notices, adverts, forms, comments) goes in any
-case: a host with one page has no neighbour, and such lines need not be shared. Names
-of classes, ids and forms do not count on an element that wraps the article.
+as boilerplate, on every page. Copies of one article would delete each other (and protect
+what they share from others), so neighbours that are mostly equal form a group, and each
+of its pages is compared with the nearest pages outside it instead. Lines inside an
+``article`` or ``main`` element are safe from the comparison (lines beside it are kept
+when no neighbour shares them), and a page that would lose every line to a neighbour
+keeps them. What markup names as no part of the article (menus, headers, footers,
+sidebars, notices, adverts, forms, comments) goes in any case: a host with one page has
+no neighbour, and such lines need not be shared. Names of classes, ids and forms do not
+count on an element that wraps the article.
 
 Defined results: a null or empty page has an empty text; null URLs form one host;
 ties order by (host, path, id, lines); pages repeated under one URL are neighbours; an
@@ -19,7 +21,9 @@ empty table gives an empty result; further columns are ignored.
 from __future__ import annotations
 
 import html
+import pickle
 import re
+import tempfile
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
@@ -239,33 +243,97 @@ def main_text(lines: list[tuple[str, int]], shared: set[int]) -> str:
 RESULT = "page_id long, url string, text string, n_chars long, n_lines int, n_shared int"
 NAMES = [c.split()[0] for c in RESULT.split(", ")]
 KINDS = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.int32()]
-EDGE_NAMES = ["kind", "part", "host", "lines", "marks", "shared"]
-EDGE_KINDS = [pa.int32(), pa.int32(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32())]
-DONE, FIRST, LAST, ONLY = 0, 1, 2, 3
+EDGE_NAMES = ["kind", "part", "seq", "host", "lines", "marks", "shared"]
+EDGE_KINDS = [pa.int32(), pa.int32(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.int32())]
+#: Rows of a partition in the order in which the boundaries are closed: pages of its first
+#: group, the page after it, the page before its last group, pages of its last or only group.
+DONE, FIRST, AFTER, BEFORE, LAST, ONLY = range(6)
+#: Neighbours are copies if they share this part of the shorter page and of the longer one
+#: (by characters of the lines that markup does not rule out).
+COPY_OF_SHORTER, COPY_OF_LONGER = 0.8, 0.5
+#: Characters of a group of copies held in memory; further pages wait in a file.
+HELD_CHARS = 1 << 24
+#: Rows and characters of a batch handed on.
+BATCH_ROWS, BATCH_CHARS = 1_000, 1 << 23
 
 
 class Page:
-    __slots__ = ("id", "url", "host", "lines", "shared")
+    __slots__ = ("id", "url", "host", "lines", "shared", "kind", "chars")
 
-    def __init__(self, id_, url, host, lines, shared=()):
-        self.id, self.url, self.host, self.lines, self.shared = id_, url, host, lines, set(shared)
+    def __init__(self, id_, url, host, lines, shared=(), kind=DONE):
+        self.id, self.url, self.host, self.lines, self.shared, self.kind = id_, url, host, lines, set(shared), kind
+        self.chars = sum(len(line) for line, mark in lines if mark != 2)
 
-    def meet(self, other: Page) -> None:
-        """Delete what two neighbours of one host share."""
-        if self.host == other.host:
-            for i, j in common_lines([x for x, _ in self.lines], [x for x, _ in other.lines]):
-                self.shared.add(i)
-                other.shared.add(j)
+    def meet(self, other: Page) -> list[tuple[int, int]]:
+        return common_lines([x for x, _ in self.lines], [x for x, _ in other.lines])
+
+    def copies(self, other: Page, pairs: list[tuple[int, int]]) -> bool:
+        both = sum(len(self.lines[i][0]) for i, j in pairs if self.lines[i][1] != 2 and other.lines[j][1] != 2)
+        least, most = sorted((self.chars, other.chars))
+        return both > 0 and both >= COPY_OF_SHORTER * least and both > COPY_OF_LONGER * most
 
     def result(self) -> tuple:
         text = main_text(self.lines, self.shared)
         return self.id, self.url, text, len(text), len(self.lines), len(self.shared)
 
-    def edge(self, kind: int, part: int) -> tuple:
-        return (self.id, self.url, None, None, None, None, kind, part, self.host, [x for x, _ in self.lines],
+    def edge(self, kind: int, part: int, seq: int) -> tuple:
+        return (self.id, self.url, None, None, None, None, kind, part, seq, self.host, [x for x, _ in self.lines],
                 [m for _, m in self.lines], sorted(self.shared))
 
 
+class Group:
+    """Neighbours that are copies, and the nearest page before them."""
+
+    def __init__(self, page: Page, before: Page | None, left: list[tuple[int, int]]):
+        self.before, self.left = before, left
+        self.pages, self.size, self.file = [], 0, None
+        self.add(page)
+
+    def add(self, page: Page) -> None:
+        self.last = page
+        self.size += sum(len(x) for x, _ in page.lines)
+        if self.file is None and (self.size <= HELD_CHARS or not self.pages):
+            self.pages.append(page)
+            return
+        if self.file is None:
+            self.file = tempfile.TemporaryFile()
+        pickle.dump(page, self.file)
+
+    def __iter__(self) -> Iterator[Page]:
+        yield from self.pages
+        if self.file is not None:
+            self.file.seek(0)
+            while self.file.peek(1):
+                yield pickle.load(self.file)
+            self.file.close()
+
+    def closed(self, after: Page | None, right: list[tuple[int, int]]) -> Iterator[Page]:
+        """The pages, each with what it shares with the nearest pages outside the group."""
+        for k, page in enumerate(self):
+            if self.before is not None:
+                page.shared.update(j for _, j in (self.before.meet(page) if k else self.left))
+            if after is not None:
+                page.shared.update(i for i, _ in (right if page is self.last else page.meet(after)))
+            yield page
+
+
+def groups(pages: Iterator[Page]) -> Iterator[tuple[Group, Page | None, list[tuple[int, int]]]]:
+    """Groups of copies among pages in order, with the page after each and the lines that
+    this one shares with the group's last page."""
+    group = None
+    for here in pages:
+        near = group is not None and here.kind != BEFORE and group.last.host == here.host
+        pairs = group.last.meet(here) if near else []
+        if near and group.last.copies(here, pairs):
+            group.add(here)
+            continue
+        if group is not None:
+            yield group, here if near else None, pairs
+        group = Group(here, group.last if near else None, pairs)
+    if group is not None:
+        yield group, None, []
+
+
 def _rows(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names)
 
@@ -279,49 +347,69 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*b.columns[:4], lines, marks], ["id", "url", "host", "path", "lines", "marks"])
 
 
+def _batches(rows: Iterator[tuple], kinds: list, names: list[str]) -> Iterator[pa.RecordBatch]:
+    out, size = [], 0
+    for row in rows:
+        out.append(row)
+        size += len(row[2] or "") + (sum(map(len, row[10])) if len(row) > 10 and row[10] else 0)
+        if len(out) >= BATCH_ROWS or size >= BATCH_CHARS:
+            yield _rows(out, kinds, names)
+            out, size = [], 0
+    if out:
+        yield _rows(out, kinds, names)
+
+
 def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId()
-    names, kinds = [*NAMES, *EDGE_NAMES], [*KINDS, *EDGE_KINDS]
-    done = (DONE, part, None, None, None, None)
-    before, first = None, True
-    for b in batches:
-        out = []
-        for id_, url, host, lines, marks in zip(*(c.to_pylist() for c in b.columns)):
-            here = Page(id_, url, host, list(zip(lines, map(int, marks))))
-            if before is not None:
-                before.meet(here)
-                out.append(before.edge(FIRST, part) if first else (*before.result(), *done))
+    done = (DONE, part, None, None, None, None, None)
+
+    def pages() -> Iterator[Page]:
+        for b in batches:
+            for id_, url, host, lines, marks in zip(*(c.to_pylist() for c in b.columns)):
+                yield Page(id_, url, host, list(zip(lines, map(int, marks))))
+
+    def rows() -> Iterator[tuple]:
+        waiting, first = None, True
+        for found in groups(pages()):
+            if waiting is not None:
+                group, after, right = waiting
+                for seq, page in enumerate(group.closed(after, right)):
+                    yield page.edge(FIRST, part, seq) if first else (*page.result(), *done)
+                if first and after is not None:
+                    yield after.edge(AFTER, part, 0)
                 first = False
-            before = here
-        if out:
-            yield _rows(out, kinds, names)
-    if before is not None:
-        yield _rows([before.edge(ONLY if first else LAST, part)], kinds, names)
+            waiting = found
+        if waiting is not None:
+            group, after, right = waiting
+            if group.before is not None:
+                yield group.before.edge(BEFORE, part, 0)
+            for seq, page in enumerate(group.closed(after, right)):
+                yield page.edge(ONLY if first else LAST, part, seq)
+
+    yield from _batches(rows(), [*KINDS, *EDGE_KINDS], [*NAMES, *EDGE_NAMES])
 
 
 def _close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Boundary pages in order: a partition's last page meets the next one's first."""
-    waiting = None
-    for b in batches:
-        for id_, url, kind, host, lines, marks, shared in zip(*(c.to_pylist() for c in b.columns)):
-            here = Page(id_, url, host, list(zip(lines, marks)), shared)
-            if kind != LAST and waiting is not None:
-                waiting.meet(here)
-                yield _rows([waiting.result()], KINDS, NAMES)
-                waiting = None
-            if kind == FIRST:
-                yield _rows([here.result()], KINDS, NAMES)
-            else:
-                waiting = here
-    if waiting is not None:
-        yield _rows([waiting.result()], KINDS, NAMES)
+    """First and last groups in order: copies may go on over a boundary, and a group meets
+    the pages beyond it."""
+
+    def pages() -> Iterator[Page]:
+        for b in batches:
+            for id_, url, kind, host, lines, marks, shared in zip(*(c.to_pylist() for c in b.columns)):
+                yield Page(id_, url, host, list(zip(lines, marks)), shared, kind)
+
+    rows = (
+        page.result() for group, after, right in groups(pages()) for page in group.closed(after, right)
+        if page.kind not in (AFTER, BEFORE)
+    )
+    yield from _batches(rows, KINDS, NAMES)
 
 
 def extract(
     spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html"
 ) -> DataFrame:
     """(page_id, url, text, n_chars, n_lines, n_shared). One range shuffle of the
-    pages; the first and last page of each partition are completed afterwards."""
+    pages; the first and last group of each partition are completed afterwards."""
     work = Work(spark, "html")
     url = pages[url_col]
     rest = F.regexp_replace(url, r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
@@ -332,9 +420,9 @@ def extract(
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = work.keep_small(
         rows.repartitionByRange(parts, "host", "path", "id").sortWithinPartitions("host", "path", "id", "lines").drop("path")
-        .mapInArrow(_difference, RESULT + ", kind int, part int, host string, lines array<string>, marks array<int>, shared array<int>"),
+        .mapInArrow(_difference, RESULT + ", kind int, part int, seq long, host string, lines array<string>, marks array<int>, shared array<int>"),
         "pages",
     )
-    edges = found.where(F.col("kind") != DONE).select("page_id", "url", "kind", "host", "lines", "marks", "shared", "part")
-    closed = edges.repartition(1).sortWithinPartitions("part", "kind").drop("part").mapInArrow(_close, RESULT)
+    edges = found.where(F.col("kind") != DONE).select("page_id", "url", "kind", "host", "lines", "marks", "shared", "part", "seq")
+    closed = edges.repartition(1).sortWithinPartitions("part", "kind", "seq").drop("part", "seq").mapInArrow(_close, RESULT)
     return found.where(F.col("kind") == DONE).select(*NAMES).unionByName(closed)

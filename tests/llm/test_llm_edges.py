@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from recoflow.llm import chat, debruijn, exact_dedup, fingerprints, html_extract, mixing, packing, rlbwt, setjoin, toxicity
+from recoflow.llm.common import settings as session_settings
 from recoflow.llm.tokens import WordTokenizer
 from recoflow.llm.windows import merged, runs
 
@@ -360,6 +361,28 @@ def test_html_names_around_the_article():
     assert text("<div class='ad'>Buy</div><div class='sidebar-left'><p>a</p></div><p>All of the text</p><form>Search</form>") == "All of the text"
 
 
+COPY = "<p>News of h.example</p><p>Contact and terms</p><h1>{0}</h1><p>{0} has one long paragraph of its own, said nowhere else</p><p>{0} has a second one too</p><p>Printed {1}</p>"
+
+
+@pytest.mark.parametrize("parts", [1, 2, 5, 16])
+@pytest.mark.parametrize("held", [html_extract.HELD_CHARS, 1])
+def test_html_copies(spark, parts, held, monkeypatch):
+    """Copies next to each other keep their article and lose what pages outside share, in any partitioning."""
+    monkeypatch.setattr(html_extract, "HELD_CHARS", held)
+    names = ["Ants", "Bees", "Bees", "Bees", "Bees", "Bees", "Crows", "Crows", "Dogs"]
+    pages = [(k, f"http://h.example/{n}/{k}", COPY.format(n, k)) for k, n in enumerate(names)]
+    pages += [(20, "http://i.example/1", COPY.format("Elks", 1)), (21, "http://i.example/1/print", COPY.format("Elks", 2))]
+    order = [html_extract.Page(k, u, u[7:16], html_extract.page_lines(p)) for k, u, p in pages]
+    here = {p.id: p.result()[2] for g, after, right in html_extract.groups(iter(order)) for p in g.closed(after, right)}
+    with session_settings(spark, {"spark.sql.shuffle.partitions": str(parts)}):
+        df = spark.createDataFrame(pages, "page_id long, url string, html string")
+        got = {r.page_id: r.text for r in html_extract.extract(spark, df).collect()}
+    assert got == here
+    for k, n in enumerate(names):
+        assert got[k].split("\n") == [n, f"{n} has one long paragraph of its own, said nowhere else", f"{n} has a second one too", f"Printed {k}"]
+    assert got[20].startswith("News") and "Elks has a second one too" in got[21]  # copies alone on a host: nothing to compare with
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.sampled_from("abcd"), max_size=9), st.lists(st.sampled_from("abcd"), max_size=9))
 def test_common_lines_are_longest(a, b):
