@@ -95,10 +95,11 @@ def format_turns(
 
 
 def examples(segments: DataFrame) -> DataFrame:
-    """(conv, target, chars, loss_start, loss_end): one row per assistant turn; the
-    example's text is the first ``chars`` characters of the conversation's text."""
+    """(conv, target, chars, context_end, loss_start, loss_end): one row per assistant turn;
+    the example's text is the first ``chars`` characters of the conversation's text, its
+    context the first ``context_end`` of them."""
     return segments.where("loss_start is not null").select(
-        "conv", F.col("pos").alias("target"), F.col("end").alias("chars"), "loss_start", "loss_end"
+        "conv", F.col("pos").alias("target"), F.col("end").alias("chars"), F.col("start").alias("context_end"), "loss_start", "loss_end"
     )
 
 
@@ -112,12 +113,19 @@ def example_texts(segments: DataFrame, max_context_chars: int) -> DataFrame:
     ).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "segment"))), lambda s: s["segment"]), "").alias("text"))
 
 
-def read_back(segments: DataFrame) -> DataFrame:
-    """Per conversation, from the written segments and spans alone: turns and their
-    digest, loss characters and their digest, formatted characters. A digest
+def read_back(segments: DataFrame, expanded: DataFrame | None = None) -> DataFrame:
+    """Per conversation, from the written segments and the examples (``examples`` of the
+    segments by default) alone: turns and their digest, characters and digest of the loss
+    texts read from each example, characters of the conversation's text. A digest
     is sequential, so a conversation streams through one task; nothing is held."""
-    return segments.repartition("conv").sortWithinPartitions("conv", "pos").select(
-        "conv", "segment", "start", "end", "loss_start", "loss_end"
+    made = (examples(segments) if expanded is None else expanded).select(
+        F.col("conv").alias("_conv"), "target", "chars", "context_end", F.col("loss_start").alias("lo"), F.col("loss_end").alias("hi")
+    )
+    rows = segments.select("conv", "pos", "segment", "start", "end").join(
+        made, F.col("conv").eqNullSafe(F.col("_conv")) & (F.col("pos") == F.col("target")), "left"
+    )
+    return rows.repartition("conv").sortWithinPartitions("conv", "pos").select(
+        "conv", "segment", "start", "end", "chars", "context_end", "lo", "hi"
     ).mapInArrow(
         _digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
     )
@@ -139,7 +147,7 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], kinds[k]) for k in range(len(kinds))], names)
 
     for b in batches:
-        for row_conv, segment, start, end, lo, hi in zip(*(c.to_pylist() for c in b.columns)):
+        for row_conv, segment, start, end, cut, context, lo, hi in zip(*(c.to_pylist() for c in b.columns)):
             if not opened or row_conv != conv:
                 close()
                 conv, opened = row_conv, True
@@ -149,7 +157,8 @@ def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             turns.update(f"{unescape_role(role)}\n{unescape(text)}\n".encode())
             n, chars = n + 1, end
             if lo is not None:
-                reply = unescape(segment[lo - start : hi - start])
+                # the last turn of the example: what lies between its context and its end
+                reply = unescape(segment[context - start : cut - start][lo - context : hi - context])
                 loss.update(reply.encode())
                 lost += len(reply)
         if done:

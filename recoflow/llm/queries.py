@@ -41,7 +41,8 @@ def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.createDataFrame(
         [(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string"
     )
-    return chat.read_back(chat.format_turns(spark, turns.unionByName(extra)))
+    segments = chat.format_turns(spark, turns.unionByName(extra))
+    return chat.read_back(segments, chat.examples(segments))
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

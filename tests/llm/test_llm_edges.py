@@ -188,6 +188,18 @@ def test_chat(spark):
     assert chat.format_turns(spark, df.limit(0)).collect() == []
 
 
+def test_chat_loss_is_read_from_the_examples(spark):
+    """Read back from the expansion: a missing or shortened example shows in the loss columns."""
+    turns = [(1, k, "assistant" if k % 2 else "user", f"turn {k}") for k in range(7)]
+    segments = chat.format_turns(spark, spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    made = chat.examples(segments)
+    assert [(r.target, r.context_end < r.loss_start < r.loss_end < r.chars) for r in made.orderBy("target").collect()] == [(1, True), (3, True), (5, True)]
+    loss = lambda ex: [(r.n_turns, r.loss_chars, r.loss_sha256) for r in chat.read_back(segments, ex).collect()]
+    assert loss(made) == [(7, 18, sha("turn 1turn 3turn 5"))]
+    assert loss(made.where("target != 3")) == [(7, 12, sha("turn 1turn 5"))]
+    assert loss(made.withColumn("chars", F.col("loss_end") - 1)) == [(7, 15, sha("turn turn turn "))]
+
+
 def test_chat_long_conversation_over_many_partitions(spark):
     turns = [(7, k, "assistant" if k % 2 else "user", f"turn {k}") for k in range(2000)] + [(8, 0, "user", "z")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(5)
