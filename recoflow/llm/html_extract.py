@@ -14,7 +14,7 @@ no neighbour, and such lines need not be shared. Names of classes, ids and forms
 count on an element that wraps the article.
 
 Defined results: a null or empty page has an empty text; null URLs form one host;
-ties order by (host, path, id, lines); pages repeated under one URL are neighbours; an
+ties order by (host, path, id, packed lines); pages repeated under one URL are neighbours; an
 empty table gives an empty result; further columns are ignored.
 """
 
@@ -24,6 +24,7 @@ import html
 import pickle
 import re
 import tempfile
+import zlib
 from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
@@ -339,10 +340,10 @@ def _rows(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, url, host, path, html) -> the lines and their marks (a digit each): less than the page to shuffle."""
+    """(id, url, host, path, html) -> the packed lines (none holds a line break) and their marks (a digit each): less than the page to shuffle."""
     for b in batches:
         pages = [page_lines(p) for p in b.column(4).to_pylist()]
-        lines = pa.array([[x for x, _ in p] for p in pages], pa.list_(pa.string()))
+        lines = pa.array([zlib.compress("\n".join(x for x, _ in p).encode(), 1) for p in pages], pa.binary())
         marks = pa.array(["".join(str(m) for _, m in p) for p in pages], pa.string())
         yield pa.RecordBatch.from_arrays([*b.columns[:4], lines, marks], ["id", "url", "host", "path", "lines", "marks"])
 
@@ -366,7 +367,7 @@ def _difference(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def pages() -> Iterator[Page]:
         for b in batches:
             for id_, url, host, lines, marks in zip(*(c.to_pylist() for c in b.columns)):
-                yield Page(id_, url, host, list(zip(lines, map(int, marks))))
+                yield Page(id_, url, host, list(zip(zlib.decompress(lines).decode().split("\n"), map(int, marks))))
 
     def rows() -> Iterator[tuple]:
         waiting, first = None, True
@@ -416,7 +417,7 @@ def extract(
     rows = pages.select(
         pages[id_col].cast("long").alias("id"), url.alias("url"), F.lower(F.regexp_extract(rest, r"^[^/?#]*", 0)).alias("host"),
         F.regexp_extract(rest, r"^[^/?#]*([^?#]*)", 1).alias("path"), F.coalesce(pages[html_col], F.lit("")).alias("html"),
-    ).mapInArrow(_parse, "id long, url string, host string, path string, lines array<string>, marks string")
+    ).mapInArrow(_parse, "id long, url string, host string, path string, lines binary, marks string")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = work.keep_small(
         rows.repartitionByRange(parts, "host", "path", "id").sortWithinPartitions("host", "path", "id", "lines").drop("path")
