@@ -9,13 +9,15 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from recoflow.llm import chat, debruijn, fingerprints, html_extract, mixing, packing, rlbwt, setjoin, toxicity
+from recoflow.llm import align, bpe, chat, debruijn, fingerprints, html_extract, mixing, packing, rlbwt, setjoin, spelling, toxicity
 from recoflow.llm.common import table
 from recoflow.llm.exact_dedup import exact_dedup
 
 #: The tokenizer that packing uses, and a score from which a document counts as toxic.
 TOKENIZER = "word_bpe_49k.json"
 TOXIC_SCORE = 0.7
+#: The byte-level and the piece tokenizer that are aligned; the former also encodes and decodes.
+BYTE_TOKENIZER, PIECE_TOKENIZER = "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,6 +91,25 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tokenizers aligned on every text, with corpus-wide counts of linked id pairs."""
+    out = align.align(
+        spark, table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER), public_tokenizers.path(PIECE_TOKENIZER)
+    )
+    return out.withColumnRenamed("id", "doc_id")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word's near words by permuterm rotations, the form it is a variant of, and that form's root."""
+    return spelling.group_variants(spark, table(spark, sf_dir, "documents"))
+
+
+def op13_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded between forced boundaries and decoded again."""
+    out = bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_TOKENIZER))
+    return out.withColumnRenamed("id", "doc_id")
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_packing": op2_packing,
@@ -100,6 +121,9 @@ QUERIES = {
     "op8_suffix_array_dedup": op8_suffix_array_dedup,
     "op9_substring_dedup": op9_substring_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_token_alignment": op11_token_alignment,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_bpe_codec": op13_bpe_codec,
 }
 
 ORACLE_SQL = {

@@ -86,3 +86,72 @@ def targets(sizes, weights, limit):
         if not new:
             return fixed | {s: rest * weight[s] / share for s in free}
         fixed |= new
+
+
+def aligned(text, tokenizer_a, pieces_b):
+    """(A ids, B ids, groups, linked pairs with repeats) of a whole text, or None without tokens.
+    ``tokenizer_a`` and ``pieces_b`` give (ids, bytes of each id)."""
+    if not text:
+        return None
+    want = b" " + text.encode()
+    ids_a, bytes_a = tokenizer_a(" " + text)
+    ids_b, bytes_b = pieces_b(text)
+    if b"".join(bytes_a) != want or b"".join(bytes_b) != want:
+        return None
+
+    def ranges(parts):
+        end, out = 0, []
+        for p in parts:
+            out.append((end, end + len(p)))
+            end += len(p)
+        return out
+
+    at_a, at_b = ranges(bytes_a), ranges(bytes_b)
+    both = sorted({e for _, e in at_a} & {e for _, e in at_b})
+    groups, lo = [], 0
+    for hi in both:
+        groups.append(
+            ",".join(str(i) for i, (s, e) in zip(ids_a, at_a) if lo <= s and e <= hi)
+            + "|" + ",".join(str(i) for i, (s, e) in zip(ids_b, at_b) if lo <= s and e <= hi)
+        )
+        lo = hi
+    links = [(a, b) for a, (s, e) in zip(ids_a, at_a) for b, (u, v) in zip(ids_b, at_b) if s < v and u < e]
+    return ids_a, ids_b, groups, links
+
+
+def slipped_words(rows, crc32):
+    """Word counts of (doc_id, text) rows."""
+    out = Counter()
+    for doc, text in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            w = lower_ascii(run)
+            h = crc32(f"{'' if doc is None else doc}:{w}".encode())
+            if h % 199 == 0:
+                w = w[: h % len(w)] + w[h % len(w) + 1 :]
+            out[w] += 1
+    return {w: n for w, n in out.items() if len(w) >= 6 and n >= 5}
+
+
+def one_edit(a, b):
+    if a == b or abs(len(a) - len(b)) > 1:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b)) == 1
+    a, b = sorted((a, b), key=len)
+    return any(b[:i] + b[i + 1 :] == a for i in range(len(b)))
+
+
+def variants(counts):
+    """{word: (form, root, n, n_near, form_n)}."""
+    near = {w: [v for v in counts if one_edit(w, v)] for w in counts}
+    form = {}
+    for w, vs in near.items():
+        best = min(vs, key=lambda v: (-counts[v], v), default=None)
+        form[w] = best if best is not None and counts[best] >= 5 * counts[w] else None
+
+    def root(w):
+        while form[w] is not None:
+            w = form[w]
+        return w
+
+    return {w: (form[w], root(w), counts[w], len(near[w]), counts.get(form[w])) for w in counts}

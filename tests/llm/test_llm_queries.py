@@ -50,7 +50,7 @@ def sha(text):
 
 def test_all_queries_are_registered():
     names = {re.match(r"op(\d+)_", n)[1] for n in entry.queries() if re.match(r"op\d+_", n)}
-    assert names == {str(n) for n in range(1, 11)}
+    assert names == {str(n) for n in range(1, 14)}
     assert entry.queries()["pipeline"] is corpus_pipeline.run
 
 
