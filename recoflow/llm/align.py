@@ -4,16 +4,17 @@ Every text is encoded by a byte-level tokenizer A (a space put in front) and a p
 tokenizer B (which adds that space itself). Byte offsets where a token of A and one of B end
 together cut them into groups; tokens of A and B whose byte ranges overlap are linked.
 
-Counting: (1) the corpus's distinct linked pairs are collected by Spark and put into a
-minimal perfect hash, shard by shard; the key of every slot verifies a lookup. (2) Every
-task aligns its documents and adds them to a dense vector indexed by that
+Counting: (1) the texts are encoded once, and the corpus's distinct linked pairs are collected by
+Spark and put into a minimal perfect hash, shard by shard; the key of every slot verifies a
+lookup. (2) Every task aligns its documents and adds them to a dense vector indexed by that
 hash; the tasks' vectors are summed in a tree, ``FAN_IN`` at a time. (3) A second pass
 re-aligns the documents and looks their pairs up. The number of distinct pairs is
 bounded by the product of the vocabularies, whatever the corpus; what one task holds at a time is
 bounded by ``SLICE_PAIRS``: the index is broadcast in slices of that many, one pass each.
 
 A position where both vocabularies have a forced boundary (``fragments``) ends a token in both, so
-texts are encoded and aligned in fragments, each once while it is remembered.
+texts are encoded in fragments, each once while it is remembered. Every stretch between two neighbouring token
+ends (of either side) is one link: the tokens of A and B that cover it.
 
 Defined results: null and empty texts, and texts whose joined token bytes of A or B are not
 those of the space and the text (such as texts with U+2581, which B reads as a space), have no tokens: zeros and an
@@ -25,12 +26,14 @@ from __future__ import annotations
 
 import hashlib
 import math
+from array import array
 from collections.abc import Iterator
 from functools import reduce
-from typing import NamedTuple
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,7 +41,7 @@ from pyspark.sql import functions as F
 from recoflow.llm import mph
 from recoflow.llm.common import Work
 from recoflow.llm.exact_dedup import from_files, located
-from recoflow.llm.fragments import ByteTokenizer, Cutter, Memory, PieceTokenizer, shared
+from recoflow.llm.fragments import ENTRY_BYTES, ByteTokenizer, Cutter, Memory, PieceTokenizer, shared, slices
 
 #: Pairs of one broadcast slice of the index (about 25 bytes each with counts).
 SLICE_PAIRS = 4_000_000
@@ -48,88 +51,138 @@ SHARD_PAIRS = 16_384
 FAN_IN = 32
 #: Pairs that a task gathers before repeats among them are removed.
 GATHERED = 2_000_000
-#: Bytes of text looked up at a time (whole documents; a longer one is taken alone).
-LOOKUP_BYTES = 4 << 20
+#: Bytes of text, and tokens, taken on at a time (whole documents; a longer one is taken alone).
+TEXT_BYTES, TOKENS = 1 << 20, 1 << 19
 
 
-class Aligned(NamedTuple):
-    """An aligned fragment: tokens of A and B, groups, their text form, linked pairs as 64-bit keys."""
-
-    n_a: int
-    n_b: int
-    n_groups: int
-    groups: bytes
-    keys: bytes
-
-
-class Aligner:
-    """Aligns whole texts; ``pair`` keys are A id * ``width`` + B id."""
+class Vocabularies:
+    """Both tokenizers; ids are stored as ``dtype``, a pair's key is A id * ``width`` + B id."""
 
     def __init__(self, path_a: str, path_b: str):
-        self.a = ByteTokenizer(path_a, False)
-        self.b = PieceTokenizer(path_b)
+        self.a, self.b = ByteTokenizer(path_a, False), PieceTokenizer(path_b)
         self.width = len(self.b.token_bytes)
+        self.bytes_a, self.bytes_b = (np.array([len(t) for t in v.token_bytes], np.int64) for v in (self.a, self.b))
+        self.code = "H" if max(self.width, len(self.bytes_a)) <= 1 << 16 else "I"
+        self.dtype = np.dtype(self.code)
+        self.memory = Memory(self._encode, lambda ids: len(ids[0]) + len(ids[1]) + ENTRY_BYTES if ids else 0)
         self.cutter = Cutter(self.a.inside | self.b.inside)
+        decimal = [str(i).encode() for i in range(max(self.width, len(self.bytes_a)))]
+        self.digits = np.array([len(d) for d in decimal])
+        #: The decimal form of every id, in eight bytes taken as one number.
+        self.decimal = np.frombuffer(b"".join(d.ljust(8) for d in decimal), np.uint64)
+
+    def _encode(self, fragments: list[bytes]) -> list:
+        """Per fragment its ids of A and of B; False if the bytes of either are not the fragment's."""
+        out: list = []
+        known_a, known_b = self.a.token_bytes, self.b.token_bytes
+        for f, a, ids_b in zip(fragments, self.a.encode_fragments(fragments), self.b.encode_fragments(fragments)):
+            ids_a = array("i", a)
+            if b"".join([known_a[i] for i in ids_a]) == f == b"".join([known_b[i] for i in ids_b]):
+                out.append((array(self.code, ids_a).tobytes(), array(self.code, ids_b).tobytes()))
+            else:
+                out.append(False)
+        return out
+
+    def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[bytes]]:
+        """A's and B's ids of every text, nothing for a text that has no tokens."""
+        cut = [self.cutter.cut(b" " + t.encode("utf-8", "surrogatepass")) if t and "▁" not in t else [] for t in texts]
+        every = iter(self.memory.look_up(list(chain.from_iterable(cut))))
+        ids_a, ids_b = [], []
+        for fragments in cut:
+            parts = list(islice(every, len(fragments)))
+            if False in parts or not parts:
+                parts = [(b"", b"")]
+            a, b = zip(*parts)
+            ids_a.append(b"".join(a))
+            ids_b.append(b"".join(b))
+        return ids_a, ids_b
+
+
+class Alignment:
+    """Encoded documents behind one another, aligned."""
+
+    def __init__(self, v: Vocabularies, ids_a: list[bytes], ids_b: list[bytes]):
+        self.v, self.n = v, len(ids_a)
+        self.ids_a, self.ids_b = (np.frombuffer(b"".join(x), v.dtype).astype(np.int64) for x in (ids_a, ids_b))
+        step = v.dtype.itemsize
+        self.n_a, self.n_b = (np.array([len(i) // step for i in x], np.int64) for x in (ids_a, ids_b))
+        self.doc_a, self.doc_b = (np.repeat(np.arange(self.n), k) for k in (self.n_a, self.n_b))
+        ends_a, ends_b = np.cumsum(v.bytes_a[self.ids_a]), np.cumsum(v.bytes_b[self.ids_b])
+        size = int(max(ends_a[-1:].max(initial=0), ends_b[-1:].max(initial=0))) + 1
+        closes_a, closes_b = np.zeros(size, np.int32), np.zeros(size, np.int32)
+        closes_a[ends_a], closes_b[ends_b] = 1, 1
+        points = np.flatnonzero(closes_a | closes_b)
+        at_a, at_b = np.cumsum(closes_a)[points] - closes_a[points], np.cumsum(closes_b)[points] - closes_b[points]
+        self._closes_a, self._closes_b = closes_a[points] == 1, closes_b[points] == 1
+        self._common = self._closes_a & self._closes_b
+        #: Of every link: its pair's key, and its document's place.
+        self.keys = self.ids_a[at_a] * v.width + self.ids_b[at_b]
+        self.doc = self.doc_a[at_a]
+
+    def n_links(self) -> np.ndarray:
+        return np.bincount(self.doc, minlength=self.n)
+
+    def n_groups(self) -> np.ndarray:
+        return np.bincount(self.doc[self._common], minlength=self.n)
+
+    def distinct_keys(self) -> np.ndarray:
+        """The keys of all documents, each once per document."""
+        span = len(self.v.bytes_a) * self.v.width
+        return np.unique(self.doc * span + self.keys) % span
+
+    def group_digests(self) -> list[str]:
+        """SHA-256 of each document's groups, written as ``a,a|b;a|b,b``."""
+        group = np.cumsum(self._common) - self._common
+        side = np.concatenate([2 * group[self._closes_a], 2 * group[self._closes_b] + 1])
+        order = np.argsort(side, kind="stable")
+        side, doc = side[order], np.concatenate([self.doc_a, self.doc_b])[order]
+        ids = np.concatenate([self.ids_a, self.ids_b])[order]
+        behind = np.full(len(ids), ord(","), np.uint8)
+        last = np.diff(side, append=-1) != 0
+        behind[last] = np.where(side[last] % 2 == 0, ord("|"), ord(";"))
+        text, digits = self.v.decimal[ids].view(np.uint8).reshape(-1, 8), self.v.digits[ids]
+        text[np.arange(len(ids)), digits] = behind
+        written = text[np.arange(8) <= digits[:, None]].tobytes()
+        ends = np.cumsum(np.bincount(doc, digits + 1, minlength=self.n)).astype(np.int64).tolist()
+        return [hashlib.sha256(written[lo : hi - 1]).hexdigest() if hi > lo else "" for lo, hi in zip([0, *ends], ends)]
+
+
+def _aligned(v: Vocabularies, batches: Iterator[pa.RecordBatch], at: int) -> Iterator[tuple[pa.RecordBatch, Alignment]]:
+    """Rows whose columns ``at`` and ``at`` + 1 hold A's and B's ids, about ``TOKENS`` at a time."""
+    step = v.dtype.itemsize
+    for whole in batches:
+        sizes = pc.add(pc.binary_length(whole.column(at)), pc.binary_length(whole.column(at + 1))).to_numpy() // step
+        for b in slices(whole, sizes, TOKENS):
+            yield b, Alignment(v, b.column(at).to_pylist(), b.column(at + 1).to_pylist())
+
+
+def _encoder(path_a: str, path_b: str):
+    """(id, file, row, text) -> (id, file, row, a, b)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = shared(Vocabularies, path_a, path_b)
+        for whole in batches:
+            for b in slices(whole, pc.binary_length(whole.column(3)).to_numpy(), TEXT_BYTES):
+                a, p = v.encode(b.column(3).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [*b.columns[:3], pa.array(a, pa.binary()), pa.array(p, pa.binary())], ["id", "file", "row", "a", "b"]
+                )
 
-    def memory(self) -> Memory:
-        return Memory(self.align_fragment, lambda v: len(v.groups) + len(v.keys) + 200 if v else 0)
-
-    def align_fragment(self, fragment: bytes) -> Aligned | None:
-        """None if A's or B's bytes are not the fragment's."""
-        ids_a = np.frombuffer(self.a.encode_fragment(fragment), "<i4").tolist()
-        ids_b = self.b.encode_fragment(fragment)
-        bytes_a, bytes_b = [self.a.token_bytes[i] for i in ids_a], [self.b.token_bytes[i] for i in ids_b]
-        if b"".join(bytes_a) != fragment or b"".join(bytes_b) != fragment:
-            return None
-        keys, groups, own_a, own_b = [], [], [], []
-        i = j = end_a = end_b = 0
-        while i < len(ids_a) and j < len(ids_b):  # the tokens i and j overlap
-            if not own_a or own_a[-1] != i:
-                own_a.append(i)
-            if not own_b or own_b[-1] != j:
-                own_b.append(j)
-            keys.append(ids_a[i] * self.width + ids_b[j])
-            until_a, until_b = end_a + len(bytes_a[i]), end_b + len(bytes_b[j])
-            if until_a == until_b:
-                groups.append(",".join(str(ids_a[x]) for x in own_a) + "|" + ",".join(str(ids_b[x]) for x in own_b))
-                own_a, own_b = [], []
-            if until_a <= until_b:
-                i, end_a = i + 1, until_a
-            if until_b <= until_a:
-                j, end_b = j + 1, until_b
-        return Aligned(len(ids_a), len(ids_b), len(groups), ";".join(groups).encode(), np.array(keys, "<i8").tobytes())
-
-    def parts(self, text: str | None, memory: Memory) -> list[Aligned]:
-        """The aligned fragments of a text, none if it has no tokens."""
-        if not text or "▁" in text:
-            return []
-        parts = [memory[f] for f in self.cutter.cut(b" " + text.encode("utf-8", "surrogatepass"))]
-        return [] if None in parts else parts
-
-    def distinct(self, text: str | None, memory: Memory) -> np.ndarray:
-        """The distinct linked pairs of a text."""
-        return np.unique(np.frombuffer(b"".join({p.keys for p in self.parts(text, memory)}), "<i8"))
+    return run
 
 
 def _pairs(path_a: str, path_b: str):
-    """(text) -> (key, fine): each task's distinct pairs (some again when it gathered many)."""
+    """(a, b) -> (key, fine): each task's distinct pairs (some again when it gathered many)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = shared(Aligner, path_a, path_b)
-        memory = aligner.memory()
-        held, size = [], 0
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                held.append(aligner.distinct(text, memory))
-                size += len(held[-1])
-                if size >= GATHERED:
-                    held = [np.unique(np.concatenate(held))]
-                    size = len(held[0])
-                    if size >= GATHERED // 2:
-                        yield _pair_batch(held[0])
-                        held, size = [], 0
-        if held:
-            yield _pair_batch(np.unique(np.concatenate(held)))
+        held = np.zeros(0, np.int64)
+        for _, aligned in _aligned(shared(Vocabularies, path_a, path_b), batches, 0):
+            held = np.union1d(held, aligned.keys)
+            if len(held) >= GATHERED:
+                yield _pair_batch(held)
+                held = held[:0]
+        if len(held):
+            yield _pair_batch(held)
 
     return run
 
@@ -147,31 +200,23 @@ def _build(table: pa.Table) -> pa.Table:
     })
 
 
+def _slots(own: mph.Index, keys: np.ndarray) -> np.ndarray:
+    slots = own.slots(keys)
+    if (slots < 0).any():
+        raise ValueError("a linked pair is missing from the hash")
+    return slots
+
+
 def _count(path_a: str, path_b: str, index):
-    """(text) -> (shard, part, counts): the task's dense vector, by shard."""
+    """(a, b) -> (shard, part, counts): the task's dense vector, by shard."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, own = shared(Aligner, path_a, path_b), index.value
-        memory = aligner.memory()
+        own = index.value
         counts = np.zeros(len(own), np.int64)
-        held, size = [], 0
-
-        def add() -> None:
-            keys = np.concatenate(held) if held else np.zeros(0, np.int64)
-            keys = keys[own.own(keys)]
-            slots = own.slots(keys)
-            if (slots < 0).any():
-                raise ValueError("a linked pair is missing from the hash")
-            np.add.at(counts, slots, 1)
-
-        for b in batches:
-            for text in b.column(0).to_pylist():
-                held.append(aligner.distinct(text, memory))
-                size += len(held[-1])
-                if size >= GATHERED:
-                    add()
-                    held, size = [], 0
-        add()
+        for _, aligned in _aligned(shared(Vocabularies, path_a, path_b), batches, 0):
+            keys, times = np.unique(aligned.distinct_keys(), return_counts=True)
+            mine = own.own(keys)
+            counts[_slots(own, keys[mine])] += times[mine]
         part = TaskContext.get().partitionId()
         for k, (lo, hi) in enumerate(zip(own.starts[:-1], own.starts[1:])):
             if counts[lo:hi].any():
@@ -214,56 +259,40 @@ def _best(width: int):
     return run
 
 
-def _look_up(path_a: str, path_b: str, index, counts, best, names: list[str]):
-    """(*names, text) -> (*names, n_a, n_b, n_groups, n_links, groups_sha256, n_best, count_sum);
-    the last two over the pairs of this slice."""
-    out = [*names, "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "n_best", "count_sum"]
+def _look_up(path_a: str, path_b: str, index, counts, best):
+    """(id, file, row, a, b) -> the columns of ``FOUND``; the last two over the pairs of this slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, own = shared(Aligner, path_a, path_b), index.value
-        memory = aligner.memory()
-        seen, most = counts.value, best.value
-        text_at = len(names)
-        for whole in batches:
-            sizes = whole.column(text_at).nbytes // max(1, whole.num_rows) + 1
-            step = max(1, LOOKUP_BYTES // sizes)
-            for lo in range(0, whole.num_rows, step):
-                b = whole.slice(lo, step)
-                rows, keys = [], []
-                for text in b.column(text_at).to_pylist():
-                    parts = aligner.parts(text, memory)
-                    links = np.frombuffer(b"".join([p.keys for p in parts]), "<i8")
-                    digest = hashlib.sha256(b";".join([p.groups for p in parts])).hexdigest() if parts else ""
-                    rows.append((sum(p.n_a for p in parts), sum(p.n_b for p in parts), sum(p.n_groups for p in parts), len(links), digest))
-                    keys.append(links)
-                at = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-                links = np.concatenate(keys)
-                mine = own.own(links)
-                at, links = at[mine], links[mine]
-                slots = own.slots(links)
-                if (slots < 0).any():
-                    raise ValueError("a linked pair is missing from the hash")
-                found = seen[slots]
-                n_best = np.bincount(at[found == most[links // aligner.width]], minlength=len(keys))
-                total = np.zeros(len(keys), np.int64)
-                np.add.at(total, at, found)
-                n_a, n_b, n_groups, n_links, digest = zip(*rows)
-                yield pa.RecordBatch.from_arrays(
-                    [*b.columns[:text_at], *[pa.array(c, pa.int64()) for c in (n_a, n_b, n_groups, n_links)], pa.array(digest),
-                     pa.array(n_best.astype(np.int64)), pa.array(total)],
-                    out,
-                )
+        v, own, seen, most = shared(Vocabularies, path_a, path_b), index.value, counts.value, best.value
+        for b, aligned in _aligned(v, batches, 3):
+            mine = own.own(aligned.keys)
+            doc, keys = aligned.doc[mine], aligned.keys[mine]
+            found = seen[_slots(own, keys)]
+            n_best = np.bincount(doc[found == most[keys // v.width]], minlength=aligned.n)
+            total = np.zeros(aligned.n, np.int64)
+            np.add.at(total, doc, found)
+            numbers = (aligned.n_a, aligned.n_b, aligned.n_groups(), aligned.n_links())
+            yield pa.RecordBatch.from_arrays(
+                [*b.columns[:3], *map(pa.array, numbers), pa.array(aligned.group_digests()), pa.array(n_best), pa.array(total)],
+                [c.split()[0] for c in FOUND],
+            )
 
     return run
 
 
+FOUND = ("id long", "file string", "row long", "n_a long", "n_b long", "n_groups long", "n_links long", "groups_sha256 string",
+         "n_best long", "count_sum long")
+
+
 def align(spark: SparkSession, docs: DataFrame, path_a: str, path_b: str, id_col: str = "doc_id", text_col: str = "text",
           slice_pairs: int = SLICE_PAIRS, shard_pairs: int = SHARD_PAIRS) -> DataFrame:
     """Per row: id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256."""
     work = Work(spark, "alignment")
-    rows = located(from_files(work, docs), id_col, text_col)
-    texts = rows.select("text")
-    pairs = work.keep(texts.mapInArrow(_pairs(path_a, path_b), "key long, fine long").distinct(), "pairs")
+    rows = located(from_files(work, docs), id_col, text_col).select("id", "file", "row", "text")
+    schema = rows.drop("text").schema.add("a", "binary").add("b", "binary")
+    encoded = work.keep_small(rows.mapInArrow(_encoder(path_a, path_b), schema), "encoded")
+    ids = encoded.select("a", "b")
+    pairs = work.keep(ids.mapInArrow(_pairs(path_a, path_b), "key long, fine long").distinct(), "pairs")
     n_pairs = pairs.count()
     # Shards per slice and slices from the number of pairs, which the vocabularies bound.
     n_shards = max(1, math.ceil(n_pairs / shard_pairs))
@@ -284,29 +313,29 @@ def align(spark: SparkSession, docs: DataFrame, path_a: str, path_b: str, id_col
     sums = []
     for k, (lo, hi) in enumerate(slices):
         handle = indexed(lo, hi)
-        counted = texts.mapInArrow(_count(path_a, path_b, handle), "shard long, part long, counts binary")
+        counted = ids.mapInArrow(_count(path_a, path_b, handle), "shard long, part long, counts binary")
         sums.append(tree_sum(work, counted, f"counts-{k}"))
         handle.destroy()
-    aligner = shared(Aligner, path_a, path_b)
-    best = np.zeros(len(aligner.a.token_bytes), np.int64)  # one number per A id
+    v = shared(Vocabularies, path_a, path_b)
+    best = np.zeros(len(v.bytes_a), np.int64)  # one number per A id
     top = reduce(DataFrame.unionByName, sums).join(index.select("shard", "keys"), "shard").select("keys", "counts")
-    largest = top.mapInArrow(_best(aligner.width), "a long, best long").groupBy("a").agg(F.max("best").alias("best"))
+    largest = top.mapInArrow(_best(v.width), "a long, best long").groupBy("a").agg(F.max("best").alias("best"))
     for r in largest.collect():
         best[r["a"]] = r["best"]
     most = spark.sparkContext.broadcast(best)
-    schema = rows.drop("text").schema
-    for c in ("n_a long", "n_b long", "n_groups long", "n_links long", "groups_sha256 string", "n_best long", "count_sum long"):
+    schema = rows.select("id", "file", "row").schema
+    for c in FOUND[3:]:
         schema = schema.add(*c.split())
     found = []
     for k, (lo, hi) in enumerate(slices):
         handle = indexed(lo, hi)
         vector = b"".join(bytes(r["counts"]) for r in sums[k].orderBy("shard").collect())  # at most about slice_pairs numbers
         seen = spark.sparkContext.broadcast(np.frombuffer(vector, "<i8"))
-        one = rows.select("id", "file", "row", "text").mapInArrow(_look_up(path_a, path_b, handle, seen, most, ["id", "file", "row"]), schema)
+        one = encoded.mapInArrow(_look_up(path_a, path_b, handle, seen, most), schema)
         found.append(work.keep(one, f"found-{k}"))
         handle.destroy()
         seen.destroy()
-    work.drop("index", *[f"counts-{k}{s}" for k in range(len(slices)) for s in ("", "-summed")])
+    work.drop("index", "encoded", *[f"counts-{k}{s}" for k in range(len(slices)) for s in ("", "-summed")])
     return reduce(DataFrame.unionByName, found).groupBy("file", "row").agg(
         F.first("id").alias("id"), *[F.max(c).alias(c) for c in ("n_a", "n_b", "n_groups", "n_links")],
         F.sum("n_best").alias("n_best"), F.sum("count_sum").alias("count_sum"), F.max("groups_sha256").alias("groups_sha256"),

@@ -25,21 +25,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
 from recoflow.llm.common import ship_code
-from recoflow.llm.fragments import ByteTokenizer, shared
+from recoflow.llm.fragments import ByteTokenizer, shared, slices
 
 #: Ids (or code points) that one outgoing batch holds before it is sent, one row's more at most.
 BATCH_UNITS = 1 << 20
 
 
-def _slices(b: pa.RecordBatch, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """``b`` in order, in slices of at most ``BATCH_UNITS`` by ``sizes`` (at least one row each)."""
-    groups = np.cumsum(sizes) // BATCH_UNITS
-    edges = np.flatnonzero(np.diff(groups)) + 1
-    for lo, hi in zip([0, *edges], [*edges, b.num_rows]):
-        if hi > lo:
-            yield b.slice(lo, hi - lo)
-
-
 def _value_lengths(column: pa.Array) -> np.ndarray:
     count = pc.list_value_length if pa.types.is_list(column.type) else pc.binary_length
     return count(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -53,10 +44,9 @@ def encode(docs: DataFrame, path: str, keep: Sequence[str] = ("doc_id",), text_c
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = shared(ByteTokenizer, path, True)
-        memory = tokenizer.memory()
         for whole in batches:
-            for b in _slices(whole, _value_lengths(whole.column(len(keep)))):
-                ids = [tokenizer.encode(t or "", memory) for t in b.column(len(keep)).to_pylist()]
+            for b in slices(whole, _value_lengths(whole.column(len(keep))), BATCH_UNITS):
+                ids = tokenizer.encode(b.column(len(keep)).to_pylist())
                 ends = np.cumsum([0, *map(len, ids)])
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], lists], names)
@@ -73,7 +63,7 @@ def decode(encoded: DataFrame, path: str, keep: Sequence[str] = ("doc_id",), ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = shared(ByteTokenizer, path, True)
         for whole in batches:
-            for b in _slices(whole, _value_lengths(whole.column(len(keep)))):
+            for b in slices(whole, _value_lengths(whole.column(len(keep))), BATCH_UNITS):
                 texts = [tokenizer.decode(ids or []) for ids in b.column(len(keep)).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*b.columns[: len(keep)], pa.array(texts, pa.string())], names)
 

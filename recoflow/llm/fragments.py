@@ -14,9 +14,12 @@ Fragments begin and end between code points.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterable
+from array import array
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain, islice
 
 import numpy as np
+import pyarrow as pa
 import regex
 import sentencepiece
 import tiktoken
@@ -25,12 +28,14 @@ from tokenizers import Tokenizer
 
 from recoflow.llm.tokens import _byte_letters
 
-#: Bytes of fragments and results that one memory holds; a full one is emptied.
-REMEMBERED_BYTES = 24 << 20
+#: Bytes of fragments and results that one memory holds.
+REMEMBERED_BYTES = 96 << 20
 #: What a remembered entry takes beside its bytes (dict slot, two objects).
-ENTRY_BYTES = 150
+ENTRY_BYTES = 180
 _SPACE = bytes([*range(9, 14), *range(28, 33)])
-_ASCII = regex.compile(rb"[\x09\x0a\x20-\x7e]+")
+#: Fragments that are one piece of the splitting pattern by themselves, and those of plain signs.
+_ONE_PIECE = regex.compile(r" ?(?:[A-Za-zªµºÀ-ÖØ-öø-ɏ]+|[0-9]+|[!-/:-@\[-`{-~]+)")
+_PLAIN = regex.compile(r"[\t\n -~À-ÖØ-öø-ɏ]+")
 
 
 def inner_pairs(tokens: Iterable[bytes]) -> np.ndarray:
@@ -72,21 +77,40 @@ class Cutter:
         return [text[i:j] for i, j in zip([0, *ends], [*ends, len(text)])] if text else []
 
 
-class Memory(dict):
-    """fragment -> what ``make`` gives for it; holds at most about ``REMEMBERED_BYTES``."""
+class Memory:
+    """fragment -> the bytes that ``make`` gives for it. Holds at most about ``REMEMBERED_BYTES`` in two
+    generations: what the full younger one has not seen for a whole generation is forgotten."""
 
-    def __init__(self, make: Callable[[bytes], object], size: Callable[[object], int]):
-        super().__init__()
+    def __init__(self, make: Callable[[list[bytes]], list], size: Callable[[object], int] = len):
         self._make, self._size, self._held = make, size, 0
+        self._young: dict = {}
+        self._old: dict = {}
 
-    def __missing__(self, fragment: bytes):
-        value = self._make(fragment)
+    def __len__(self) -> int:
+        return len(self._young) + len(self._old)
+
+    def _add(self, fragment: bytes, value) -> None:
+        self._young[fragment] = value
         self._held += ENTRY_BYTES + len(fragment) + self._size(value)
-        if self._held > REMEMBERED_BYTES:
-            self.clear()
-            self._held = 0
-        self[fragment] = value
-        return value
+
+    def look_up(self, fragments: list[bytes]) -> list:
+        """The values of ``fragments`` in order; each new one is made once."""
+        if self._held > REMEMBERED_BYTES // 2:
+            self._old, self._young, self._held = self._young, {}, 0
+        values = list(map(self._young.get, fragments))
+        if None in values:
+            missing = [k for k, value in enumerate(values) if value is None]
+            new = []
+            for f in {fragments[k] for k in missing}:
+                if f in self._old:
+                    self._add(f, self._old.pop(f))
+                else:
+                    new.append(f)
+            for f, value in zip(new, self._make(new)):
+                self._add(f, value)
+            for k in missing:
+                values[k] = self._young[fragments[k]]
+        return values
 
 
 class ByteTokenizer:
@@ -109,29 +133,34 @@ class ByteTokenizer:
             self.token_bytes[i] = content.encode()
         self.inside = inner_pairs(ranks)
         self.cutter = Cutter(self.inside)
+        self.memory = Memory(self.encode_fragments)
         longest_first = sorted(added, key=len, reverse=True) if special else []
         self._special = {c.encode(): np.array([added[c]], "<i4").tobytes() for c in longest_first}
         self._sections = regex.compile(b"(" + b"|".join(map(regex.escape, self._special)) + b")").split if self._special else None
-        # Numbered in merge order, the vocabulary serves as ranks: ASCII goes the shorter way.
+        # Numbered in merge order, the vocabulary serves as ranks: plain signs go the shorter way.
         merged = [vocab["".join(m if isinstance(m, list) else m.split(" "))] for m in spec["model"]["merges"]]
         self._plain = None
         if merged == sorted(merged):
             import public_tokenizers
 
-            self._plain = tiktoken.Encoding(
-                "fragments", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
-            ).encode_ordinary
+            self._plain = tiktoken.Encoding("fragments", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self._piece = self._plain._core_bpe.encode_single_piece
 
     def encode_fragment(self, fragment: bytes) -> bytes:
         """Ids as little-endian 32-bit numbers."""
         if fragment in self._special:
             return self._special[fragment]
         text = fragment.decode()
-        if self._plain is not None and _ASCII.fullmatch(fragment):
-            ids = self._plain(text)
+        if self._plain is not None and _ONE_PIECE.fullmatch(text):
+            ids = self._piece(fragment)
+        elif self._plain is not None and _PLAIN.fullmatch(text):
+            ids = self._plain.encode_ordinary(text)
         else:
             ids = self.whole.encode(text, add_special_tokens=False).ids
-        return np.array(ids, "<i4").tobytes()
+        return array("i", ids).tobytes()
+
+    def encode_fragments(self, fragments: list[bytes]) -> list[bytes]:
+        return list(map(self.encode_fragment, fragments))
 
     def fragments(self, text: bytes) -> list[bytes]:
         """Special strings, and the fragments of the sections between them."""
@@ -142,12 +171,11 @@ class ByteTokenizer:
             out.extend([section] if k % 2 else self.cutter.cut(section))
         return out
 
-    def memory(self) -> Memory:
-        return Memory(self.encode_fragment, len)
-
-    def encode(self, text: str, memory: Memory) -> np.ndarray:
-        parts = self.fragments(text.encode("utf-8", "surrogatepass"))
-        return np.frombuffer(b"".join(map(memory.__getitem__, parts)), "<i4")
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of every text (none of a null or empty one)."""
+        cut = [self.fragments((t or "").encode("utf-8", "surrogatepass")) for t in texts]
+        every = iter(self.memory.look_up(list(chain.from_iterable(cut))))
+        return [np.frombuffer(b"".join(islice(every, len(f))), "<i4") for f in cut]
 
     def decode(self, ids: list[int]) -> str:
         """Bytes that are no UTF-8 become U+FFFD; ids without a token give nothing."""
@@ -172,15 +200,24 @@ class PieceTokenizer:
         ]
         self.inside = inner_pairs(self.token_bytes[i] for i in range(n) if not (sp.is_control(i) or sp.is_unknown(i)))
 
-    def encode_fragment(self, fragment: bytes) -> list[int]:
-        return self._encode(fragment.decode(), num_threads=1)
+    def encode_fragments(self, fragments: list[bytes]) -> list[list[int]]:
+        return self._encode([f.decode() for f in fragments], num_threads=1) if fragments else []
+
+
+def slices(b: pa.RecordBatch, sizes: np.ndarray, most: int) -> Iterator[pa.RecordBatch]:
+    """``b`` in order, in slices of about ``most`` by the rows' ``sizes`` (at least one row each)."""
+    part = np.cumsum(sizes) // most
+    edges = np.flatnonzero(np.diff(part)) + 1
+    for lo, hi in zip([0, *edges], [*edges, b.num_rows]):
+        if hi > lo:
+            yield b.slice(lo, hi - lo)
 
 
 _shared: dict[tuple, object] = {}
 
 
 def shared(kind: type, *args):
-    """One tokenizer per worker process and file (its size is the vocabulary's)."""
+    """One tokenizer per worker process and file (of the vocabulary's size, with its bounded memory)."""
     if (kind, args) not in _shared:
         _shared[kind, args] = kind(*args)
     return _shared[kind, args]

@@ -112,7 +112,7 @@ def test_codec_keeps_columns_and_decodes_any_ids(spark):
 def test_fragments_encode_as_the_whole_text(text):
     own = fragments.shared(fragments.ByteTokenizer, BYTES, True)
     whole = fragments.shared(Tokenizer.from_file, BYTES)
-    assert own.encode(text, own.memory()).tolist() == whole.encode(text, add_special_tokens=False).ids
+    assert own.encode([text])[0].tolist() == whole.encode(text, add_special_tokens=False).ids
     assert b"".join(own.fragments(text.encode())) == text.encode()
 
 
@@ -121,9 +121,9 @@ def test_texts_are_cut_and_memories_bounded(docs, monkeypatch):
     text = max((t for _, t in docs if t), key=len)
     assert len(own.fragments(text.encode())) > len(text) / 20
     monkeypatch.setattr(fragments, "REMEMBERED_BYTES", 2_000)
-    memory = own.memory()
-    ids = own.encode(text, memory).tolist()
-    assert len(memory) <= 2_000 / fragments.ENTRY_BYTES
+    memory = own.memory = fragments.Memory(own.encode_fragments)
+    ids = own.encode([text])[0].tolist()
+    assert memory.look_up([b"one", b"two"]) and len(memory) <= 4 + 2 * len(set(own.fragments(text.encode())))
     assert ids == Tokenizer.from_file(BYTES).encode(text, add_special_tokens=False).ids
 
 
