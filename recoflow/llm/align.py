@@ -29,7 +29,7 @@ import math
 from array import array
 from collections.abc import Iterator
 from functools import reduce
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from recoflow.llm import mph
 from recoflow.llm.common import Work
 from recoflow.llm.exact_dedup import from_files, located
-from recoflow.llm.fragments import ENTRY_BYTES, ByteTokenizer, Cutter, Memory, PieceTokenizer, shared, slices
+from recoflow.llm.fragments import ByteTokenizer, Cutter, Memory, PieceTokenizer, shared, slices
 
 #: Pairs of one broadcast slice of the index (about 25 bytes each with counts).
 SLICE_PAIRS = 4_000_000
@@ -64,38 +64,46 @@ class Vocabularies:
         self.bytes_a, self.bytes_b = (np.array([len(t) for t in v.token_bytes], np.int64) for v in (self.a, self.b))
         self.code = "H" if max(self.width, len(self.bytes_a)) <= 1 << 16 else "I"
         self.dtype = np.dtype(self.code)
-        self.memory = Memory(self._encode, lambda ids: len(ids[0]) + len(ids[1]) + ENTRY_BYTES if ids else 0)
+        self.memory = Memory(self._encode)
         self.cutter = Cutter(self.a.inside | self.b.inside)
         decimal = [str(i).encode() for i in range(max(self.width, len(self.bytes_a)))]
         self.digits = np.array([len(d) for d in decimal])
         #: The decimal form of every id, in eight bytes taken as one number.
         self.decimal = np.frombuffer(b"".join(d.ljust(8) for d in decimal), np.uint64)
 
-    def _encode(self, fragments: list[bytes]) -> list:
-        """Per fragment its ids of A and of B; False if the bytes of either are not the fragment's."""
-        out: list = []
+    def _encode(self, fragments: list[bytes]) -> list[bytes]:
+        """Per fragment the number of A's ids (in two numbers), these, and B's ids, all as ``dtype``;
+        nothing if the bytes of either are not the fragment's."""
+        out = []
         known_a, known_b = self.a.token_bytes, self.b.token_bytes
         for f, a, ids_b in zip(fragments, self.a.encode_fragments(fragments), self.b.encode_fragments(fragments)):
-            ids_a = array("i", a)
-            if b"".join([known_a[i] for i in ids_a]) == f == b"".join([known_b[i] for i in ids_b]):
-                out.append((array(self.code, ids_a).tobytes(), array(self.code, ids_b).tobytes()))
-            else:
-                out.append(False)
+            ids_a = array("i", a).tolist()
+            same = b"".join([known_a[i] for i in ids_a]) == f == b"".join([known_b[i] for i in ids_b])
+            out.append(array(self.code, [len(ids_a) & 0xFFFF, len(ids_a) >> 16, *ids_a, *ids_b]).tobytes() if same else b"")
         return out
 
     def encode(self, texts: list[str | None]) -> tuple[list[bytes], list[bytes]]:
         """A's and B's ids of every text, nothing for a text that has no tokens."""
         cut = [self.cutter.cut(b" " + t.encode("utf-8", "surrogatepass")) if t and "▁" not in t else [] for t in texts]
-        every = iter(self.memory.look_up(list(chain.from_iterable(cut))))
-        ids_a, ids_b = [], []
-        for fragments in cut:
-            parts = list(islice(every, len(fragments)))
-            if False in parts or not parts:
-                parts = [(b"", b"")]
-            a, b = zip(*parts)
-            ids_a.append(b"".join(a))
-            ids_b.append(b"".join(b))
-        return ids_a, ids_b
+        values = self.memory.look_up(list(chain.from_iterable(cut)))
+        doc = np.repeat(np.arange(len(texts)), list(map(len, cut)))
+        sizes = np.fromiter(map(len, values), np.int64, len(values)) // self.dtype.itemsize
+        bad = np.zeros(len(texts), bool)
+        bad[doc[sizes == 0]] = True
+        doc, sizes = doc[sizes > 0], sizes[sizes > 0]
+        words = np.frombuffer(b"".join(values), self.dtype)
+        starts = np.cumsum(sizes) - sizes
+        of_a = words[starts].astype(np.int64) + (words[starts + 1].astype(np.int64) << 16)
+        at = np.arange(len(words)) - np.repeat(starts + 2, sizes)
+        is_a = at >= 0
+        is_b = at >= np.repeat(of_a, sizes)
+        is_a &= ~is_b
+        out = []
+        for chosen, counts in ((is_a, of_a), (is_b, sizes - 2 - of_a)):
+            ids = words[chosen].tobytes()
+            ends = np.cumsum(np.bincount(doc, counts, minlength=len(texts)).astype(np.int64)) * self.dtype.itemsize
+            out.append([b"" if no else ids[lo:hi] for no, lo, hi in zip(bad, [0, *ends], ends)])
+        return out[0], out[1]
 
 
 class Alignment:

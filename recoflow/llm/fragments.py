@@ -81,19 +81,19 @@ class Memory:
     """fragment -> the bytes that ``make`` gives for it. Holds at most about ``REMEMBERED_BYTES`` in two
     generations: what the full younger one has not seen for a whole generation is forgotten."""
 
-    def __init__(self, make: Callable[[list[bytes]], list], size: Callable[[object], int] = len):
-        self._make, self._size, self._held = make, size, 0
-        self._young: dict = {}
-        self._old: dict = {}
+    def __init__(self, make: Callable[[list[bytes]], list[bytes]]):
+        self._make, self._held = make, 0
+        self._young: dict[bytes, bytes] = {}
+        self._old: dict[bytes, bytes] = {}
 
     def __len__(self) -> int:
         return len(self._young) + len(self._old)
 
-    def _add(self, fragment: bytes, value) -> None:
+    def _add(self, fragment: bytes, value: bytes) -> None:
         self._young[fragment] = value
-        self._held += ENTRY_BYTES + len(fragment) + self._size(value)
+        self._held += ENTRY_BYTES + len(fragment) + len(value)
 
-    def look_up(self, fragments: list[bytes]) -> list:
+    def look_up(self, fragments: list[bytes]) -> list[bytes]:
         """The values of ``fragments`` in order; each new one is made once."""
         if self._held > REMEMBERED_BYTES // 2:
             self._old, self._young, self._held = self._young, {}, 0
