@@ -29,12 +29,12 @@ SEQUENCE = 4096
 END = 2
 #: Token ids a batch of pass 1 holds back before it is handed to Spark.
 BATCH_IDS = 4_000_000
-PART_ROWS = 1 << 22
 
 
 def _encode(path: str, end: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordTokenizer.shared(path).encode
+        tokenizer = WordTokenizer.shared(path)
+        encode = tokenizer.encode
         tail = np.array([end], "<u2").tobytes()
         part, at = TaskContext.get().partitionId(), 0
         ids: list = []
@@ -59,6 +59,7 @@ def _encode(path: str, end: int) -> Callable[[Iterator[pa.RecordBatch]], Iterato
                 if held >= 2 * BATCH_IDS:
                     yield batch()
                     ids, starts, out, held = [], [], [], 0
+        tokenizer.forget()
         if ids:
             yield batch()
 

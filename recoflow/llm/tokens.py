@@ -17,8 +17,8 @@ import regex
 import tiktoken
 from tokenizers import Tokenizer
 
-#: Words remembered by one worker; a full memory is emptied.
-REMEMBERED = 1_000_000
+#: Bytes of words and ids (with what a dict takes for them) that one worker remembers; a full memory is emptied.
+REMEMBERED_BYTES, ENTRY_BYTES = 48 << 20, 200
 _PLAIN = regex.compile("[!-~¡-¬®-ÿ]+")
 
 
@@ -35,7 +35,8 @@ class WordTokenizer(dict):
         return cls._shared[path]
 
     def __init__(self, path: str):
-        super().__init__({"": b""})
+        super().__init__()
+        self.forget()
         self._whole = Tokenizer.from_file(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -58,12 +59,18 @@ class WordTokenizer(dict):
             ids = [i for p in self._split(word.lower()) for i in self._piece(p.encode() + b"\xff")]
         else:
             ids = self._whole.encode(word, add_special_tokens=False).ids
-        if len(self) >= REMEMBERED:
-            self.clear()
-            self[""] = b""
+        if self._held >= REMEMBERED_BYTES:
+            self.forget()
         self[word] = out = np.array(ids, "<u2").tobytes()
+        self._held += ENTRY_BYTES + len(word) + len(out)
         return out
 
+    def forget(self) -> None:
+        """Drop the remembered words (a task that ends keeps nothing of its texts)."""
+        self.clear()
+        self[""] = b""
+        self._held = 0
+
     def encode(self, text: str) -> bytes:
         return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 

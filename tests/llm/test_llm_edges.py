@@ -217,13 +217,42 @@ def test_toxicity_edges(spark, empty):
     got = {r.doc_id: r.score for r in toxicity.score(docs, model, [docs["doc_id"]]).collect()}
     assert len(got) == len(rows) and all(got[k] > 0.7 for k in range(0, 200, 4)) and all(got[k] < 0.3 for k in range(1, 200, 4))
     assert got[None] == got[900] < 0.7
-    clean = toxicity.clean_rows(docs, model, 0.7)
+    clean = toxicity.clean_rows(spark, docs, model, 0.7)
     assert clean.columns == docs.columns and clean.count() == sum(s < 0.7 for s in got.values())
     none = toxicity.fit(spark, docs, labels.limit(0))
     assert {r.score for r in toxicity.score(docs, none, [docs["doc_id"]]).collect()} < {0.0, 1e-9} or max(
         r.score for r in toxicity.score(docs, none, [docs["doc_id"]]).collect()
     ) < 1e-9
     assert toxicity.score(empty, model, [empty["doc_id"]]).collect() == []
+    assert toxicity.clean_rows(spark, empty, model, 0.7).collect() == []
+
+
+def test_toxicity_short_texts_blocks_and_lookups(monkeypatch):
+    grams = lambda t: np.concatenate(list(toxicity.ngrams(t)))
+    assert [len(grams(t)) for t in ("a", "ab", "abc")] == [1, 3, 6] and list(toxicity.ngrams("")) == []
+    text = "".join(random.Random(1).choices("abc Ü☃", k=5000))
+    whole = np.sort(grams(text))
+    monkeypatch.setattr(toxicity, "BLOCK", 97)
+    assert np.array_equal(np.sort(grams(text)), whole)
+    known = np.unique(np.concatenate([whole[::3], np.arange(50, dtype=np.uint64)]))  # many share their first bits
+    model = toxicity.Model.of(0.0, known, np.ones(len(known)))
+    assert np.array_equal(np.sort(known[model.find(whole)]), whole[np.isin(whole, known)])
+
+
+def test_toxicity_of_joined_texts_is_their_mean():
+    rng = np.random.default_rng(1)
+    known = np.unique(np.concatenate(list(toxicity.ngrams("some clean words and an idiot"))))
+    model = toxicity.Model.of(-1.0, known, rng.normal(size=len(known)))
+    one = model.log_odds("clean words")
+    many = model.log_odds(" ".join(["clean words"] * 300_000))  # 3.6 MB
+    n = sum(map(len, toxicity.ngrams("clean words"))) + 1.0
+    assert abs(many - one) < abs(one) + 60 / n and abs(many - model.log_odds(" ".join(["clean words"] * 1000))) < 0.1
+
+
+def test_minimise_finds_the_minimum():
+    a = np.diag([1.0, 30.0, 0.5]) + 0.2
+    x = toxicity.minimise(lambda x: (0.5 * x @ a @ x - x.sum(), a @ x - 1), np.zeros(3))
+    assert np.allclose(a @ x, 1, atol=1e-3)
 
 
 @pytest.mark.parametrize("rule", [(3, 90, 100), (5, 80, 100), (2, 60, 100)])

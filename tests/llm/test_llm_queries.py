@@ -148,12 +148,25 @@ def test_op6_held_out(spark):
     toxic = [r for r, t in held if t == 1]
     clean = [r for r, t in held if t == 0]
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in got.values())
-    # 305 toxic training rows in four languages, each with toxic words of its own.
-    assert sum(r["predicted"] for r in toxic) >= 0.6 * len(toxic)
-    assert sum(r["predicted"] for r in clean) <= 0.01 * len(clean)
-    english = {d for (d,) in con.execute("SELECT doc_id FROM documents WHERE lang = 'en'").fetchall()}
-    known = [r["predicted"] for r in toxic if r["doc_id"] in english]
-    assert sum(known) >= 0.85 * len(known)  # 72 of 82 measured
+    assert sum(r["predicted"] for r in toxic) >= 0.9 * len(toxic)  # 132 of 144 measured
+    assert sum(r["predicted"] for r in clean) <= 0.005 * len(clean)
+
+
+def test_op6_long_clean_texts(spark):
+    """Texts of several MB made of clean ones stay clean; a toxic one keeps its score when said again and again."""
+    from recoflow.llm import toxicity
+    from recoflow.llm.queries import held_out, table
+
+    docs, labels = table(spark, SF_LABELS, "documents"), table(spark, SF_LABELS, "labels")
+    model = toxicity.fit(spark, docs, labels.where(~held_out(labels["doc_id"])), train_rows=1500)
+    rows = docs.join(labels, "doc_id").select("text", "toxic").collect()
+    clean = [r.text for r in rows if r.toxic == 0 and model.log_odds(r.text) < -0.85]
+    for k, size in enumerate((500_000, 500_000, 1_000_000, 3_000_000)):
+        parts = clean[k::4]
+        text = "\n".join(parts * (1 + size // sum(map(len, parts))))[:size]
+        assert len(text) == size and model.scores([text])[0] < 0.7
+    toxic = max((r.text for r in rows if r.toxic == 1), key=model.log_odds)
+    assert model.scores([" ".join([toxic] * 200)])[0] >= 0.7
 
 
 def test_op7(run, docs):
