@@ -26,7 +26,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity score is below 0.7; the model never sees held-out labels."""
     labels = spark.read.parquet(os.path.join(sf_dir, "labels.parquet"))
     model = toxicity.fit(spark, docs, labels.where(~held_out(F.col("doc_id"))))
-    return toxicity.clean_rows(docs, model, TOXIC_SCORE)
+    return toxicity.clean_rows(spark, docs, model, TOXIC_SCORE)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
