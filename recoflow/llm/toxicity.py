@@ -48,8 +48,10 @@ GRADIENTS = 8
 TOP_BITS = 21
 #: Code points hashed at a time (whole blocks overlap by the longest n-gram), and bytes of text of one batch.
 BLOCK, TEXT_BYTES = 1 << 18, 4 << 20
+#: Bytes of training text whose vectors make one row of the vector table.
+VECTOR_BYTES = 1 << 17
 #: N-grams of training texts that a task adds up at a time.
-GATHERED = 2_000_000
+GATHERED = 1_000_000
 #: Share of a text, in units of which a feature is measured.
 PERCENT = 100.0
 _STEP = np.uint64(0x100000001B3)
@@ -185,14 +187,14 @@ def _loss(vectors: DataFrame, w: np.ndarray, n: int) -> tuple[float, np.ndarray]
         own = shared.value
         loss, gradient = 0.0, np.zeros(len(own))
         for b in batches:
-            for labels, sizes, at, value in zip(*[c.to_pylist() for c in b.columns]):
-                sign = 2.0 * np.frombuffer(labels, "<f4") - 1.0
-                row = np.repeat(np.arange(len(sign)), np.frombuffer(sizes, "<i4"))
-                at, value = np.frombuffer(at, "<i4"), np.frombuffer(value, "<f4")
+            for cells in zip(*b.columns):
+                labels, sizes, at, value = (np.frombuffer(c.as_buffer(), kind) for c, kind in zip(cells, ("<f4", "<i4", "<i4", "<f4")))
+                sign = 2.0 * labels - 1.0
+                row = np.repeat(np.arange(len(sign)), sizes)
                 margin = sign * (np.bincount(row, value * own[at], len(sign)) + own[-1])
                 loss += float(np.logaddexp(0.0, -margin).sum())
                 pull = -sign / (1.0 + np.exp(np.clip(margin, -60, 60)))
-                gradient += np.bincount(at, value * pull[row], len(own))
+                np.add.at(gradient, at, value * pull[row])
                 gradient[-1] += pull.sum()
         yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([gradient.astype("<f4").tobytes()], pa.binary())], ["loss", "gradient"])
 
@@ -235,7 +237,7 @@ def _vectors(known):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = known.value
         for whole in batches:
-            for b in slices(whole, pc.binary_length(whole.column(0)).to_numpy(), TEXT_BYTES):
+            for b in slices(whole, pc.binary_length(whole.column(0)).to_numpy(), VECTOR_BYTES):
                 sizes, places, values = [], [], []
                 for text in b.column(0).to_pylist():
                     parts = list(ngrams(text))
