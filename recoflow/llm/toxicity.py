@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recoflow.llm.common import Work, ship_code
+from recoflow.llm.common import Work, settings, ship_code
 from recoflow.llm.exact_dedup import from_files
 from recoflow.llm.fragments import slices
 from recoflow.llm.windows import mixed
@@ -52,6 +52,8 @@ BLOCK, TEXT_BYTES = 1 << 18, 4 << 20
 VECTOR_BYTES = 1 << 17
 #: N-grams of training texts that a task adds up at a time.
 GATHERED = 1_000_000
+#: Batches that tasks exchange with Python while fitting and filtering.
+SMALL_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 #: Share of a text, in units of which a feature is measured.
 PERCENT = 100.0
 _STEP = np.uint64(0x100000001B3)
@@ -117,6 +119,11 @@ class Model:
 def fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         label_col: str = "toxic", train_rows: int = TRAIN_ROWS) -> Model:
     """Fit on ``labels`` (the caller has left out what must not be learnt from)."""
+    with settings(spark, SMALL_BATCHES):
+        return _fit(spark, docs, labels, id_col, text_col, label_col, train_rows)
+
+
+def _fit(spark: SparkSession, docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, train_rows: int) -> Model:
     work = Work(spark, "toxicity")
     rows = labels.where(labels[label_col].isNotNull()).groupBy(labels[id_col].alias("_id")).agg(
         F.max(labels[label_col].cast("int")).alias("_y")
@@ -280,7 +287,8 @@ def clean_rows(spark: SparkSession, docs: DataFrame, model: Model, least: float,
     docs = from_files(work, docs)
     meta = docs.metadataColumn("_metadata")
     scored = score(docs, model, [meta["file_path"].alias("_toxic_file"), meta["row_index"].alias("_toxic_row")], text_col)
-    rejected = work.keep(scored.where(F.col("score") >= least).drop("score"), "rejected")
+    with settings(spark, SMALL_BATCHES):
+        rejected = work.keep(scored.where(F.col("score") >= least).drop("score"), "rejected")
     return docs.join(
         rejected, (meta["file_path"] == F.col("_toxic_file")) & (meta["row_index"] == F.col("_toxic_row")), "left_anti"
     )
