@@ -33,7 +33,6 @@ from pyspark.sql import functions as F
 
 from recoflow.config import TEST_FRACTION, TRAIN_FRACTION
 from recoflow.functions.keys import encoded, lex_le, prefix_eq
-from recoflow.session import ensure_checkpoint_dir
 
 #: Copies of one row that a task writes out when a cut falls among copies.
 COPIES_PER_ROW = 10_000
@@ -76,11 +75,16 @@ def _value_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def _boundaries(counts: DataFrame, cols: Sequence[str], ranks: Sequence[int]) -> list[tuple[tuple, int, int]]:
     """For each rank (1-based) the key holding it, given rows (cols, _n):
     (encoded key, rows before it, rows at it)."""
-    spark = counts.sparkSession
-    ensure_checkpoint_dir(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kinds = [counts.schema[c].dataType.simpleString() for c in cols]
-    dealt = counts.select(*cols, "_n").repartitionByRange(parts, *cols).withColumn("_part", F.spark_partition_id()).checkpoint()
+    dealt = counts.select(*cols, "_n").repartitionByRange(parts, *cols).withColumn("_part", F.spark_partition_id()).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return _find(dealt, cols, kinds, ranks)
+    finally:
+        dealt.unpersist()
+
+
+def _find(dealt: DataFrame, cols: Sequence[str], kinds: Sequence[str], ranks: Sequence[int]) -> list[tuple[tuple, int, int]]:
     sums = dealt.groupBy("_part").agg(F.sum("_n").alias("_n")).orderBy("_part").collect()  # one row per partition
     wanted, base = {}, 0
     for s in sums:

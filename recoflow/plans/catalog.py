@@ -8,6 +8,7 @@ they compare with the SQL oracle (``recoflow.plans.oracle``).
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -121,6 +122,26 @@ def random_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
+def random_split_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of every pair in the 90 / 10 and in the four-way split by exact hash ranks."""
+    freqs = Inputs(spark, sf_dir).train_freqs
+    two = folds.split_label(freqs, (0.9, 0.1), name="two", cols=("user_id", "item_id"))
+    return folds.split_label(two, (0.1, 0.5, 0.2, 0.2), name="four", cols=("user_id", "item_id"))
+
+
+def fold_training_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and frequencies of the other folds (the training set) and of the fold itself, per fold."""
+    data = folds.assign_folds(Inputs(spark, sf_dir).train_freqs, 10)
+
+    def sums(df: DataFrame, i: int, part: str) -> DataFrame:
+        return df.agg(F.count(F.lit(1)).alias("n_pairs"), F.sum("frequency").alias("frequency")).select(
+            F.lit(i).alias("fold"), F.lit(part).alias("part"), "n_pairs", "frequency"
+        )
+
+    parts = [sums(f(data, i), i, part) for i in range(10) for f, part in ((folds.fold_train, "train"), (folds.fold_test, "test"))]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def full_own_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Own top-10 lists of mixed length: the full ones only."""
     inp = Inputs(spark, sf_dir)
@@ -498,6 +519,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "event_split_rows": event_split_rows,
     "event_split_counts": event_split_counts,
     "random_split_counts": random_split_counts,
+    "random_split_rows": random_split_rows,
+    "fold_training_sets": fold_training_sets,
     "full_own_lists": full_own_lists,
     "feature_value_ranks": feature_value_ranks,
     "als_subset_check": als_subset_check,

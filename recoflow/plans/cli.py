@@ -9,8 +9,8 @@
 ``DIR`` holds ``item_history.tsv``, ``user_master.tsv`` and ``target_users.tsv``
 (headers; item ids prefixed with "I"). ``prepare`` writes the train / test
 frequencies (Parquet), the split thresholds and the padded truth files;
-``recommend`` writes the lists (``user_id \\t id,id,...``) and the single-file
-submission; ``evaluate`` prints one row per list file. The session comes
+``recommend`` publishes the model, the lists (``user_id \\t id,id,...``) and the
+submission as versions (see ``recoflow.sinks.publish``); ``evaluate`` prints one row per list file. The session comes
 from ``SparkSession.builder.getOrCreate()`` so cluster settings apply.
 """
 
@@ -18,7 +18,6 @@ from __future__ import annotations
 
 import argparse
 import json
-from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,9 +29,11 @@ from recoflow.operators import features as feat
 from recoflow.operators import folds
 from recoflow.operators import history as hist
 from recoflow.operators import truth as tr
-from recoflow.operators.split import Cut, TemporalSplit, temporal_split
+from recoflow.operators.split import TemporalSplit, temporal_split
+from recoflow.operators.split_index import load_split, save_split
 from recoflow.plans.recommender import HybridRecommender
 from recoflow.sinks import writers
+from recoflow.sinks.publish import current, publish
 from recoflow.sources import tsv
 from recoflow.sources.files import join, path_exists
 
@@ -54,19 +55,6 @@ def _inputs(spark: SparkSession, data: str):
     return history, users, targets
 
 
-def save_split(spark: SparkSession, split: TemporalSplit, path: str) -> None:
-    """The split as a one-row table, on whatever file system ``path`` names."""
-    spark.createDataFrame([(json.dumps(asdict(split)),)], "split string").write.mode("overwrite").parquet(path)
-
-
-def load_split(spark: SparkSession, path: str) -> TemporalSplit:
-    doc = json.loads(spark.read.parquet(path).first()["split"])
-    cuts = {
-        name: Cut(**{k: tuple(v) if isinstance(v, list) else v for k, v in doc.pop(name).items()}) for name in ("train_cut", "test_cut")
-    }
-    return TemporalSplit(cols=tuple(doc.pop("cols")), **doc, **cuts)
-
-
 def prepare(spark: SparkSession, data: str, out: str, k: int = DEFAULT_K, wide_truth: bool = True) -> TemporalSplit:
     """Split the history, write train / test frequencies and, with ``wide_truth``,
     the padded truth files (one row per user holds that user's whole slice)."""
@@ -91,14 +79,14 @@ def recommend(spark: SparkSession, data: str, out: str, k_clusters: int, rank: i
     _, users, targets = _inputs(spark, data)
     freqs = spark.read.parquet(join(out, "train_frequencies"))
     path = writers.model_dir(join(out, "models"), "hybrid", k=k_clusters, rank=rank, maxIter=max_iter, regParam=reg_param)
-    if reuse and path_exists(spark, join(path, "settings/_SUCCESS")):
-        rec = HybridRecommender.load(spark, path, top_k=k, mode=mode)
+    if reuse and path_exists(spark, join(current(spark, path), "settings/_SUCCESS")):
+        rec = HybridRecommender.load(spark, current(spark, path), top_k=k, mode=mode)
     else:
         rec = HybridRecommender(k_clusters=k_clusters, rank=rank, max_iter=max_iter, reg_param=reg_param, top_k=k, mode=mode)
-        rec.fit(freqs, users).save(path)
+        publish(spark, path, rec.fit(freqs, users).save)
     lists = rec.recommend_arrays(targets)
-    writers.write_lists(lists, join(out, "lists_hybrid"))
-    writers.write_submission(lists, join(out, "submission"), single_file=single_file)
+    publish(spark, join(out, "lists_hybrid"), lambda p: writers.write_lists(lists, p))
+    publish(spark, join(out, "submission"), lambda p: writers.write_submission(lists, p, single_file=single_file))
     rec.close()
     return lists
 
@@ -116,7 +104,7 @@ def evaluate(spark: SparkSession, out: str, lists: dict[str, str], k: int = DEFA
         truth = tr.truth_items(load_split(spark, join(out, "split")).validation(history))
     else:
         truth = spark.read.parquet(join(out, "test_frequencies")).select("user_id", "item_id")
-    return ev.evaluate_list_files(spark, lists, truth, k)
+    return ev.evaluate_list_files(spark, {name: current(spark, path) for name, path in lists.items()}, truth, k)
 
 
 def grid(spark: SparkSession, out: str, num_folds: int = ALS_FOLDS) -> DataFrame:

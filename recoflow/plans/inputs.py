@@ -2,8 +2,7 @@
 split and the frequency tables derived from them.
 
 Everything here is lazy except the split thresholds, a few scalars computed
-when a slice is first asked for (callers that make several ``Inputs`` over one
-data set may pass the split on). Each DataFrame is built once
+when a slice of a data set is first asked for and kept by the state of its files. Each DataFrame is built once
 per ``Inputs`` (cached_property), so a query that uses a view several times
 shares one analysed subplan and Spark reuses its exchanges.
 """
@@ -19,7 +18,11 @@ from recoflow.config import DEFAULT_K
 from recoflow.operators import history as hist
 from recoflow.operators import popularity as pop
 from recoflow.operators.split import Cut, TemporalSplit, temporal_split
+from recoflow.operators.split_index import SplitStore
+from recoflow.session import ensure_checkpoint_dir
 from recoflow.sources import tables
+from recoflow.sources.files import join
+
 
 class Inputs:
     segment_col = "feature1"
@@ -52,6 +55,11 @@ class Inputs:
     # -- split -----------------------------------------------------------
     @cached_property
     def split(self) -> TemporalSplit:
+        """Found once per state of the two tables' files, and kept in the shared folder."""
+        store = SplitStore(self.spark, join(ensure_checkpoint_dir(self.spark), "splits"))
+        return store.get(tables.history_tables(self.spark, self.sf_dir), tables.HISTORY_ORDER, self._find_split)
+
+    def _find_split(self) -> TemporalSplit:
         counts = tables.history_time_counts(self.spark, self.sf_dir)
         return temporal_split(self.history, tables.HISTORY_ORDER, leading_counts=counts)
 

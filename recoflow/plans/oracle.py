@@ -359,6 +359,19 @@ FROM ranked GROUP BY 1, 2""",
     "random_split_counts": BASE + """
 SELECT s AS split, (SELECT count(*) FROM train_freq) AS n_rows, CAST(0 AS BIGINT) AS n_lost, CAST(0 AS BIGINT) AS n_misplaced
 FROM (VALUES ('two'), ('four')) v(s)""",
+    "random_split_rows": BASE + """, dealt AS (
+  SELECT *, row_number() OVER (ORDER BY md5(CAST(user_id AS VARCHAR) || ':' || CAST(item_id AS VARCHAR) || ':42')) AS r,
+         count(*) OVER () AS n FROM train_freq)
+SELECT user_id, item_id, frequency, CAST(CASE WHEN r <= floor(n * 0.9 + 1e-9) THEN 0 ELSE 1 END AS INTEGER) AS two,
+       CAST(CASE WHEN r <= floor(n * 0.1 + 1e-9) THEN 0 WHEN r <= floor(n * 0.6 + 1e-9) THEN 1
+                 WHEN r <= floor(n * 0.8 + 1e-9) THEN 2 ELSE 3 END AS INTEGER) AS four
+FROM dealt""",
+    "fold_training_sets": BASE + """, folds AS (
+  SELECT frequency, CAST(('0x' || substr(md5(CAST(user_id AS VARCHAR) || ':' || CAST(item_id AS VARCHAR) || ':42'), 1, 8))::BIGINT % 10 AS INTEGER) AS f
+  FROM train_freq)
+SELECT CAST(i AS INTEGER) AS fold, part, count(*) AS n_pairs, sum(frequency) AS frequency
+FROM folds, range(10) g(i), (VALUES ('train'), ('test')) v(part)
+WHERE CASE part WHEN 'train' THEN f <> i ELSE f = i END GROUP BY i, part""",
     "full_own_lists": BASE + """
 SELECT user_id, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY rank) AS recommended_items
 FROM p WHERE rank <= 10 GROUP BY user_id HAVING count(*) = 10""",

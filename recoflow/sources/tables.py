@@ -67,6 +67,11 @@ def item_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def history_tables(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    """The tables that H is made of."""
+    return [read_table(spark, sf_dir, name) for name in ("lineitem", "orders")]
+
+
 def history_time_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of H per ``latest_timestamp`` (columns latest_timestamp, _n), with
     line items counted per order *before* the join: the join then moves one

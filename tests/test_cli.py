@@ -3,10 +3,13 @@
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from recoflow.plans import cli
+from recoflow.sinks.publish import current, publish
 from recoflow.sources import tables
+from recoflow.sources.files import folders
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,7 +39,7 @@ def test_prepare_recommend_evaluate(spark):
     assert train.agg(F.count(F.lit(1))).first()[0] == split.n_train  # pairs are unique in the input
 
     cli.recommend(spark, data, out, k_clusters=5, rank=4, max_iter=3, reg_param=0.1)
-    sub = spark.read.option("sep", "\t").option("header", True).csv(f"{out}/submission")
+    sub = spark.read.option("sep", "\t").option("header", True).csv(current(spark, f"{out}/submission"))
     assert sub.count() == tables.target_users(spark, SF).count()
     assert sub.where(F.size(F.split("recommend_items", ",")) != 72).count() == 0
 
@@ -53,4 +56,33 @@ def test_prepare_recommend_evaluate(spark):
     assert later.n_lists == result[0].n_lists and 0 < later.n_scored <= later.n_lists
     # A complete saved model is reused only on request, and gives the same lists.
     again = cli.recommend(spark, data, out, k_clusters=5, rank=4, max_iter=3, reg_param=0.1, reuse=True)
-    assert again.count() == sub.count()
+    assert again.count() == sub.count()  # the older version is still there to be read
+    new = spark.read.option("sep", "\t").option("header", True).csv(current(spark, f"{out}/submission"))
+    assert sorted(map(tuple, new.collect())) == sorted(map(tuple, sub.collect())) and new.inputFiles() != sub.inputFiles()
+    assert cli.recommend(spark, data, out, k_clusters=4, rank=3, max_iter=2, reg_param=0.1).count() == new.count()
+
+
+def test_publish_switches_versions_last(spark, tmp_path):
+    path = f"file://{tmp_path}/table"
+    assert current(spark, path) == path
+
+    def write(n):
+        return lambda folder: spark.range(n).write.parquet(folder)
+
+    publish(spark, path, write(3))
+    old = spark.read.parquet(current(spark, path))
+    publish(spark, path, write(5))
+    new = spark.read.parquet(current(spark, path))
+    assert (old.count(), new.count()) == (3, 5)
+
+    def broken(folder):
+        spark.range(9).write.parquet(folder)
+        raise OSError("writer lost")
+
+    with pytest.raises(OSError):
+        publish(spark, path, broken)
+    assert spark.read.parquet(current(spark, path)).count() == 5  # the unfinished version is never seen
+    publish(spark, path, write(7))
+    assert spark.read.parquet(current(spark, path)).count() == 7
+    publish(spark, path, write(8))
+    assert [f for f in folders(spark, path) if f.startswith("version_")] == ["version_00000004", "version_00000005"]

@@ -79,8 +79,16 @@ def test_folds_partition_the_data(spark, inp):
 def test_split_label_weights(spark):
     df = spark.range(20000)
     got = folds.split_label(df, [0.1, 0.5, 0.2, 0.1]).groupBy("split").count().collect()
-    frac = {r.split: r["count"] / 20000 for r in got}
-    assert frac[1] == pytest.approx(0.5 / 0.9, abs=0.03)
+    assert {r.split: r["count"] for r in got} == {0: 2222, 1: 11111, 2: 4444, 3: 2223}
+
+
+def test_split_label_is_stable_and_exact_among_copies(spark):
+    df = spark.range(500).select((F.col("id") % 7).alias("a"), F.when(F.col("id") % 3 > 0, F.lit("x")).alias("b"))
+    one = folds.split_label(df, [0.3, 0.7])
+    two = folds.split_label(df.repartition(5, "b"), [0.3, 0.7])
+    assert one.where("split = 0").count() == 150 and one.exceptAll(two).count() == 0 == two.exceptAll(one).count()
+    assert one.drop("split").exceptAll(df).count() == 0 and one.count() == 500
+    assert folds.split_label(df.limit(0), [0.5, 0.5]).collect() == []
 
 
 def test_silhouette_sweep_shape(spark, inp):

@@ -24,7 +24,6 @@ def con():
 def test_every_query_has_oracle_or_is_rows_only():
     rows_only = set(QUERIES) - set(entry.oracle_sql())
     assert rows_only == {
-        "fold_assignment",
         "als_recommend_subset",
         "als_recommend_all",
         "als_rmse",
