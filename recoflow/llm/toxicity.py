@@ -49,11 +49,14 @@ TOP_BITS = 21
 #: Code points hashed at a time (whole blocks overlap by the longest n-gram), and bytes of text of one batch.
 BLOCK, TEXT_BYTES = 1 << 18, 4 << 20
 #: Bytes of training text whose vectors make one row of the vector table.
-VECTOR_BYTES = 1 << 17
+VECTOR_BYTES = 1 << 15
 #: N-grams of training texts that a task adds up at a time.
 GATHERED = 1_000_000
-#: Batches that tasks exchange with Python while fitting and filtering.
-SMALL_BATCHES = {"spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+#: Batches that tasks read, and exchange with Python, while fitting and filtering.
+SMALL_BATCHES = {
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": "500",
+    "spark.sql.parquet.columnarReaderBatchSize": "64",
+}
 #: Share of a text, in units of which a feature is measured.
 PERCENT = 100.0
 _STEP = np.uint64(0x100000001B3)
