@@ -308,10 +308,13 @@ def link_groups(
     own = filled.join(equal.hint("merge"), "digest").where("id = rep").dropDuplicates(["id"])
     words = SKETCH_BITS // 64
     reps = work.keep(own.select("id", "n", *[F.col("sketch")[k].alias(f"s{k}") for k in range(words)], "tokens"), "reps")
-    light = reps.drop("tokens")
+    ids = work.keep(described.select("id", "n", "digest"), "ids")
+    work.drop("sets")
     entries = reps.select("id", F.explode("tokens").alias("token"))
     many = entries.groupBy("token").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("size")).where("size > 1")
     lists = work.keep(entries.join(many.hint("merge"), "token"), "lists")
+    light = work.keep(reps.drop("tokens"), "light")
+    work.drop("reps")
     sketch = [f"s{k}" for k in range(words)]
 
     def renamed(df: DataFrame, key: str, suffix: str) -> DataFrame:
@@ -351,7 +354,7 @@ def link_groups(
     links = work.keep(first.unionByName(verified(work, known, second, rule, "second")), "links")
     work.drop("split")
     linked = work.keep(components(work, links, "component"), "components")
-    groups = described.select("id", "n", "digest").join(equal.hint("merge"), "digest", "left").join(
+    groups = ids.join(equal.hint("merge"), "digest", "left").join(
         linked.withColumnRenamed("node", "rep").hint("merge"), "rep", "left"
     )
     own_id = F.col("id").isNotNull()
