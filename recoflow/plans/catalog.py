@@ -23,6 +23,7 @@ from recoflow.operators import features as feat
 from recoflow.operators import folds
 from recoflow.operators import history as hist
 from recoflow.operators import popularity as pop
+from recoflow.operators import topk
 from recoflow.operators import truth as tr
 from recoflow.operators.merge import merge_lists
 from recoflow.plans.compare import compare_hybrids
@@ -348,6 +349,11 @@ def als_recommend_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pop.as_list_strings(als_ops.recommend_all(_als_model(inp), K))
 
 
+def als_pruned_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-K over all items by pruned inner-product search, as the list strings of ``als_recommend_all``."""
+    return pop.as_list_strings(topk.pruned_recommendations(_als_model(Inputs(spark, sf_dir)), k=K).select("user_id", "items"))
+
+
 def als_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
     inp = Inputs(spark, sf_dir)
     model = _als_model(inp)
@@ -428,6 +434,15 @@ def als_all_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.als_lists(model, als_ops.all_recommendations_with_scores(model, K), inp.train_freqs, K)
 
 
+def als_pruned_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pruned lists of all users of the model: what every list must be, and position by position against MLlib's lists."""
+    inp = Inputs(spark, sf_dir)
+    model = _als_model(inp)
+    own = topk.long_form(topk.pruned_recommendations(model, k=K))
+    same = checks.same_lists(own, als_ops.all_recommendations_with_scores(model, K)).select("n_wrong_position")
+    return checks.als_lists(model, own, inp.train_freqs, K).withColumn("n_wrong_position", same.scalar())
+
+
 def als_rmse_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """RMSE against its definition on the factors: scored pairs, and whether both agree."""
     inp = Inputs(spark, sf_dir)
@@ -526,6 +541,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "als_subset_check": als_subset_check,
     "als_all_check": als_all_check,
     "als_rmse_check": als_rmse_check,
+    "als_pruned_lists": als_pruned_lists,
+    "als_pruned_check": als_pruned_check,
     "als_grid_check": als_grid_check,
     "kmeans_check": kmeans_check,
     "silhouette_check": silhouette_check,

@@ -384,6 +384,8 @@ FROM train_freq""",
     "als_subset_check": BASE + _VIOLATIONS.format(
         users="(SELECT user_id FROM train_freq INTERSECT SELECT user_id FROM sliced WHERE slice = 'validation')"),
     "als_all_check": BASE + _VIOLATIONS.format(users="(SELECT DISTINCT user_id FROM train_freq)"),
+    "als_pruned_check": BASE + "\nSELECT *, CAST(0 AS BIGINT) AS n_wrong_position FROM ("
+    + _VIOLATIONS.format(users="(SELECT DISTINCT user_id FROM train_freq)") + ")",
     "als_rmse_check": BASE + """
 SELECT count(*) AS n_pairs, CAST(0 AS BIGINT) AS n_wrong_rmse FROM truth
 WHERE user_id IN (SELECT user_id FROM train_freq) AND item_id IN (SELECT item_id FROM train_freq)""",

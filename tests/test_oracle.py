@@ -26,6 +26,7 @@ def test_every_query_has_oracle_or_is_rows_only():
     assert rows_only == {
         "als_recommend_subset",
         "als_recommend_all",
+        "als_pruned_lists",
         "als_rmse",
         "als_grid_search",
         "kmeans_assign",
