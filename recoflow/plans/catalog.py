@@ -29,7 +29,7 @@ from recoflow.operators.merge import merge_lists
 from recoflow.plans.compare import compare_hybrids
 from recoflow.plans.inputs import Inputs
 from recoflow.operators.split import temporal_split
-from recoflow.plans import checks
+from recoflow.plans import checks, file_queries
 from recoflow.plans.recommender import HybridRecommender
 from recoflow.sources import tables
 from recoflow.sources.tables import HISTORY_ORDER
@@ -549,6 +549,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "cluster_lists_check": cluster_lists_check,
     "hybrid_check": hybrid_check,
     "comparison_check": comparison_check,
+    **file_queries.QUERIES,
 }
 
 __all__ = ["QUERIES"]

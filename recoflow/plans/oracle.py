@@ -410,3 +410,22 @@ SELECT CAST(4 AS BIGINT) AS n_configurations, count(*) AS n_lists,
        CAST(0 AS BIGINT) AS n_wrong_score, CAST(0 AS BIGINT) AS n_wrong_users
 FROM t""",
 }
+
+# What comes back from files is what the tables give.
+ORACLE_SQL |= {
+    "file_history": ORACLE_SQL["history_clean"],
+    "file_frequencies": ORACLE_SQL["train_frequencies"],
+    "file_target_features": ORACLE_SQL["target_features"],
+    "file_rejects": BASE + """, marked AS (
+  SELECT frequency, user_id % 11 = 0 OR CAST(replace(item_id, 'I', '') AS INTEGER) % 7 = 0 AS bad FROM h)
+SELECT count(*) FILTER (WHERE NOT bad) AS n_accepted, CAST(coalesce(sum(frequency) FILTER (WHERE NOT bad), 0) AS BIGINT) AS frequency,
+       count(*) FILTER (WHERE bad) AS n_rejected FROM marked""",
+    "file_lists": BASE + """
+SELECT kind, user_id, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY rank) AS recommended_items
+FROM p, (VALUES ('plain', 72), ('cut', 10), ('header', 72)) v(kind, k) WHERE rank <= k GROUP BY kind, user_id""",
+    "file_truth_items": BASE + """
+SELECT DISTINCT user_id, CAST(replace(item_id, 'I', '') AS INTEGER) AS item_id
+FROM sliced WHERE slice = 'test' AND item_id <> 'I0'""",
+    "saved_recommender_check": BASE + """
+SELECT count(*) AS n_users, CAST(0 AS BIGINT) AS n_wrong_list, CAST(0 AS BIGINT) AS n_wrong_history FROM hyb_users""",
+}

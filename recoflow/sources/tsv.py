@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from recoflow.functions.lists import item_id
@@ -66,13 +66,25 @@ def read_lists(spark: SparkSession, path: str, header: bool = False) -> DataFram
 def accepted(df: DataFrame, table: str) -> tuple[DataFrame, int]:
     """(rows with all required fields, number of the others); an item id that
     is no "I<number>" counts as missing."""
+    bad = _lacking(df, table)
+    return df.where(~bad), df.where(bad).count()
+
+
+def observed(df: DataFrame, table: str) -> tuple[DataFrame, Observation]:
+    """``accepted`` in one pass: the others are counted while the first action on the
+    result reads the file; ``get["n_rejected"]`` of the observation holds their number then."""
+    bad, rejects = _lacking(df, table), Observation()
+    return df.observe(rejects, F.count_if(bad).alias("n_rejected")).where(~bad), rejects
+
+
+def _lacking(df: DataFrame, table: str) -> Column:
     required = list(REQUIRED[table])
     bad = F.lit(False)
     for c in required:
         bad = bad | F.col(c).isNull()
     if "item_id" in required and dict(df.dtypes)["item_id"] == "string":
         bad = bad | item_id(F.col("item_id")).isNull()
-    return df.where(~bad), df.where(bad).count()
+    return bad
 
 
 def read_truth(spark: SparkSession, path: str) -> DataFrame:
