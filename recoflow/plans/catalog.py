@@ -241,6 +241,12 @@ def truth_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tr.truth_wide(inp.users, inp.test_rows, HISTORY_ORDER, K)
 
 
+def truth_wide_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The wide truth in numbered pieces, short ones so that lists take several."""
+    inp = Inputs(spark, sf_dir)
+    return tr.truth_chunks(inp.users, inp.test_rows, HISTORY_ORDER, K, chunk=16)
+
+
 def _segment_eval_lists(inp: Inputs) -> DataFrame:
     return ev.full_lists(ev.with_model(inp.segment_user_lists(inp.targets), "segment"), K)
 
@@ -509,6 +515,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "submission_format": submission_format,
     "truth_long": truth_long,
     "truth_wide": truth_wide,
+    "truth_wide_chunks": truth_wide_chunks,
     "relevance_flags": relevance_flags,
     "ndcg_per_user": ndcg_per_user,
     "ndcg_ideal_truth": ndcg_ideal_truth,

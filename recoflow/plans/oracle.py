@@ -428,4 +428,12 @@ SELECT DISTINCT user_id, CAST(replace(item_id, 'I', '') AS INTEGER) AS item_id
 FROM sliced WHERE slice = 'test' AND item_id <> 'I0'""",
     "saved_recommender_check": BASE + """
 SELECT count(*) AS n_users, CAST(0 AS BIGINT) AS n_wrong_list, CAST(0 AS BIGINT) AS n_wrong_history FROM hyb_users""",
+    "truth_wide_chunks": BASE + """, acts AS (
+  SELECT user_id, item, row_number() OVER (PARTITION BY user_id ORDER BY rn, c) - 1 AS place FROM (
+    SELECT user_id, replace(item_id, 'I', '') AS item, rn, unnest(range(CAST(frequency AS BIGINT))) AS c
+    FROM sliced WHERE slice = 'test' AND frequency > 0)),
+padded AS (
+  SELECT * FROM acts UNION ALL
+  SELECT user_id, '0', unnest(range(n, 72)) FROM (SELECT u.user_id, count(a.place) AS n FROM u LEFT JOIN acts a USING (user_id) GROUP BY 1))
+SELECT user_id, CAST(place // 16 AS BIGINT) AS chunk, string_agg(item, ',' ORDER BY place) AS items_actioned_on FROM padded GROUP BY 1, 2""",
 }

@@ -182,3 +182,14 @@ def test_submission_parallel_parts_read_back_whole(spark, scratch):
     writers.write_submission(lists, path)
     back = spark.read.option("sep", "\t").option("header", True).csv(path)
     assert back.count() == 20 and back.where("user_id = 'user_id'").count() == 0
+
+
+def test_observed_rejects_in_one_scan(spark, scratch):
+    path = os.path.join(scratch, "item_history.tsv")
+    with open(path, "w") as fh:
+        fh.write("user_id\titem_id\tlatest_timestamp\tfrequency\n1\tI5\t10\t2\n2\tI7\t11\tx\n3\tQ\t11\t1\n\tI1\t11\t1\n")
+    df = tsv.read_item_history(spark, path)
+    good, rejects = tsv.observed(df, "item_history")
+    assert good._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    kept, bad = tsv.accepted(df, "item_history")
+    assert good.collect() == kept.collect() and rejects.get["n_rejected"] == bad == 3

@@ -316,3 +316,29 @@ def test_histogram_of_a_single_value(spark):
     per_user = spark.createDataFrame([("m", 1, 0.25), ("m", 2, 0.25)], "model string, user_id int, ndcg double")
     h = ev.ndcg_histogram(per_user, bins=5).orderBy("bin").collect()
     assert [r.n for r in h] == [2, 0, 0, 0, 0]
+
+
+def test_truth_chunks_join_to_the_wide_truth(spark):
+    from recoflow.operators import truth as tr
+
+    users = spark.createDataFrame([(1,), (2,), (3,), (4,)], "user_id int")
+    rows = [(1, "I7", 5, 3), (1, "I8", 4, 2), (1, "I8", 4, 2), (2, "I1", 1, 9), (3, "I5", 1, 0), (9, "I5", 1, 4)]
+    history = spark.createDataFrame(rows, "user_id int, item_id string, latest_timestamp long, frequency int")
+    chunks = tr.truth_chunks(users, history, ("latest_timestamp",), k=6, chunk=4)
+    got = {}
+    for r in chunks.orderBy("user_id", "chunk").collect():
+        assert r.items_actioned_on.count(",") < 4
+        got.setdefault(r.user_id, []).append(r.items_actioned_on)
+    wide = {r.user_id: r.items_actioned_on for r in tr.truth_wide(users, history, ("latest_timestamp",), 6).collect()}
+    assert {u: ",".join(parts) for u, parts in got.items()} == wide
+    assert tr.truth_chunks(users, history.limit(0), ("latest_timestamp",), k=6, chunk=4).count() == 8
+    assert tr.truth_chunks(users.limit(0), history, ("latest_timestamp",), k=6).count() == 0
+
+
+def test_truth_chunks_of_a_user_with_ten_million_actions(spark):
+    from recoflow.operators import truth as tr
+
+    history = spark.range(100_000).selectExpr("1 AS user_id", "concat('I', id % 50) AS item_id", "id AS latest_timestamp", "100 AS frequency")
+    chunks = tr.truth_chunks(spark.range(1, 3).selectExpr("int(id) AS user_id"), history, ("latest_timestamp",))
+    sizes = chunks.selectExpr("user_id", "size(split(items_actioned_on, ',')) AS n").groupBy("user_id").agg({"n": "sum"})
+    assert {r[0]: r[1] for r in sizes.collect()} == {1: 10_000_000, 2: 72}
