@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recoflow.config import DEFAULT_K, ITEM_PREFIX
+from recoflow.config import DEFAULT_K, ITEM_PREFIX, SILHOUETTE_SWEEP
 from recoflow.functions.lists import join_items
 from recoflow.operators import als as als_ops
 from recoflow.operators import clustering as cl
@@ -25,13 +25,16 @@ from recoflow.operators import history as hist
 from recoflow.operators import popularity as pop
 from recoflow.operators import topk
 from recoflow.operators import truth as tr
+from recoflow.operators.ledger import GridLedger
 from recoflow.operators.merge import merge_lists
 from recoflow.plans.compare import compare_hybrids
 from recoflow.plans.inputs import Inputs
 from recoflow.operators.split import temporal_split
 from recoflow.plans import checks, file_queries
 from recoflow.plans.recommender import HybridRecommender
+from recoflow.session import ensure_checkpoint_dir
 from recoflow.sources import tables
+from recoflow.sources.files import join
 from recoflow.sources.tables import HISTORY_ORDER
 
 K = DEFAULT_K
@@ -42,7 +45,8 @@ ALS_PARAMS = {"rank": 10, "max_iter": 10, "reg_param": 0.1}
 KMEANS_K = 20
 SILHOUETTE_KS = (5, 10, 20, 40)
 COMPARE = {"ks": (10, 20), "ranks": (5, 10), "max_iter": 5}
-GRID = {"max_iters": (2, 5), "reg_params": (0.01, 0.1), "ranks": (5, 10), "num_folds": 3}
+GRID = {"max_iters": (2, 5), "reg_params": (0.01, 0.1), "ranks": (5, 10)}
+GRID_FOLDS = 3
 
 
 def r6(col: str):
@@ -370,12 +374,15 @@ def als_rmse(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _grid(spark: SparkSession, sf_dir: str) -> GridLedger:
+    data = folds.assign_folds(Inputs(spark, sf_dir).train_freqs, GRID_FOLDS)
+    path = join(ensure_checkpoint_dir(spark), "grids")
+    return GridLedger(spark, path, data, "fold", GRID_FOLDS, keep_factors=True)
+
+
 def als_grid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    inp = Inputs(spark, sf_dir)
-    data = folds.assign_folds(inp.train_freqs, GRID["num_folds"])
-    return als_ops.grid_search(
-        spark, data, "fold", GRID["num_folds"], GRID["max_iters"], GRID["reg_params"], GRID["ranks"]
-    )
+    """Cross-validated RMSE of every setting, best first; (setting, fold) fits that the ledger holds are not repeated."""
+    return _grid(spark, sf_dir).search(**GRID)
 
 
 def _clusters(inp: Inputs):
@@ -398,6 +405,12 @@ def kmeans_silhouette_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cl.silhouette_sweep(spark, features, SILHOUETTE_KS)
 
 
+def kmeans_profile_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Silhouettes over weighted profiles for all sizes of the full sweep."""
+    users = Inputs(spark, sf_dir).users
+    return cl.profile_sweep(spark, users, feat.fit_features(users), SILHOUETTE_SWEEP, parallelism=8)
+
+
 def cluster_recommendations(spark: SparkSession, sf_dir: str) -> DataFrame:
     inp = Inputs(spark, sf_dir)
     features, model = _clusters(inp)
@@ -456,8 +469,10 @@ def als_rmse_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def als_grid_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cross-validated grid: settings, settings out of order, best by a fold-wise recount."""
-    return checks.grid(als_grid_search(spark, sf_dir))
+    """The grid against a recount of every (setting, fold) from the written factors."""
+    ledger = _grid(spark, sf_dir)
+    result = ledger.search(**GRID)
+    return checks.grid(result, ledger.scores(**GRID), ledger.recount(**GRID))
 
 
 def kmeans_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -468,8 +483,10 @@ def kmeans_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def silhouette_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sweep has one score from -1 to 1 for every k."""
-    return checks.silhouettes(kmeans_silhouette_sweep(spark, sf_dir), len(SILHOUETTE_KS))
+    """Every score over weighted profiles against MLlib's evaluator on all users, without weights."""
+    users = Inputs(spark, sf_dir).users
+    sweep = cl.profile_sweep(spark, users, feat.fit_features(users), SILHOUETTE_SWEEP, parallelism=8, recount=True)
+    return checks.silhouettes(sweep, len(SILHOUETTE_SWEEP))
 
 
 def cluster_lists_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -533,6 +550,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "als_grid_search": als_grid_search,
     "kmeans_assign": kmeans_assign,
     "kmeans_silhouette_sweep": kmeans_silhouette_sweep,
+    "kmeans_profile_sweep": kmeans_profile_sweep,
     "cluster_recommendations": cluster_recommendations,
     "hybrid_recommend": hybrid_recommend,
     "hybrid_comparison": hybrid_comparison,

@@ -22,13 +22,13 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 
 from recoflow.config import ALS_FOLDS, DEFAULT_K, HYBRID_DEFAULTS, SILHOUETTE_SWEEP
-from recoflow.operators import als as als_ops
 from recoflow.operators import clustering as cl
 from recoflow.operators import evaluation as ev
 from recoflow.operators import features as feat
 from recoflow.operators import folds
 from recoflow.operators import history as hist
 from recoflow.operators import truth as tr
+from recoflow.operators.ledger import GridLedger
 from recoflow.operators.split import TemporalSplit, temporal_split
 from recoflow.operators.split_index import load_split, save_split
 from recoflow.plans.recommender import HybridRecommender
@@ -111,13 +111,13 @@ def grid(spark: SparkSession, out: str, num_folds: int = ALS_FOLDS) -> DataFrame
     from recoflow.config import ALS_GRID
 
     freqs = folds.assign_folds(spark.read.parquet(join(out, "train_frequencies")), num_folds)
-    return als_ops.grid_search(spark, freqs, "fold", num_folds, ALS_GRID["maxIter"], ALS_GRID["regParam"], ALS_GRID["rank"])
+    ledger = GridLedger(spark, join(out, "grid"), freqs, "fold", num_folds)  # a restart goes on where the last run ended
+    return ledger.search(ALS_GRID["maxIter"], ALS_GRID["regParam"], ALS_GRID["rank"])
 
 
 def silhouette(spark: SparkSession, data: str, ks: list[int]) -> DataFrame:
     _, users, _ = _inputs(spark, data)
-    features = feat.make_features(users, feat.fit_features(users))
-    return cl.silhouette_sweep(spark, features, ks)
+    return cl.profile_sweep(spark, users, feat.fit_features(users), ks)
 
 
 def main(argv: list[str] | None = None) -> None:

@@ -389,15 +389,21 @@ FROM train_freq""",
     "als_rmse_check": BASE + """
 SELECT count(*) AS n_pairs, CAST(0 AS BIGINT) AS n_wrong_rmse FROM truth
 WHERE user_id IN (SELECT user_id FROM train_freq) AND item_id IN (SELECT item_id FROM train_freq)""",
-    "als_grid_check": """
-SELECT count(*) AS n_settings, CAST(0 AS BIGINT) AS n_wrong_repeated, CAST(0 AS BIGINT) AS n_wrong_rmse,
-       count(DISTINCT i) AS n_max_iters, count(DISTINCT r) AS n_reg_params, count(DISTINCT k) AS n_ranks
-FROM (VALUES (2), (5)) a(i), (VALUES (0.01), (0.1)) b(r), (VALUES (5), (10)) c(k)""",
+    "als_grid_check": BASE + """, folds AS (
+  SELECT user_id, item_id, CAST(('0x' || substr(md5(CAST(user_id AS VARCHAR) || ':' || CAST(item_id AS VARCHAR) || ':42'), 1, 8))::BIGINT % 3 AS INTEGER) AS f
+  FROM train_freq),
+settings AS (SELECT count(*) AS n FROM (VALUES (2), (5)) a(i), (VALUES (0.01), (0.1)) b(r), (VALUES (5), (10)) c(k))
+SELECT n AS n_settings, CAST(0 AS BIGINT) AS n_wrong_repeated, CAST(0 AS BIGINT) AS n_wrong_mean,
+       CAST(n * (SELECT count(*) FROM folds
+                 WHERE user_id IN (SELECT user_id FROM folds GROUP BY user_id HAVING count(DISTINCT f) > 1)
+                   AND item_id IN (SELECT item_id FROM folds GROUP BY item_id HAVING count(DISTINCT f) > 1)) AS BIGINT) AS n_pairs,
+       CAST(0 AS BIGINT) AS n_wrong_pairs, CAST(0 AS BIGINT) AS n_wrong_rmse, CAST(0 AS BIGINT) AS n_wrong_order
+FROM settings""",
     "kmeans_check": BASE + """
 SELECT count(*) AS n_users, CAST(0 AS BIGINT) AS n_wrong_assigned, CAST(0 AS BIGINT) AS n_wrong_nearest FROM u""",
     "silhouette_check": """
 SELECT count(*) AS n_clusterings, CAST(0 AS BIGINT) AS n_wrong_score, CAST(0 AS BIGINT) AS n_wrong_rows
-FROM (VALUES (5), (10), (20), (40)) v(k)""",
+FROM (SELECT unnest(range(12, 102)) UNION ALL SELECT unnest(range(200, 1200, 100)))""",
     "cluster_lists_check": BASE + """
 SELECT count(*) AS n_users, CAST(0 AS BIGINT) AS n_wrong_item FROM t""",
     "hybrid_check": BASE + """

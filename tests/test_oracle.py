@@ -31,6 +31,7 @@ def test_every_query_has_oracle_or_is_rows_only():
         "als_grid_search",
         "kmeans_assign",
         "kmeans_silhouette_sweep",
+        "kmeans_profile_sweep",
         "cluster_recommendations",
         "hybrid_recommend",
         "hybrid_comparison",
