@@ -103,67 +103,99 @@ def examples(segments: DataFrame) -> DataFrame:
     )
 
 
-def example_texts(segments: DataFrame, max_context_chars: int) -> DataFrame:
-    """The examples of at most ``max_context_chars`` characters, each as one string
-    (longer ones stay spans: see ``examples``)."""
-    ex = examples(segments).where(F.col("chars") <= max_context_chars)
-    short = segments.where(F.col("end") <= max_context_chars).select(F.col("conv").alias("_conv"), "pos", "segment")
+def example_texts(segments: DataFrame, max_context_chars: int | None = None) -> DataFrame:
+    """The examples, each as one string: all of them (their texts together are quadratic in a
+    conversation's turns), or those of at most ``max_context_chars`` characters for readers that
+    take no longer ones (the rest stay spans: see ``examples``)."""
+    ex, short = examples(segments), segments.select(F.col("conv").alias("_conv"), "pos", "segment", F.col("end").alias("_end"))
+    if max_context_chars is not None:
+        ex, short = ex.where(F.col("chars") <= max_context_chars), short.where(F.col("_end") <= max_context_chars)
     return ex.join(short, F.col("conv").eqNullSafe(F.col("_conv")) & (F.col("pos") <= F.col("target"))).groupBy(
         "conv", "target", "chars", "loss_start", "loss_end"
     ).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "segment"))), lambda s: s["segment"]), "").alias("text"))
 
 
+READ_BACK = (
+    "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, "
+    "n_examples long, context_turns long, contexts_sha256 string, n_broken_contexts long"
+)
+
+
 def read_back(segments: DataFrame, expanded: DataFrame | None = None) -> DataFrame:
     """Per conversation, from the written segments and the examples (``examples`` of the
     segments by default) alone: turns and their digest, characters and digest of the loss
-    texts read from each example, characters of the conversation's text. A digest
-    is sequential, so a conversation streams through one task; nothing is held."""
-    made = (examples(segments) if expanded is None else expanded).select(
+    texts read from each example, characters of the conversation's text; examples, turns of all their contexts
+    together, the digest of the contexts in order (``target:turns:digest of the turns before context_end`` and a newline
+    each; turns as in ``turns_sha256``), and contexts that do not end where a turn does. A context
+    is a prefix, so it is read where it ends in the stream of its conversation's segments: linear, and
+    independent of the segment that holds the reply. A digest is sequential, so a conversation
+    streams through one task; nothing is held."""
+    made = examples(segments) if expanded is None else expanded
+    reply = made.select(
         F.col("conv").alias("_conv"), "target", "chars", "context_end", F.col("loss_start").alias("lo"), F.col("loss_end").alias("hi")
     )
-    rows = segments.select("conv", "pos", "segment", "start", "end").join(
-        made, F.col("conv").eqNullSafe(F.col("_conv")) & (F.col("pos") == F.col("target")), "left"
-    )
-    return rows.repartition("conv").sortWithinPartitions("conv", "pos").select(
-        "conv", "segment", "start", "end", "chars", "context_end", "lo", "hi"
-    ).mapInArrow(
-        _digests, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
-    )
+    turns = segments.select("conv", F.col("start").alias("at"), F.lit(1).alias("turn"), "pos", "segment", "start", "end").join(
+        reply, F.col("conv").eqNullSafe(F.col("_conv")) & (F.col("pos") == F.col("target")), "left"
+    ).drop("_conv", "target")
+    # A context ends before the turn that starts at the same place.
+    contexts = made.select("conv", F.col("context_end").alias("at"), F.lit(0).alias("turn"), F.col("target").alias("pos"))
+    rows = turns.unionByName(contexts, allowMissingColumns=True)
+    return rows.repartition("conv").sortWithinPartitions("conv", "at", "turn", "pos").select(
+        "conv", "at", "turn", "pos", "segment", "start", "end", "chars", "context_end", "lo", "hi"
+    ).mapInArrow(_digests, READ_BACK)
+
+
+class _Conversation:
+    """What is read of one conversation so far."""
+
+    def __init__(self, conv: int | None):
+        self.conv, self.n_turns, self.loss_chars, self.chars = conv, 0, 0, 0
+        self.n_examples = self.context_turns = self.n_broken = 0
+        self.turns, self.loss, self.contexts = hashlib.sha256(), hashlib.sha256(), hashlib.sha256()
+
+    def context(self, at: int, target: int) -> None:
+        self.n_examples += 1
+        self.context_turns += self.n_turns
+        self.n_broken += at != self.chars
+        self.contexts.update(f"{target}:{self.n_turns}:{self.turns.hexdigest()}\n".encode())
+
+    def turn(self, segment: str, start: int, end: int, cut: int | None, context: int | None, lo: int | None, hi: int | None) -> None:
+        role, _, text = segment[len(START) : -len(END)].partition("\n")
+        self.turns.update(f"{unescape_role(role)}\n{unescape(text)}\n".encode())
+        self.n_turns, self.chars = self.n_turns + 1, end
+        if lo is not None:
+            # the last turn of the example: what lies between its context and its end
+            reply = unescape(segment[context - start : cut - start][lo - context : hi - context])
+            self.loss.update(reply.encode())
+            self.loss_chars += len(reply)
+
+    def row(self) -> tuple:
+        return (
+            self.conv, self.n_turns, self.turns.hexdigest(), self.loss_chars, self.loss.hexdigest(), self.chars,
+            self.n_examples, self.context_turns, self.contexts.hexdigest(), self.n_broken,
+        )
 
 
 def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
-    done: list[tuple] = []
-    conv, opened = None, False
-    n = lost = chars = 0
-    turns = loss = None
-
-    def close() -> None:
-        if opened:
-            done.append((conv, n, turns.hexdigest(), lost, loss.hexdigest(), chars))
+    names = [field.split()[0] for field in READ_BACK.split(", ")]
+    kinds = [pa.string() if name.endswith("sha256") else pa.int64() for name in names]
 
-    def batch() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], kinds[k]) for k in range(len(kinds))], names)
+    def batch(done: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(column, kind) for column, kind in zip(zip(*done), kinds)], names)
 
+    now: _Conversation | None = None
     for b in batches:
-        for row_conv, segment, start, end, cut, context, lo, hi in zip(*(c.to_pylist() for c in b.columns)):
-            if not opened or row_conv != conv:
-                close()
-                conv, opened = row_conv, True
-                n = lost = chars = 0
-                turns, loss = hashlib.sha256(), hashlib.sha256()
-            role, _, text = segment[len(START) : -len(END)].partition("\n")
-            turns.update(f"{unescape_role(role)}\n{unescape(text)}\n".encode())
-            n, chars = n + 1, end
-            if lo is not None:
-                # the last turn of the example: what lies between its context and its end
-                reply = unescape(segment[context - start : cut - start][lo - context : hi - context])
-                loss.update(reply.encode())
-                lost += len(reply)
+        done = []
+        for conv, at, is_turn, pos, *turn in zip(*(c.to_pylist() for c in b.columns)):
+            if now is None or conv != now.conv:
+                if now is not None:
+                    done.append(now.row())
+                now = _Conversation(conv)
+            if is_turn:
+                now.turn(*turn)
+            else:
+                now.context(at, pos)
         if done:
-            yield batch()
-            done = []
-    close()
-    if done:
-        yield batch()
+            yield batch(done)
+    if now is not None:
+        yield batch([now.row()])

@@ -168,6 +168,13 @@ def test_chat_escapes_are_reversible(text, role):
     assert "<|" not in escaped and chat.unescape(escaped) == text
 
 
+def contexts(turns):
+    """Examples, turns of their contexts, digest of the contexts and broken ones, over (role, text) in order."""
+    targets = [k for k, (role, _) in enumerate(turns) if role == "assistant"]
+    digests = [sha("".join(f"{a}\n{b}\n" for a, b in turns[:k])) for k in targets]
+    return len(targets), sum(targets), sha("".join(f"{k}:{k}:{d}\n" for k, d in zip(targets, digests))), 0
+
+
 def test_chat(spark):
     turns = [(1, 0, "user", "a <\\| b <|im_end|>"), (1, 1, "assistant", None), (1, 1, "assistant", "<"), (2, 5, None, "x\n\n"),
              (2, 6, "we\nird\\n", "y"), (None, 0, "user", "n"), (None, 1, "assistant", "m" * 100_000), (3, 0, "assistant", "☃"), (3, 0, "assistant", "☃")]
@@ -180,6 +187,9 @@ def test_chat(spark):
         r = got[conv]
         assert (r.n_turns, r.turns_sha256) == (len(own), sha("".join(f"{a}\n{b}\n" for _, a, b in own)))
         assert (r.loss_chars, r.loss_sha256) == (len(loss), sha(loss))
+        assert (r.n_examples, r.context_turns, r.contexts_sha256, r.n_broken_contexts) == contexts([(a, b) for _, a, b in own])
+    assert {(r.conv, r.target): len(r.text) for r in chat.example_texts(segments).collect()} == {
+        (r.conv, r.target): r.chars for r in chat.examples(segments).collect()}
     texts = {(r.conv, r.target): r for r in chat.example_texts(segments, 1000).collect()}
     assert len(texts) == 4  # the long reply stays a span
     last = texts[1, 2]
@@ -200,6 +210,25 @@ def test_chat_loss_is_read_from_the_examples(spark):
     assert loss(made.withColumn("chars", F.col("loss_end") - 1)) == [(7, 15, sha("turn turn turn "))]
 
 
+def test_chat_contexts_are_read_from_the_examples(spark):
+    """A context that lacks a turn, has one too many or ends inside one shows in the context columns."""
+    turns = [(1, k, "assistant" if k % 2 else "user", f"turn {k}") for k in range(7)]
+    segments = chat.format_turns(spark, spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    made = chat.examples(segments)
+    names = ("n_examples", "context_turns", "contexts_sha256", "n_broken_contexts")
+    read = lambda ex: [tuple(r[c] for c in names) for r in chat.read_back(segments, ex).collect()]
+    right = contexts([(role, text) for _, _, role, text in turns])
+    assert read(made) == [right] and right[:2] == (3, 9)
+    starts = {r.pos: r.start for r in segments.collect()}
+    moved = lambda at: made.withColumn("context_end", F.when(F.col("target") == 3, F.lit(at).cast("long")).otherwise(F.col("context_end")))
+    for pos, n_turns in ((2, 8), (4, 10), (0, 6)):
+        (got,) = read(moved(starts[pos]))
+        assert got[:2] == (3, n_turns) and got[2] != right[2] and got[3] == 0
+    (inside,) = read(moved(starts[3] - 1))
+    assert inside[3] == 1
+    assert read(made.where("target != 3"))[0][:2] == (2, 6)
+
+
 def test_chat_long_conversation_over_many_partitions(spark):
     turns = [(7, k, "assistant" if k % 2 else "user", f"turn {k}") for k in range(2000)] + [(8, 0, "user", "z")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(5)

@@ -117,6 +117,9 @@ def test_op4(run, con):
         assert (r["n_turns"], r["turns_sha256"]) == (len(said), sha("".join(f"{a}\n{b}\n" for a, b in said)))
         assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), sha(loss))
         assert r["formatted_chars"] >= sum(len(t) for _, t in said)
+        held = [(k, sha("".join(f"{a}\n{b}\n" for a, b in said[:k]))) for k, (role, _) in enumerate(said) if role == "assistant"]
+        assert (r["n_examples"], r["context_turns"], r["n_broken_contexts"]) == (len(held), sum(k for k, _ in held), 0)
+        assert r["contexts_sha256"] == sha("".join(f"{k}:{k}:{d}\n" for k, d in held))
 
 
 def test_op5(run, docs):
