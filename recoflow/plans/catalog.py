@@ -301,7 +301,7 @@ def catalogue_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evaluate_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three list sets scored in one pass: segment lists and global lists of
+    """Three list sets scored in one pass against the stored truth: segment lists and global lists of
     T, hybrid lists of T plus cold users."""
     inp = Inputs(spark, sf_dir)
     g = inp.global_list()
@@ -312,7 +312,7 @@ def evaluate_models(spark: SparkSession, sf_dir: str) -> DataFrame:
         merge_lists(users, inp.own_top_lists(), inp.segment_user_lists(users), g, K, "hybrid"), "hybrid"
     )
     lists = segment.unionByName(global_).unionByName(hybrid)
-    out = ev.evaluate(lists, inp.test_truth, K)
+    out = ev.evaluate(lists, inp.stored_truth(), K)
     return out.select(ev.MODEL, "n_lists", "n_scored", r6("mean_ndcg"), r6("entropy"), "n_items_recommended")
 
 

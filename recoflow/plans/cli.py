@@ -31,6 +31,7 @@ from recoflow.operators import truth as tr
 from recoflow.operators.ledger import GridLedger
 from recoflow.operators.split import TemporalSplit, temporal_split
 from recoflow.operators.split_index import load_split, save_split
+from recoflow.operators.truth_store import TruthStore
 from recoflow.plans.recommender import HybridRecommender
 from recoflow.sinks import writers
 from recoflow.sinks.publish import current, publish
@@ -65,6 +66,7 @@ def prepare(spark: SparkSession, data: str, out: str, k: int = DEFAULT_K, wide_t
     train, test = split.train(history), split.test(history)
     writers.write_table(hist.item_frequencies(train), join(out, "train_frequencies"))
     writers.write_table(hist.item_frequencies(test), join(out, "test_frequencies"))
+    TruthStore(spark, join(out, "test_truth")).save(spark.read.parquet(join(out, "test_frequencies")))
     if wide_truth:
         writers.write_truth(tr.truth_wide(users, train, ORDER, k), join(out, "y_train"))
         writers.write_truth(tr.truth_wide(users, test, ORDER, k), join(out, "y_test"))
@@ -103,7 +105,7 @@ def evaluate(spark: SparkSession, out: str, lists: dict[str, str], k: int = DEFA
         history = hist.clean_history(_inputs(spark, validation_of)[0])
         truth = tr.truth_items(load_split(spark, join(out, "split")).validation(history))
     else:
-        truth = spark.read.parquet(join(out, "test_frequencies")).select("user_id", "item_id")
+        truth = TruthStore(spark, join(out, "test_truth")).load()
     return ev.evaluate_list_files(spark, {name: current(spark, path) for name, path in lists.items()}, truth, k)
 
 

@@ -9,6 +9,7 @@ shares one analysed subplan and Spark reuses its exchanges.
 
 from __future__ import annotations
 
+import hashlib
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,10 +19,11 @@ from recoflow.config import DEFAULT_K
 from recoflow.operators import history as hist
 from recoflow.operators import popularity as pop
 from recoflow.operators.split import Cut, TemporalSplit, temporal_split
-from recoflow.operators.split_index import SplitStore
+from recoflow.operators.split_index import SplitStore, split_json
+from recoflow.operators.truth_store import Truth, TruthStore
 from recoflow.session import ensure_checkpoint_dir
 from recoflow.sources import tables
-from recoflow.sources.files import join
+from recoflow.sources.files import file_states, join
 
 
 class Inputs:
@@ -97,6 +99,13 @@ class Inputs:
     def test_truth(self) -> DataFrame:
         return hist.item_frequencies(self.test_rows).select("user_id", "item_id")
 
+    def stored_truth(self) -> Truth:
+        """The test truth as bucketed tables in the shared folder, written once per state of the files and split."""
+        tables_ = tables.history_tables(self.spark, self.sf_dir)
+        state = hashlib.sha256(repr([*(sorted(file_states(t)) for t in tables_), split_json(self.split)]).encode()).hexdigest()
+        store = TruthStore(self.spark, join(ensure_checkpoint_dir(self.spark), f"truths/{state}"))
+        return store.load() if store.exists() else store.save(self.test_truth)
+
     @cached_property
     def cold_users(self) -> DataFrame:
         """Users of U without a single train row."""

@@ -16,6 +16,12 @@ def _hadoop(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
+def absolute(spark: SparkSession, path: str) -> str:
+    """With scheme and working folder, as a table's location must be given."""
+    p, fs = _hadoop(spark, path)
+    return fs.makeQualified(p).toString()
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     p, fs = _hadoop(spark, path)
     return fs.exists(p)
