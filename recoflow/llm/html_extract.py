@@ -46,6 +46,9 @@ INLINE = frozenset(
 BOILERPLATE = frozenset("nav header footer aside form menu dialog button select head svg object canvas audio video math".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MAIN = frozenset("article main".split())
+#: What never holds a main element, and what is dropped without ending the block around it.
+BESIDE_MAIN = frozenset("nav header footer aside".split())
+UNSEEN = frozenset("script style noscript template".split())
 BOILERPLATE_ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 #: Words of class and id names that mark what is no article text.
 BOILERPLATE_NAMES = frozenset(
@@ -59,6 +62,9 @@ NEUTRAL_NAMES = frozenset(
     "area bar block box btn button buttons column container group icon icons inner items left link links list "
     "main outer posts primary right secondary site slot top bottom unit wrap wrapper".split()
 ) | frozenset("abcdefghijklmnopqrstuvwxyz")
+#: Words that say no more than "boilerplate" at the end of a name, and first words that deny or only mention it.
+AMBIGUOUS_ENDS = frozenset("alert menu menus related search share sharing skip social".split())
+MENTIONS = frozenset("has hide no non not show with without".split())
 DISCUSSION_NAMES = frozenset("comment comments reply replies respond disqus".split())
 TEXT_ELEMENTS = HEADINGS | frozenset("p li td th dt dd pre blockquote figcaption caption address summary".split())
 
@@ -67,9 +73,18 @@ _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)
 _PARTS = re.compile(r"[a-z]+")
 
 
-def _named_boilerplate(attributes: str, leading: bool) -> set[str]:
+def _ends_in_boilerplate(words: list[str]) -> bool:
+    """``user-comments``, ``inline-promo-box``; not ``no-sidebar`` or ``market-share``."""
+    if words[0] in MENTIONS:
+        return False
+    last = next((w for w in reversed(words) if w not in NEUTRAL_NAMES), "")
+    return last in BOILERPLATE_NAMES and last not in AMBIGUOUS_ENDS
+
+
+def _named_boilerplate(attributes: str, leading: bool, trailing: bool) -> set[str]:
     """The words by which class, id or role name boilerplate: names made of such words and
-    neutral ones, with ``leading`` also names that begin with one (``comments-thread``)."""
+    neutral ones, with ``leading`` also names that begin with one (``comments-thread``), with
+    ``trailing`` names that end in one (``user-comments``)."""
     found: set[str] = set()
     for name, *values in _ATTR.findall(attributes):
         value = "".join(values).lower()
@@ -78,7 +93,7 @@ def _named_boilerplate(attributes: str, leading: bool) -> set[str]:
             continue
         for words in map(_PARTS.findall, value.split()):
             known = BOILERPLATE_NAMES.intersection(words)
-            if known and (words[0] in known and leading or all(w in known or w in NEUTRAL_NAMES for w in words)):
+            if known and (words[0] in known and leading or trailing and _ends_in_boilerplate(words) or all(w in known or w in NEUTRAL_NAMES for w in words)):
                 found |= known
     return found
 
@@ -108,6 +123,7 @@ def page_lines(page: str) -> list[tuple[str, int]]:
     bad = main = headings = chars = 0
     has_main = False
     text: list[str] = []
+    last_end: dict[str, int] = {}
 
     def flush() -> None:
         nonlocal chars
@@ -126,6 +142,12 @@ def page_lines(page: str) -> list[tuple[str, int]]:
         """Boilerplate by more than being an article's own header."""
         return any(b and e != "header" for e, b, _, _ in stack)
 
+    def unclosed(element: str) -> bool:
+        """No end tag of this element follows."""
+        if element not in last_end:
+            last_end[element] = max((m.start() for m in re.finditer(rf"</{element}\b", page, re.I)), default=-1)
+        return last_end[element] < at
+
     def pop(to: int) -> None:
         nonlocal bad, main, headings
         for e, b, m, n in stack[to:]:
@@ -150,7 +172,11 @@ def page_lines(page: str) -> list[tuple[str, int]]:
         name = m[2].lower()
         if name == "br":
             text.append(" ")
-        if name not in INLINE:
+        if name == "button" and not m[1] and not unclosed(name):
+            # part of the line around it, but not of its text
+            at = re.compile(r"</button\b[^>]*>?", re.I).search(page, at).end()
+            continue
+        if name not in INLINE and name not in UNSEEN:
             flush()
         if m[1]:
             for k in range(len(stack) - 1, -1, -1):
@@ -179,18 +205,26 @@ def page_lines(page: str) -> list[tuple[str, int]]:
                         break
                     if stack[k][0] not in INLINE:
                         break
+        if name in MAIN and bad:
+            # main ends whatever cannot hold it; an article ends it only where its own end tag was forgotten
+            for k, (e, *_) in enumerate(stack):
+                if e in BESIDE_MAIN and (name == "main" or unclosed(e)):
+                    pop(k)
+                    break
         b, is_main = int(name in BOILERPLATE and name != "form"), int(name in MAIN)
         words: set[str] = set()
         if not b and name not in ("html", "body"):
             if m[3]:
-                words = _named_boilerplate(m[3], not main and name not in TEXT_ELEMENTS)
+                words = _named_boilerplate(m[3], not main and name not in TEXT_ELEMENTS, name not in TEXT_ELEMENTS and name not in INLINE)
             if name == "form":
                 words.add(name)
         if is_main:
             if not bad and not words & DISCUSSION_NAMES:  # a comment may be an article of its own
                 has_main = True
-                for n in named:
-                    n.holds_main = True
+                # Inside the article another one is a comment or a card, and a discussion inside main stays one.
+                if not any(e == "article" for e, *_ in stack):
+                    for n in named:
+                        n.holds_main |= not (main and n.words & DISCUSSION_NAMES)
             words = set()
         if words:
             named.append(Named(words))

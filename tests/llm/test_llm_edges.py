@@ -463,3 +463,43 @@ def test_common_lines_are_longest(a, b):
         for j in range(len(b)):
             best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
     assert len(pairs) == best[-1][-1]
+
+
+def text_of(page):
+    return html_extract.main_text(html_extract.page_lines(page), set())
+
+
+def test_html_comments_with_articles_of_their_own():
+    story = "<article><h1>Title</h1><p>Body</p>{}</article>"
+    said = '<section id="comments"><article><p>reader says</p></article><article><p>so do I</p></article></section>'
+    assert text_of(story.format(said)) == "Title\nBody"
+    assert text_of("<main><h1>Title</h1><p>Body</p>" + said + "</main>") == "Title\nBody"
+    # a layout name around the only article does not rule it out
+    assert text_of('<main><div class="sidebar-right"><article><p>Body</p><p>More</p></article></div></main>') == "Body\nMore"
+
+
+@pytest.mark.parametrize("name", ["user-comments", "article-body__comments", "maintenance-notice", "sticky-advertisement",
+                                  "inline-promo-box", "story-sidebar"])
+def test_html_names_that_end_in_boilerplate(name):
+    page = f'<main><h1>Title</h1><p>A long first paragraph.</p><div class="{name}"><p>gone</p></div><p>Last</p></main>'
+    assert text_of(page) == "Title\nA long first paragraph.\nLast"
+
+
+@pytest.mark.parametrize("name", ["no-sidebar", "with-sidebar", "market-share", "social-history", "commentary", "story-body"])
+def test_html_names_that_only_mention_it(name):
+    page = f'<main><h1>Title</h1><div class="{name}"><p>stays</p></div><p>A longer last paragraph of the text.</p></main>'
+    assert text_of(page) == "Title\nstays\nA longer last paragraph of the text."
+
+
+def test_html_forgotten_end_tags():
+    for element in ("nav", "header", "aside"):
+        assert text_of(f"<{element}><ul><li><a>Home</a></li><main><h1>Title</h1><p>Body</p></main>") == "Title\nBody"
+        assert text_of(f"<{element}><a>Home</a><article><h1>Title</h1><p>Body</p></article>") == "Title\nBody"
+    # a card inside an aside that ends is no article text
+    assert text_of("<main><p>Body</p><aside><article><p>Card</p></article></aside></main>") == "Body"
+
+
+def test_html_what_is_not_seen_does_not_end_a_block():
+    assert text_of("<article><p>a<script>x()</script>b <style>p{}</style>c</p><p>d</p></article>") == "ab c\nd"
+    assert text_of("<article><p>one <button type=button>Copy</button> two</p></article>") == "one two"
+    assert text_of("<article><p>one</p><button>never closed<p>two</p></article>") == "one"
