@@ -147,3 +147,12 @@ def test_recommender_other_merge_modes(spark, inp, mode):
     assert all(0 < len(r["items"]) <= K for r in out)
     lists = rec.recommend(inp.targets, append_I=True).first().recommended_items.split(",")
     assert all(x.startswith("I") for x in lists)
+
+
+def test_sweep_reads_few_partitions(spark):
+    # Before: as many as the session's shuffle partitions, a task each in every step of every fit.
+    small = cl._packed(spark.range(1000).repartition(36))
+    assert small.rdd.getNumPartitions() == 1 and small.count() == 1000 == small.distinct().count()
+    large = cl._packed(spark.range(2 * cl.ROWS_PER_TASK + 1).repartition(40))
+    assert large.rdd.getNumPartitions() == 3 and large.distinct().count() == 2 * cl.ROWS_PER_TASK + 1
+    assert cl._packed(spark.range(0)).count() == 0
