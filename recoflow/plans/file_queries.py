@@ -74,6 +74,8 @@ def file_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each user's own list in three kinds of list file: plain, cut to the first items, and
     with a header line and prefixed ids; all read by position."""
     lists = Inputs(spark, sf_dir).own_top_lists()
+    lists.write.parquet(kept := _folder(spark, "lists"))  # found once, written by every kind
+    lists = spark.read.schema(lists.schema).parquet(kept)
     kinds = {"plain": {}, "cut": {"k": SHORT}, "header": {"header": True, "prefix": ITEM_PREFIX}}
     out = None
     for kind, options in kinds.items():

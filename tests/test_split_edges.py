@@ -74,3 +74,36 @@ def test_time_bound_keeps_sub_seconds(spark, upper, kept):
     second = int(at.replace(tzinfo=datetime.timezone.utc).timestamp())
     got = {r.k for r in df.where(tables.time_bound(second, upper)).collect()}
     assert [k in got for k in range(3)] == kept
+
+
+def test_rows_of_all_cut_values_are_asked_for_once(spark):
+    from recoflow.operators.split import locate_ranks
+
+    rows = [(t, i, None if i % 5 == 0 else i % 3) for t in (1, 2, 3) for i in range(10)]
+    df = spark.createDataFrame(rows, "t int, a int, b int")
+    asked = []
+
+    def rows_at(condition, n):
+        asked.append(n)
+        return df.where(condition)
+
+    plain = locate_ranks(df, ("t", "a"), [4, 6, 27], 30)
+    assert locate_ranks(df, ("t", "a"), [4, 6, 27], 30, rows_at=rows_at) == plain
+    assert asked == [20] and [df.where(c.le()).count() for c in plain] == [4, 6, 27]
+
+
+def test_cut_rows_are_found_without_shuffling_line_items(spark):
+    from pyspark.sql import functions as F
+
+    from recoflow.plans import catalog
+    from recoflow.plans.inputs import Inputs
+
+    sf = "/root/testdata/sf0.001"
+    inp = Inputs(spark, sf)
+    value = inp.history.agg(F.max("latest_timestamp")).first()[0]
+    found = inp._rows_at(F.col("latest_timestamp") == value, 1)
+    assert found.exceptAll(inp.history.where(F.col("latest_timestamp") == value)).count() == 0
+    assert found.count() == inp.history.where(F.col("latest_timestamp") == value).count() > 0
+    assert "rightHint" in (text := found._jdf.queryExecution().toString()) or "broadcast" in text.lower()
+    # The parts of a random split are taken from frequencies that are found once.
+    assert "orders.parquet" not in catalog.random_split_rows(spark, sf)._jdf.queryExecution().toString()
