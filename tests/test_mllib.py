@@ -9,6 +9,7 @@ from recoflow.operators import clustering as cl
 from recoflow.operators import features as feat
 from recoflow.operators import folds
 from recoflow.operators import popularity as pop
+from recoflow.plans import catalog
 from recoflow.plans.inputs import Inputs
 from recoflow.plans.recommender import HybridRecommender
 
@@ -156,3 +157,14 @@ def test_sweep_reads_few_partitions(spark):
     large = cl._packed(spark.range(2 * cl.ROWS_PER_TASK + 1).repartition(40))
     assert large.rdd.getNumPartitions() == 3 and large.distinct().count() == 2 * cl.ROWS_PER_TASK + 1
     assert cl._packed(spark.range(0)).count() == 0
+
+
+def test_fits_and_assignments_deal_users_over_partitions(spark, inp, monkeypatch):
+    one = spark.createDataFrame(inp.users.collect(), inp.users.schema).coalesce(1)
+    assert cl.dealt(one) is one  # 150 users are one task's work
+    monkeypatch.setattr(cl, "USERS_PER_TASK", 20)
+    sizes = [len(p) for p in cl.dealt(one).rdd.glom().collect()]
+    assert sum(sizes) == 150 and len(sizes) == 8 and max(sizes) < 60
+    features, model = catalog._clusters(Inputs(spark, SF))
+    assert features.rdd.getNumPartitions() == 8
+    assert sorted(r.user_id for r in cl.assign_clusters(features, model).collect()) == sorted(r.user_id for r in one.collect())
