@@ -6,7 +6,10 @@ from collections import Counter
 
 import pytest
 
+from recoflow.operators import history as hist
 from recoflow.operators.split import slice_sizes, temporal_split
+from recoflow.plans import catalog
+from recoflow.plans.inputs import Inputs
 from recoflow.sources import tables
 
 
@@ -107,3 +110,16 @@ def test_cut_rows_are_found_without_shuffling_line_items(spark):
     assert "rightHint" in (text := found._jdf.queryExecution().toString()) or "broadcast" in text.lower()
     # The parts of a random split are taken from frequencies that are found once.
     assert "orders.parquet" not in catalog.random_split_rows(spark, sf)._jdf.queryExecution().toString()
+
+
+def test_rmse_reads_the_history_once(spark, monkeypatch):
+    """Train and test frequencies come from one pass, and are those of the two slices."""
+    inp = Inputs(spark, "/root/testdata/sf0.001")
+    for kept, rows in zip(inp.kept_slice_freqs(), (inp.train_rows, inp.test_rows)):
+        want = hist.item_frequencies(rows)
+        assert kept.schema == want.schema and sorted(map(tuple, kept.collect())) == sorted(map(tuple, want.collect()))
+    calls, found = [], hist.item_frequencies
+    monkeypatch.setattr(hist, "item_frequencies", lambda *a, **kw: calls.append(a) or found(*a, **kw))
+    assert catalog.als_rmse_check(spark, inp.sf_dir).first()["n_wrong_rmse"] == 0
+    assert catalog.als_rmse(spark, inp.sf_dir).first()["rmse"] > 0
+    assert len(calls) == 2
