@@ -112,14 +112,18 @@ class GridLedger:
         return means.orderBy(F.col("rmse").asc_nulls_last(), *SETTING)
 
     def recount(self, max_iters: Sequence[int], reg_params: Sequence[float], ranks: Sequence[int]) -> DataFrame:
-        """(cell, n_pairs, rmse) by definition: held-out pairs joined with the written factors."""
-        wanted = self._cells(max_iters, reg_params, ranks).select("cell")
+        """(cell, n_pairs, rmse) by definition: held-out pairs joined with the written factors. All settings of
+        a fold share its pairs, so a pair meets the vectors of all of them at once and is dealt once a side."""
+        wanted = self._cells(max_iters, reg_params, ranks).select("cell", F.xxhash64("cell").alias("key"))
 
-        def side(name: str, id_col: str, vector: str) -> DataFrame:
-            table = self.spark.read.schema(FACTORS).parquet(join(self.base, f"factors/{name}/*"))
-            return table.join(wanted, "cell", "left_semi").select("cell", "fold", F.col("id").alias(id_col), F.col("features").alias(vector))
+        def side(name: str, id_col: str, vectors: str) -> DataFrame:
+            table = self.spark.read.schema(FACTORS).parquet(join(self.base, f"factors/{name}/*")).join(F.broadcast(wanted), "cell")
+            by_key = F.map_from_entries(F.collect_list(F.struct("key", "features")))
+            return table.groupBy("fold", F.col("id").alias(id_col)).agg(by_key.alias(vectors))
 
-        pairs = self.data.join(side("users", "user_id", "_u"), ["fold", "user_id"]).join(side("items", "item_id", "_i").drop("fold"), ["cell", "item_id"])
+        pairs = self.data.join(side("users", "user_id", "_us"), ["fold", "user_id"]).join(side("items", "item_id", "_is"), ["fold", "item_id"])
+        pairs = pairs.select("frequency", "_is", F.explode("_us").alias("key", "_u")).withColumn("_i", F.try_element_at("_is", F.col("key"))).where("_i is not null")
         product_ = F.zip_with("_u", "_i", lambda x, y: x.cast("double") * y)
         error = F.col("frequency") - F.aggregate(product_, F.lit(0.0), lambda s, x: s + x)
-        return pairs.select("cell", (error * error).alias("_e")).groupBy("cell").agg(F.count(F.lit(1)).alias("n_pairs"), F.sqrt(F.avg("_e")).alias("rmse"))
+        scored = pairs.select("key", (error * error).alias("_e")).groupBy("key").agg(F.count(F.lit(1)).alias("n_pairs"), F.sqrt(F.avg("_e")).alias("rmse"))
+        return scored.join(F.broadcast(wanted), "key").select("cell", "n_pairs", "rmse")

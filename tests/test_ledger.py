@@ -11,7 +11,8 @@ from recoflow.operators import als as als_ops
 from recoflow.operators import clustering as cl
 from recoflow.operators import features as feat
 from recoflow.operators import folds
-from recoflow.operators.ledger import GridLedger
+from recoflow.operators.ledger import FACTORS, GridLedger
+from recoflow.plans import checks
 from recoflow.plans.inputs import Inputs
 
 SF = "/root/testdata/sf0.001"
@@ -123,3 +124,34 @@ def test_weighted_fit_has_the_objective_of_all_users(spark):
     assert math.isclose(fitted.summary.trainingCost, cost, rel_tol=1e-6)
     for c, i in product(sums, range(2)):
         assert fitted.clusterCenters()[c][i] == pytest.approx(sums[c][i] / n[c], abs=1e-3)
+
+
+def test_the_check_recounts_once(spark, data, tmp_path):
+    """A recount is a pass over all pairs: the check's aggregates share its rows."""
+    own = ledger(spark, tmp_path, data, keep_factors=True)
+    result, scores, seen = own.search(**GRID), own.scores(**GRID), spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    recount = own.recount(**GRID)
+    row = checks.grid(result, scores, recount.mapInPandas(count, recount.schema)).first()
+    assert seen.value == 8
+    assert (row.n_settings, row.n_wrong_pairs, row.n_wrong_rmse, row.n_wrong_mean) == (4, 0, 0, 0)
+
+
+def test_recount_takes_pairs_known_to_each_model(spark, data, tmp_path):
+    """Pairs meet all settings' vectors at once; one whose item a single model lacks is left out of that cell only."""
+    own = ledger(spark, tmp_path, data, keep_factors=True)
+    own.fill(**GRID)
+    full = {r.cell: r.n_pairs for r in own.recount(**GRID).collect()}
+    one = min(full)
+    path = f"{own.base}/factors/items/{one}"
+    rows = spark.read.parquet(path).collect()
+    spark.createDataFrame(rows[: len(rows) // 2], FACTORS).write.mode("overwrite").parquet(path)
+    less = {r.cell: r.n_pairs for r in own.recount(**GRID).collect()}
+    assert less[one] < full[one] and {c: n for c, n in less.items() if c != one} == {c: n for c, n in full.items() if c != one}
+    # One row per pair goes into the joins, not one per pair and setting.
+    assert own.recount(**GRID)._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
