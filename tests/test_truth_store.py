@@ -1,13 +1,15 @@
 """The stored truth: bucketed tables that evaluations join without a shuffle."""
 
+import math
 import os
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from recoflow.functions.ranking import ideal_dcg
 from recoflow.operators import evaluation as ev
-from recoflow.operators.truth_store import TruthStore
+from recoflow.operators.truth_store import Truth, TruthStore
 from recoflow.plans.inputs import Inputs
 
 SF = "/root/testdata/sf0.001"
@@ -104,3 +106,26 @@ def test_nulls_empty_tables_and_a_hot_user(spark, tmp_path):
     # one user's many items lie in all buckets
     per_file = stored.pairs.groupBy(F.input_file_name()).count().collect()
     assert len(per_file) == 8 and max(r["count"] for r in per_file) < 4_000
+
+
+def test_lists_are_dealt_whole_for_ndcg(spark, inp, tmp_path, shuffled_joins):
+    """No position of a list is shuffled: lists meet the truth as arrays, whichever way it is kept."""
+    stored = TruthStore(spark, str(tmp_path)).save(inp.test_truth)
+    lists = lists_of(inp)
+    old = Truth(stored.pairs, stored.users)  # a store written before there were buckets by user
+    scores = []
+    for truth in (stored, old, inp.test_truth):
+        per_user = ev.ndcg_per_user(lists, truth, 72)
+        assert "posexplode" not in per_user._jdf.queryExecution().optimizedPlan().toString()
+        scores.append(sorted((r.model, r.user_id, round(r.ndcg, 9)) for r in per_user.collect()))
+    assert scores[0] == scores[1] == scores[2] and scores[0]
+
+
+def test_gain_counts_repeats_up_to_k_and_skips_nulls(spark):
+    lists = spark.createDataFrame(
+        [(1, [7, None, 7, 8, 7]), (2, [None, None]), (3, [1]), (4, [1]), (None, [1])], "user_id int, items array<int>"
+    )
+    truth = spark.createDataFrame([(1, 7), (1, 8), (1, 9), (2, 5), (3, None), (None, 1)], "user_id int, item_id int")
+    got = {r.user_id: r.ndcg for r in ev.ndcg_per_user(lists, truth, 4).collect()}
+    assert set(got) == {1, 2, 3} and got[2] == got[3] == 0
+    assert abs(got[1] * ideal_dcg(4) - (1 + 0.5 + 1 / math.log2(5))) < 1e-12
