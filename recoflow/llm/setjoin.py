@@ -15,10 +15,13 @@ The others find each other by size:
   set near it takes part in both.
 
 A list is not expanded into pairs. First every member is compared with the list's
-smallest member only. Members linked so form components; in a second round only
-pairs of different components within a list are compared, prefiltered by size and by
-a lower bound of the difference (the Hamming distance of 256 parity bits), both exact.
-Candidates of both rounds are verified on their whole sets.
+smallest member only. Members linked so form components; from then on only pairs of
+different components within a list are compared, prefiltered by size and by lower bounds
+of the difference (the Hamming distances of 256, then of 1024 parity bits), all exact.
+While these pairs are many for an entry, the lists that have so many of them are first compared
+with a few more of their members, drawn by a hash of the ids, so that alike members join
+one component without meeting each other. A last round compares what is left in
+different components. Candidates of all rounds are verified on their whole sets.
 
 Defined results: texts are lower-cased A-Z; a text with fewer words than a shingle
 is one shingle; a text without words (null too) has an empty set, links with
@@ -47,9 +50,12 @@ SLOT_BITS, HEAVY_TIMES, HEAVY_LEAST = 21, 4, 64
 SLOT_CHUNK = 1 << 13
 #: Largest size that may enumerate subsets; cost of a list entry in subset rows (it has to be verified).
 MOST_SMALL, ENTRY_COST = 48, 8
-SKETCH_BITS, WIDE_BITS = 256, 1 << 14
+SKETCH_BITS, SECOND_BITS, WIDE_BITS = 256, 1 << 10, 1 << 14
 #: Rows that one copy of a set is compared with before it is replicated.
 PAIRS_PER_COPY = 256
+#: While entries are in more pairs of different components than this on average, and each round leaves less than
+#: this share of them, lists with so many for their own entries meet so many more of their members.
+PAIRS_PER_ENTRY, WORTH, HOT_PAIRS, HUBS = 64, 0.8, 8, 4
 
 
 class Rule:
@@ -153,8 +159,8 @@ def heavy_slots(texts: DataFrame, width: int) -> tuple[np.ndarray, dict[int, int
 def _described(rule: Rule, heavy_bits: bytes, most_small: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heavy = np.unpackbits(np.frombuffer(heavy_bits, np.uint8)).astype(bool)
-        names = ["id", "n", "digest", "sketch", "tokens"]
-        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        names = ["id", "n", "digest", "sketch", "second", "tokens"]
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int64())]
         for b in batches:
             cols: list[list] = [[] for _ in names]
             for doc, h in _sets(b, rule.width):
@@ -166,7 +172,8 @@ def _described(rule: Rule, heavy_bits: bytes, most_small: int):
                 if n and n <= most_small:
                     tokens.append(subset_hashes(h, rule.subset_sizes(n, most_small)))
                 all_tokens = np.concatenate(tokens).view(np.int64) if tokens else np.zeros(0, np.int64)
-                row = (doc, n, hashlib.blake2b(h.tobytes(), digest_size=16).digest(), parity(h, SKETCH_BITS).view(">i8").tolist(), all_tokens)
+                sketch, second = (parity(h, bits).view(">i8").tolist() for bits in (SKETCH_BITS, SECOND_BITS))
+                row = (doc, n, hashlib.blake2b(h.tobytes(), digest_size=16).digest(), sketch, second, all_tokens)
                 for c, v in zip(cols, row):
                     c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
@@ -228,6 +235,23 @@ def _possible(rule: Rule, n: Column, m: Column, a: list[Column], b: list[Column]
     return sizes & (differ * (rule.num + rule.den) <= (n + m) * (rule.den - rule.num))
 
 
+def _second_possible(rule: Rule, n: Column, m: Column, a: Column, b: Column) -> Column:
+    """``_possible`` by the second sketch: for pairs that the first one lets pass."""
+    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return differ * (rule.num + rule.den) <= (n + m) * (rule.den - rule.num)
+
+
+def split_lists(members: DataFrame) -> DataFrame:
+    """(token, major, size, pairs, hot) of every list with several components: its largest component,
+    a bound of the pairs of different components, and whether these are many for its size."""
+    parts = members.groupBy("token", "component").agg(F.count(F.lit(1)).alias("k"))
+    size = F.sum("k")
+    return parts.groupBy("token").agg(
+        F.max_by("component", F.struct("k", "component")).alias("major"), size.alias("size"), ((size - F.max("k")).cast("double") * size).alias("pairs"),
+        F.count(F.lit(1)).alias("parts"),
+    ).where("parts > 1").drop("parts").withColumn("hot", F.col("pairs") > HOT_PAIRS * F.col("size"))
+
+
 def _against(work: Work, pairs: DataFrame, values: DataFrame, value: str, test, name: str) -> DataFrame:
     """The pairs (a, b) whose values pass ``test``. A value that many pairs need is
     replicated, one copy per ``PAIRS_PER_COPY`` pairs."""
@@ -298,7 +322,7 @@ def link_groups(
     described = work.keep(
         texts.mapInArrow(
             _described(rule, np.packbits(heavy).tobytes(), rule.boundary(histogram)),
-            "id long, n long, digest binary, sketch array<long>, tokens array<long>",
+            "id long, n long, digest binary, sketch array<long>, second array<long>, tokens array<long>",
         ),
         "sets",
     )
@@ -307,7 +331,7 @@ def link_groups(
     equal = work.keep(filled.groupBy("digest").agg(F.min("id").alias("rep")), "equal")
     own = filled.join(equal.hint("merge"), "digest").where("id = rep").dropDuplicates(["id"])
     words = SKETCH_BITS // 64
-    reps = work.keep(own.select("id", "n", *[F.col("sketch")[k].alias(f"s{k}") for k in range(words)], "tokens"), "reps")
+    reps = work.keep(own.select("id", "n", *[F.col("sketch")[k].alias(f"s{k}") for k in range(words)], "second", "tokens"), "reps")
     ids = work.keep(described.select("id", "n", "digest"), "ids")
     work.drop("sets")
     entries = reps.select("id", F.explode("tokens").alias("token"))
@@ -330,29 +354,50 @@ def link_groups(
     star = star.join(renamed(light, "a", "_a").hint("merge"), "a").join(renamed(light, "b", "_b").hint("merge"), "b")
     first = verified(work, known, star.where(possible("_a", "_b")).select("a", "b"), rule, "first")
     linked = work.keep(components(work, first, "first-component"), "linked")
-    # Second round: pairs of different components within a list.
+    # From here on: pairs of different components within a list.
     # (A list of two has been compared, one of a single component needs no more.)
-    members = lists.where("size > 2").select("token", "id", "hub").join(
-        linked.withColumnRenamed("node", "id").hint("merge"), "id", "left"
-    ).withColumn("component", F.coalesce("component", "id"))
-    members = work.keep(members, "members")
-    work.drop("lists")
-    split = members.groupBy("token").agg(
-        F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.when(F.col("id") == F.col("hub"), F.col("component"))).alias("major")
-    ).where("lo != hi").select("token", "major")
-    members = members.join(split.hint("merge"), "token").join(light.hint("merge"), "id")
-    members = work.keep(members, "split")
-    work.drop("members")
-    columns = ["token", "id", "component", "n", *sketch]
-    a = members.where("component != major").select(*[F.col(c).alias(f"{c}_a") for c in columns])
-    b = members.where("id != hub").select(*[F.col(c).alias(f"{c}_b") for c in columns], (F.col("component") == F.col("major")).alias("in_major"))
-    second = a.join(
-        b.hint("merge"),
-        (F.col("token_a") == F.col("token_b")) & (F.col("component_a") != F.col("component_b"))
-        & (F.col("in_major") | (F.col("id_a") < F.col("id_b"))) & possible("_a", "_b"),
-    ).select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b")).distinct()
-    links = work.keep(first.unionByName(verified(work, known, second, rule, "second")), "links")
-    work.drop("split")
+    columns = ["token", "id", "component", "n", *sketch, "second"]
+    members, links, left, rounds = lists.where("size > 2").select("token", "id", "hub"), first, None, 0
+
+    def labelled(members: DataFrame) -> DataFrame:
+        return members.join(linked.withColumnRenamed("node", "id").hint("merge"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+
+    def side(df: DataFrame, suffix: str, *more: Column) -> DataFrame:
+        return df.select(*[F.col(c).alias(f"{c}{suffix}") for c in columns], *more)
+
+    apart = (
+        (F.col("token_a") == F.col("token_b")) & (F.col("component_a") != F.col("component_b")) & possible("_a", "_b")
+        & _second_possible(rule, F.col("n_a"), F.col("n_b"), F.col("second_a"), F.col("second_b"))
+    )
+
+    def met(a: DataFrame, b: DataFrame, on: Column) -> DataFrame:
+        return a.join(b.hint("merge"), on).select(F.greatest("id_a", "id_b").alias("a"), F.least("id_a", "id_b").alias("b")).distinct()
+
+    while True:
+        # Lists whose members are all in one component by now leave.
+        named = work.keep(labelled(members.drop("component", "major", "hot")), f"named{rounds}")
+        work.drop("lists")
+        split = work.keep(split_lists(named), f"apart{rounds}")
+        found = split.agg(F.coalesce(F.sum("pairs"), F.lit(0.0)), F.coalesce(F.sum("size"), F.lit(0))).first()
+        members = named.join(split.select("token", "major", "hot").hint("merge"), "token")
+        members = work.keep(members if left is not None else members.join(light.hint("merge"), "id"), f"split{rounds}")
+        work.drop(f"named{rounds}", f"apart{rounds}", f"split{rounds - 1}")
+        if found[0] <= PAIRS_PER_ENTRY * found[1] or (left is not None and found[0] > WORTH * left):
+            break
+        left, rounds = found[0], rounds + 1
+        # The same members serve most lists of a group of alike documents.
+        hot = members.where("hot")
+        hubs = hot.groupBy("token").agg(
+            *[F.min_by(F.struct(*columns[1:]), F.xxhash64("id", F.lit(HUBS * rounds + k))).alias(f"h{k}") for k in range(HUBS)]
+        ).select("token", F.explode(F.array_distinct(F.array(*[f"h{k}" for k in range(HUBS)]))).alias("h")).select("token", "h.*")
+        star = met(side(hot, "_a"), side(hubs, "_b"), apart)
+        links = work.keep(links.unionByName(verified(work, known, star, rule, f"star{rounds}")), f"links{rounds}")
+        linked = work.keep(components(work, links, f"star{rounds}-component"), f"linked{rounds}")
+    a = side(members.where("component != major"), "_a")
+    b = side(members.where("id != hub"), "_b", (F.col("component") == F.col("major")).alias("in_major"))
+    last = met(a, b, apart & (F.col("in_major") | (F.col("id_a") < F.col("id_b"))))
+    links = work.keep(links.unionByName(verified(work, known, last, rule, "second")), "links")
+    work.drop(f"split{rounds}")
     linked = work.keep(components(work, links, "component"), "components")
     groups = ids.join(equal.hint("merge"), "digest", "left").join(
         linked.withColumnRenamed("node", "rep").hint("merge"), "rep", "left"

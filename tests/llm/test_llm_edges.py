@@ -296,6 +296,27 @@ def test_setjoin(spark, corpus, empty, rule):
         assert setjoin.link_groups(spark, empty, *rule)[0].collect() == []
 
 
+def test_setjoin_pairs_of_a_group_of_near_copies(spark, monkeypatch):
+    """Copies with different numbers of changed words: most do not link with the smallest id, and many not with each other."""
+    rng, rows, verified, seen = random.Random(3), [], setjoin.verified, []
+    base = [f"w{i}" for i in range(300)]
+    for doc in range(240):
+        text = list(base)
+        for at in rng.sample(range(300), 9 if doc < 40 else rng.randint(2, 7)):
+            text[at] = f"d{doc}x{at}"
+        rows.append((doc, " ".join(text), None))
+
+    def counted(work, texts, pairs, *more):
+        seen.append(pairs.count())
+        return verified(work, texts, pairs, *more)
+
+    monkeypatch.setattr(setjoin, "verified", counted)
+    groups, _ = setjoin.link_groups(spark, frame(spark, rows), 5, 80, 100)
+    want = link_components([(d, t) for d, t, _ in rows], 5, 80, 100)
+    assert {r.id: (r.n_shingles, r.component_id) for r in groups.collect()} == want
+    assert sum(seen) <= 10 * len(rows), seen
+
+
 def test_subsets_meet_exactly_at_the_overlap():
     rule = setjoin.Rule(3, 80, 100)
     rng = np.random.default_rng(1)
