@@ -23,7 +23,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recoflow.config import ALS_BLOCK_SIZE, ALS_ITEM_BLOCKS, ALS_USER_BLOCKS, SEED
+from recoflow.config import ALS_BLOCK_SIZE, SEED
 from recoflow.operators import als as als_ops
 from recoflow.sources.files import folders, join
 
@@ -37,10 +37,10 @@ class GridLedger:
 
     def __init__(
         self, spark: SparkSession, path: str, data: DataFrame, fold_col: str, num_folds: int, seed: int = SEED,
-        num_user_blocks: int = ALS_USER_BLOCKS, num_item_blocks: int = ALS_ITEM_BLOCKS, keep_factors: bool = False,
+        num_user_blocks: int | None = None, num_item_blocks: int | None = None, keep_factors: bool = False,
     ):
         self.spark, self.num_folds, self.seed, self.keep_factors = spark, num_folds, seed, keep_factors
-        self.blocks = {"num_user_blocks": num_user_blocks, "num_item_blocks": num_item_blocks, "block_size": ALS_BLOCK_SIZE}
+        self.blocks = {"num_user_blocks": num_user_blocks, "num_item_blocks": num_item_blocks}
         self.data = data.select("user_id", "item_id", "frequency", F.col(fold_col).cast("int").alias("fold"))
         self.base = join(path, self._state())
 
@@ -54,6 +54,7 @@ class GridLedger:
         ).first()
         if row[0] != row[3]:
             raise ValueError(f"{row[0] - row[3]} rows lie in no fold from 0 to {self.num_folds - 1}")
+        self.blocks = {**als_ops.blocks(row[0], **self.blocks), "block_size": ALS_BLOCK_SIZE}
         parts = [*row, self.num_folds, self.seed, self.keep_factors, sorted(self.blocks.items())]
         return hashlib.sha256(repr([str(p) for p in parts]).encode()).hexdigest()
 

@@ -14,6 +14,7 @@ from recoflow.operators import folds
 from recoflow.operators.ledger import FACTORS, GridLedger
 from recoflow.plans import checks
 from recoflow.plans.inputs import Inputs
+from recoflow.plans.recommender import HybridRecommender
 
 SF = "/root/testdata/sf0.001"
 GRID = {"max_iters": [2], "reg_params": [0.1, 1.0], "ranks": [2, 3]}
@@ -155,3 +156,35 @@ def test_recount_takes_pairs_known_to_each_model(spark, data, tmp_path):
     assert less[one] < full[one] and {c: n for c, n in less.items() if c != one} == {c: n for c, n in full.items() if c != one}
     # One row per pair goes into the joins, not one per pair and setting.
     assert own.recount(**GRID)._jdf.queryExecution().optimizedPlan().toString().count("Generate explode") == 1
+
+
+def test_blocks_grow_with_the_ratings(spark, data, monkeypatch):
+    """Before, two item blocks at any size: half of all ratings in one task's memory."""
+    monkeypatch.setattr(als_ops.config, "ALS_BLOCK_RATINGS", 20_000_000)
+    assert als_ops.blocks(25_000_000) == {"num_user_blocks": 10, "num_item_blocks": 2}
+    assert als_ops.blocks(150_000_000) == {"num_user_blocks": 10, "num_item_blocks": 8}
+    assert als_ops.blocks(900_000_000, 3, 4) == {"num_user_blocks": 3, "num_item_blocks": 4}
+    n = data.count()
+    monkeypatch.setattr(als_ops.config, "ALS_BLOCK_RATINGS", -(-n // 5))
+    model = als_ops.fit_als(data, rank=2, max_iter=1)
+    assert (model.itemFactors.rdd.getNumPartitions(), model.userFactors.rdd.getNumPartitions()) == (5, 10)
+    own = ledger(spark, "/nowhere", data)
+    assert (own.blocks["num_user_blocks"], own.blocks["num_item_blocks"]) == (10, 5)
+    rec = HybridRecommender(k_clusters=2, rank=2, max_iter=1, top_k=3).fit_als(data)
+    assert '"num_item_blocks": 5' in rec.settings()
+
+
+def test_shuffle_files_of_fits_go_while_others_run(spark, data, tmp_path, monkeypatch):
+    """Before, those of all fits stayed until the driver happened to collect its garbage."""
+    kept = lambda: spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses().size()
+    seen, fit = [], als_ops.fit_als
+
+    def counted(*args, **kw):
+        seen.append(kept())
+        return fit(*args, **kw)
+
+    monkeypatch.setattr(als_ops, "fit_als", counted)
+    data.count()
+    ledger(spark, tmp_path, data).fill(**{**GRID, "max_iters": [2, 6]}, parallelism=1)
+    # A fit of six iterations writes some twenty shuffles.
+    assert len(seen) == 16 and seen[-1] < seen[0] + 60
