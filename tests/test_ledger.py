@@ -7,6 +7,7 @@ import pytest
 from pyspark.ml.clustering import KMeansModel
 from pyspark.sql import functions as F
 
+from recoflow import session
 from recoflow.operators import als as als_ops
 from recoflow.operators import clustering as cl
 from recoflow.operators import features as feat
@@ -184,6 +185,7 @@ def test_shuffle_files_of_fits_go_while_others_run(spark, data, tmp_path, monkey
         return fit(*args, **kw)
 
     monkeypatch.setattr(als_ops, "fit_als", counted)
+    monkeypatch.setattr(session, "RELEASE_EVERY", 0.0)
     data.count()
     ledger(spark, tmp_path, data).fill(**{**GRID, "max_iters": [2, 6]}, parallelism=1)
     # A fit of six iterations writes some twenty shuffles.
